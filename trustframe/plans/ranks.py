@@ -15,6 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 1024
+# A whole table counted at or below this size is ordered by one plain window or aggregate.
+SINGLE_TASK_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Count-checked: the table, hence each of its groups, fits one task."""
+    return SINGLE_TASK_ROWS > 0 and df.limit(SINGLE_TASK_ROWS + 1).count() <= SINGLE_TASK_ROWS
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -50,6 +57,10 @@ def rank_in_group(
     order expression.  ``total`` also adds the group size.
     """
     keys = list(keys)
+    if is_small(df.select(*keys)):
+        w = W.partitionBy(*keys)
+        out = df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
+        return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
     d = df.withColumn("_b", bucket.cast("int")) if bucket is not None else quantile_buckets(df, by)
     inner = d.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)) - 1)
     per_bucket = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -80,6 +91,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     those buckets are shuffled, collapsed to distinct values with counts.
     """
     keys = list(keys)
+    if is_small(df.select(value)):
+        row = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("value"))
+        return row.where(F.col("_q").isNotNull()).select(*keys, F.inline(pairs))
     d = quantile_buckets(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), F.col("_v"))
     hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     walk = W.partitionBy(*keys).orderBy("_b")
@@ -134,7 +149,10 @@ def auroc(df: DataFrame, keys: Sequence[str], score: str, positive: str, name: s
     by_score = df.groupBy(*keys, F.col(score).alias("_score")).agg(
         F.sum(flag).alias("pos"), F.sum(1 - flag).alias("neg")
     )
-    bucketed = quantile_buckets(by_score, F.col("_score"), "_seg")
+    if is_small(df.select(score)):
+        bucketed = by_score.withColumn("_seg", F.lit(0))
+    else:
+        bucketed = quantile_buckets(by_score, F.col("_score"), "_seg")
     return auroc_from_counts(bucketed, keys, "_score", F.col("_seg"), name)
 
 

@@ -75,7 +75,7 @@ sym AS (
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values as one-dimensional signals with a shifted span per user."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     order = [F.col("ts"), F.col("event_id")]
     t = rank_in_group(e, ["user_id"], order, "t", by=F.unix_micros("ts"))
     u = F.col("user_id") % 3
