@@ -95,7 +95,7 @@ def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         return pd.DataFrame({row_id: pdf[row_id], "cluster": cut_merges(len(x), linkage_cosine(x), k)})
 
-    return df.select(row_id, z).groupBy(F.lit(0)).applyInPandas(run, f"{row_id} {id_type}, cluster int")
+    return df.select(row_id, z, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"{row_id} {id_type}, cluster int")
 
 
 def _merge_rounds(df: DataFrame, k: int, n: int, row_id: str, z: str) -> DataFrame:

@@ -1,2 +1,285 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries: separation of families in embedding space, per scope."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import l2_normalize
+from ..operators import pairs as P
+from ..session import materialize
+from .fixtures import EMB, PAIRS, pair_points, r6
+
+SCOPE = ["scope"]
+TOPK = 8
+PERMUTATIONS = 20
+SEED = 5
+
+
+def _separation(metric):
+    def query(spark, d):
+        s = P.separation(P.pair_moments(pair_points(spark, d), SCOPE, metric), SCOPE)
+        cols = ("within_mean_distance", "between_mean_distance", "separation_margin")
+        return s.select("scope", "pair_count_within", "pair_count_between", *[r6(c) for c in cols])
+
+    return query
+
+
+def _cohens(metric):
+    def query(spark, d):
+        return P.separation(P.pair_moments(pair_points(spark, d), SCOPE, metric), SCOPE).select("scope", r6("cohens_d"))
+
+    return query
+
+
+def _hist(spark, d, metric):
+    return P.distance_histogram(P.tile_stats(pair_points(spark, d), SCOPE, metric, {"hist"}), SCOPE)
+
+
+def _auroc(metric):
+    return lambda spark, d: P.pair_auroc(_hist(spark, d, metric), SCOPE).select("scope", r6("auroc"))
+
+
+def _ap(metric):
+    return lambda spark, d: P.average_precision(_hist(spark, d, metric), SCOPE).select("scope", r6("average_precision"))
+
+
+def _nn(spark, d, metric, k):
+    pts = pair_points(spark, d)
+    return pts, P.nearest_neighbours(P.tile_stats(pts, SCOPE, metric, {"nn"}, k=k), pts, SCOPE, k)
+
+
+def knn_purity(spark, d):
+    pts, nn = _nn(spark, d, "l2", 5)
+    sizes = pts.groupBy("scope").agg(F.count(F.lit(1)).alias("n_points"))
+    return P.knn_purity(materialize(nn), sizes, SCOPE, [1, 3, 5]).select("scope", "k", r6("purity_mean"), r6("purity_median"))
+
+
+def knn_neighbours(spark, d):
+    _, nn = _nn(spark, d, "cosine", 3)
+    return nn.select("scope", "pid", "rank", "neighbour", r6("distance"))
+
+
+def misfit_rate(spark, d):
+    _, nn = _nn(spark, d, "l2", 1)
+    return P.misfits(nn).groupBy("scope").agg(r6(F.avg(F.col("misfit").cast("double")), "misfit_rate"))
+
+
+def misfit_per_family(spark, d):
+    _, nn = _nn(spark, d, "l2", 1)
+    return P.misfits(nn).groupBy("scope", "family").agg(r6(F.avg(F.col("misfit").cast("double")), "misfit_rate"))
+
+
+def misfit_examples(spark, d):
+    _, nn = _nn(spark, d, "l2", 1)
+    return P.misfit_examples(P.misfits(nn), SCOPE, 25).select("scope", "pid", "family", "neighbour", "neighbour_family", r6("distance"))
+
+
+def _loo(metric):
+    def query(spark, d):
+        p = P.loo_centroid(pair_points(spark, d), SCOPE, metric)
+        return P.accuracy_and_f1(p, SCOPE).select("scope", r6("loo_accuracy"), r6("loo_macro_f1"))
+
+    return query
+
+
+def loo_predictions(spark, d):
+    p = P.loo_centroid(pair_points(spark, d), SCOPE, "l2")
+    return p.select("scope", "pid", "pred", r6("pred_distance"))
+
+
+def topk_overlap(spark, d):
+    o = P.topk_overlap(P.tile_stats(pair_points(spark, d), SCOPE, "l2", {"jac"}, topk=TOPK), SCOPE)
+    return o.select("scope", *[r6(c) for c in ("jaccard_within_mean", "jaccard_between_mean", "jaccard_gap")])
+
+
+def _silhouette(metric):
+    return lambda spark, d: P.silhouette(pair_points(spark, d), SCOPE, metric).select("scope", r6("silhouette"))
+
+
+def _permutation(metric):
+    return lambda spark, d: P.permutation_pvalue(pair_points(spark, d), metric, PERMUTATIONS, SEED).select("valid", "count_ge", r6("pvalue"))
+
+
+def sampled_separation(spark, d):
+    """The same means from an even sample of 5,000 of all pairs."""
+    s = P.sampled_pairs(pair_points(spark, d), 5000, SEED, "l2", TOPK)
+    return s.groupBy("same").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("distance"), "mean_distance"), r6(F.avg("overlap"), "mean_overlap"))
+
+
+def scoped_metrics(spark, d):
+    """Pooled and per-scope metrics x raw/normalised x L2/cosine, one row per metric."""
+    base = pair_points(spark, d)
+    pooled = base.withColumn("scope", F.lit("pooled")).unionByName(base.withColumn("scope", F.concat(F.lit("modality:"), F.col("scope").cast("string"))))
+    return metric_table(pooled, "fixture").select("encoder", "delta_variant", "scope", "distance", "metric", r6("value"))
+
+
+def metric_table(points, encoder: str, ks=(1, 3, 5), topk: int = TOPK):
+    """Tall metric table ``encoder, delta_variant, scope, distance, metric, value``."""
+    variants = points.withColumn("delta_variant", F.lit("raw")).unionByName(
+        points.withColumn("z", l2_normalize("z")).withColumn("delta_variant", F.lit("l2_normalized"))
+    )
+    pts = materialize(variants)
+    keys = ["delta_variant", "scope"]
+    sizes = materialize(pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points")))
+    out = None
+    for metric in ("l2", "cosine"):
+        kinds = {"hist", "nn", "jac"} | ({"mom", "fam"} if metric == "l2" else set())
+        stats = materialize(P.tile_stats(pts, keys, metric, kinds, k=max(ks), topk=topk))
+        nn = materialize(P.nearest_neighbours(stats, pts, keys, max(ks)))
+        hist = materialize(P.distance_histogram(stats, keys))
+        wide = P.separation(P.pair_moments(pts, keys, metric, stats), keys)
+        purity = P.knn_purity(nn, sizes, keys, ks).groupBy(*keys).pivot("k", list(ks)).agg(
+            F.first("purity_mean").alias("mean"), F.first("purity_median").alias("median")
+        )
+        for k in ks:
+            purity = purity.withColumnRenamed(f"{k}_mean", f"knn_purity_mean@{k}").withColumnRenamed(f"{k}_median", f"knn_purity_median@{k}")
+        parts = [
+            sizes, P.silhouette(pts, keys, metric, stats), P.pair_auroc(hist, keys), P.average_precision(hist, keys), purity,
+            P.accuracy_and_f1(P.loo_centroid(pts, keys, metric), keys), P.topk_overlap(stats, keys),
+            P.misfits(nn).groupBy(*keys).agg(F.avg(F.col("misfit").cast("double")).alias("misfit_rate")),
+        ]
+        for p in parts:
+            wide = wide.join(p, keys, "left")
+        names = [c for c in wide.columns if c not in keys]
+        tall = wide.select(*keys, *[F.col(c if "@" not in c else f"`{c}`").cast("double").alias(c) for c in names]).unpivot(keys, [F.col(f"`{c}`") for c in names], "metric", "value")
+        tall = tall.withColumn("distance", F.lit(metric))
+        out = tall if out is None else out.unionByName(tall)
+    return out.withColumn("encoder", F.lit(encoder)).select("encoder", "delta_variant", "scope", "distance", "metric", "value")
+
+
+QUERIES = {
+    "pair_separation": _separation("l2"),
+    "pair_separation_cosine": _separation("cosine"),
+    "cohens_d": _cohens("l2"),
+    "cohens_d_cosine": _cohens("cosine"),
+    "pair_auroc": _auroc("l2"),
+    "pair_auroc_cosine": _auroc("cosine"),
+    "pair_ap": _ap("l2"),
+    "knn_purity": knn_purity,
+    "knn_neighbours": knn_neighbours,
+    "misfit_rate": misfit_rate,
+    "misfit_per_family": misfit_per_family,
+    "misfit_examples": misfit_examples,
+    "loo_centroid": _loo("l2"),
+    "loo_centroid_cosine": _loo("cosine"),
+    "loo_predictions": loo_predictions,
+    "topk_overlap": topk_overlap,
+    "silhouette_l2": _silhouette("l2"),
+    "silhouette_cosine": _silhouette("cosine"),
+    "permutation_pvalue": _permutation("l2"),
+    "permutation_pvalue_cosine": _permutation("cosine"),
+    "sampled_separation": sampled_separation,
+    "scoped_metrics": scoped_metrics,
+}
+
+
+def _sep_sql(d):
+    return f"""WITH {PAIRS}
+SELECT scope, count(*) FILTER (same) AS pair_count_within, count(*) FILTER (NOT same) AS pair_count_between,
+       round(avg({d}) FILTER (same), 6) AS within_mean_distance, round(avg({d}) FILTER (NOT same), 6) AS between_mean_distance,
+       round(avg({d}) FILTER (NOT same) - avg({d}) FILTER (same), 6) AS separation_margin FROM pr GROUP BY scope"""
+
+
+def _cohen_sql(d):
+    return f"""WITH {PAIRS}, g AS (SELECT scope, count(*) FILTER (same) AS na, count(*) FILTER (NOT same) AS nb,
+ avg({d}) FILTER (same) AS ma, avg({d}) FILTER (NOT same) AS mb, var_samp({d}) FILTER (same) AS va, var_samp({d}) FILTER (NOT same) AS vb FROM pr GROUP BY scope)
+SELECT scope, round((mb - ma) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohens_d FROM g"""
+
+
+def _auroc_sql(d):
+    return f"""WITH {PAIRS}, s AS (SELECT scope, same, -round({d} * 1e6) AS sc FROM pr),
+r AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY sc) + (count(*) OVER (PARTITION BY scope, sc) - 1) / 2.0::DOUBLE AS r FROM s)
+SELECT scope, round((sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2.0::DOUBLE) / (count(*) FILTER (same) * count(*) FILTER (NOT same)), 6) AS auroc
+FROM r GROUP BY scope"""
+
+
+def _ap_sql(d):
+    return f"""WITH {PAIRS}, h AS (SELECT scope, round({d} * 1e6) AS b, count(*) FILTER (same) AS p, count(*) AS n FROM pr GROUP BY 1, 2),
+c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM h WINDOW w AS (PARTITION BY scope ORDER BY b))
+SELECT scope, round(sum(p * (cp::DOUBLE / cn)) / sum(p), 6) AS average_precision FROM c GROUP BY scope"""
+
+
+_NN = PAIRS + """,
+nn AS (SELECT *, row_number() OVER (PARTITION BY scope, pid ORDER BY d_l2, oid) AS rk, row_number() OVER (PARTITION BY scope, pid ORDER BY d_cos, oid) AS rkc FROM sym)"""
+_LOO_SUMS = EMB + """,
+ln AS (SELECT scope, vec_id, family, unnest(range(0, 64)) AS dim, unnest(z) AS v FROM emb),
+fs AS (SELECT scope, family AS fam, dim, sum(v) AS s, count(*) AS n FROM ln GROUP BY ALL),
+cd AS (SELECT l.scope, l.vec_id, l.family, fs.fam, sum((l.v - c) * (l.v - c)) AS d2, sum(l.v * c) AS xc, sum(l.v * l.v) AS xx, sum(c * c) AS cc
+  FROM (SELECT l.*, fs.fam, CASE WHEN fs.fam = l.family THEN (s - v) / nullif(n - 1, 0) ELSE s / n END AS c FROM ln l JOIN fs ON fs.scope = l.scope AND fs.dim = l.dim) l
+  JOIN (SELECT DISTINCT scope, fam FROM fs) fs ON fs.scope = l.scope AND fs.fam = l.fam WHERE c IS NOT NULL GROUP BY ALL)"""
+
+
+def _loo_sql(dist):
+    return f"""WITH {_LOO_SUMS},
+p AS (SELECT scope, vec_id, family, fam AS pred FROM (SELECT *, row_number() OVER (PARTITION BY scope, vec_id ORDER BY {dist}, fam) AS rn FROM cd) WHERE rn = 1),
+l AS (SELECT scope, family AS lab FROM p UNION SELECT scope, pred FROM p),
+f AS (SELECT l.scope, lab, 2.0::DOUBLE * count(*) FILTER (p.family = lab AND p.pred = lab) / (count(*) FILTER (p.family = lab) + count(*) FILTER (p.pred = lab)) AS f1
+  FROM l JOIN p ON p.scope = l.scope GROUP BY l.scope, lab)
+SELECT scope, round((SELECT avg((family = pred)::INT) FROM p WHERE p.scope = f.scope), 6) AS loo_accuracy, round(avg(f1), 6) AS loo_macro_f1 FROM f GROUP BY scope"""
+
+
+def _sil_sql(d):
+    return f"""WITH {PAIRS}, m AS (SELECT scope, pid, family, ofam, avg({d}) AS m FROM sym GROUP BY ALL),
+ab AS (SELECT scope, pid, max(m) FILTER (ofam = family) AS a, min(m) FILTER (ofam <> family) AS b FROM m GROUP BY scope, pid),
+g AS (SELECT scope, min(c) AS lo, count(*) AS k FROM (SELECT scope, family, count(*) AS c FROM emb GROUP BY ALL) GROUP BY scope)
+SELECT g.scope, round(CASE WHEN any_value(lo) >= 2 AND any_value(k) >= 2 THEN avg((b - a) / greatest(a, b)) END, 6) AS silhouette FROM g JOIN ab USING (scope) GROUP BY g.scope"""
+
+
+def _perm_sql(dist):
+    return f"""WITH {EMB},
+ap AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.family = b.family AS same, {dist} AS d FROM emb a JOIN emb b ON a.vec_id < b.vec_id),
+sz AS (SELECT family, sum(count(*)) OVER (ORDER BY family::VARCHAR) AS hi FROM emb GROUP BY family),
+pm AS (SELECT p, vec_id, row_number() OVER (PARTITION BY p ORDER BY md5('{SEED}|' || p || '|' || vec_id), vec_id) - 1 AS r FROM emb, (SELECT unnest(range(0, {PERMUTATIONS})) AS p)),
+lb AS (SELECT p, vec_id, (SELECT count(*) FROM sz WHERE hi <= r) AS lab FROM pm),
+w AS (SELECT x.p AS p, avg(d) FILTER (x.lab <> y.lab) - avg(d) FILTER (x.lab = y.lab) AS margin FROM ap JOIN lb x ON x.vec_id = a_id JOIN lb y ON y.vec_id = b_id AND y.p = x.p GROUP BY x.p),
+o AS (SELECT avg(d) FILTER (NOT same) - avg(d) FILTER (same) AS margin FROM ap)
+SELECT count(*) AS valid, count(*) FILTER (w.margin >= o.margin) AS count_ge, round((count(*) FILTER (w.margin >= o.margin) + 1)::DOUBLE / (count(*) + 1), 6) AS pvalue FROM w JOIN o ON true"""
+
+
+_TOPK = PAIRS.replace("list_distance(a.z, b.z) AS d_l2", "len(list_intersect(a.top, b.top)) AS common, list_distance(a.z, b.z) AS d_l2").replace(
+    "FROM emb a JOIN emb b", "FROM tp a JOIN tp b"
+).replace(",\npr AS (", """,
+tp AS (SELECT emb.*, (SELECT list(i) FROM (SELECT unnest(range(0, 64)) AS i, unnest(z) AS v ORDER BY abs(v) DESC, i LIMIT 8)) AS top FROM emb),
+pr AS (""")
+_SAMPLED = f"""WITH {EMB},
+nb AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM emb),
+c AS (SELECT count(*) AS n, count(*) * (count(*) - 1) // 2 AS tot FROM emb),
+m AS (SELECT n, tot, least(5000, tot) AS m FROM c),
+s AS (SELECT id, n, tot // m AS w, tot % m AS ex FROM (SELECT unnest(range(0, m)) AS id, * FROM m)),
+q AS (SELECT n, id * w + least(id, ex) + CAST('0x' || substr(md5('{SEED}|' || id), 1, 15) AS BIGINT) % (CASE WHEN id < ex THEN w + 1 ELSE w END) AS code FROM s),
+st AS (SELECT i, i * (2 * n - i - 1) // 2 AS first FROM nb JOIN c ON true),
+ij AS (SELECT st.i, code - st.first + st.i + 1 AS j FROM q ASOF JOIN st ON q.code >= st.first),
+tp AS (SELECT nb.*, (SELECT list(k) FROM (SELECT unnest(range(0, 64)) AS k, unnest(z) AS v ORDER BY abs(v) DESC, k LIMIT 8)) AS top FROM nb),
+p AS (SELECT a.family = b.family AS same, list_distance(a.z, b.z) AS d, len(list_intersect(a.top, b.top)) AS c FROM ij JOIN tp a ON a.i = ij.i JOIN tp b ON b.i = ij.j)
+SELECT same, count(*) AS n, round(avg(d), 6) AS mean_distance, round(avg(c / (16.0::DOUBLE - c)), 6) AS mean_overlap FROM p GROUP BY same"""
+
+ORACLE = {
+    "pair_separation": _sep_sql("d_l2"),
+    "pair_separation_cosine": _sep_sql("d_cos"),
+    "cohens_d": _cohen_sql("d_l2"),
+    "cohens_d_cosine": _cohen_sql("d_cos"),
+    "pair_auroc": _auroc_sql("d_l2"),
+    "pair_auroc_cosine": _auroc_sql("d_cos"),
+    "pair_ap": _ap_sql("d_l2"),
+    "knn_purity": f"""WITH {_NN}, k AS (SELECT unnest([1, 3, 5]) AS k),
+s AS (SELECT scope, k, pid, avg((family = ofam)::INT) AS share FROM nn JOIN k ON rk <= k GROUP BY ALL)
+SELECT scope, k, round(avg(share), 6) AS purity_mean, round(median(share), 6) AS purity_median FROM s GROUP BY scope, k""",
+    "knn_neighbours": f"WITH {_NN} SELECT scope, pid, CAST(rkc AS INTEGER) AS rank, oid AS neighbour, round(d_cos, 6) AS distance FROM nn WHERE rkc <= 3",
+    "misfit_rate": f"WITH {_NN} SELECT scope, round(avg((family <> ofam)::INT), 6) AS misfit_rate FROM nn WHERE rk = 1 GROUP BY scope",
+    "misfit_per_family": f"WITH {_NN} SELECT scope, family::VARCHAR AS family, round(avg((family <> ofam)::INT), 6) AS misfit_rate FROM nn WHERE rk = 1 GROUP BY 1, 2",
+    "misfit_examples": f"""WITH {_NN}, m AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY pid) AS q FROM nn WHERE rk = 1 AND family <> ofam)
+SELECT scope, pid, family::VARCHAR AS family, oid AS neighbour, ofam::VARCHAR AS neighbour_family, round(d_l2, 6) AS distance FROM m WHERE q <= 25""",
+    "loo_centroid": _loo_sql("d2"),
+    "loo_centroid_cosine": _loo_sql("1 - xc / (sqrt(xx) * sqrt(cc))"),
+    "loo_predictions": f"""WITH {_LOO_SUMS}
+SELECT scope, vec_id AS pid, fam::VARCHAR AS pred, round(sqrt(d2), 6) AS pred_distance
+FROM (SELECT *, row_number() OVER (PARTITION BY scope, vec_id ORDER BY d2, fam) AS rn FROM cd) WHERE rn = 1""",
+    "topk_overlap": f"""WITH {_TOPK}
+SELECT scope, round(avg(common / (16.0::DOUBLE - common)) FILTER (same), 6) AS jaccard_within_mean, round(avg(common / (16.0::DOUBLE - common)) FILTER (NOT same), 6) AS jaccard_between_mean,
+       round(avg(common / (16.0::DOUBLE - common)) FILTER (same) - avg(common / (16.0::DOUBLE - common)) FILTER (NOT same), 6) AS jaccard_gap FROM pr GROUP BY scope""",
+    "silhouette_l2": _sil_sql("d_l2"),
+    "silhouette_cosine": _sil_sql("d_cos"),
+    "permutation_pvalue": _perm_sql("list_distance(a.z, b.z)"),
+    "permutation_pvalue_cosine": _perm_sql("list_cosine_distance(a.z, b.z)"),
+    "sampled_separation": _SAMPLED,
+}
