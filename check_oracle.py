@@ -57,6 +57,20 @@ def compare(spark, con, sf, name, query, sql):
     return f"ok {len(a)}", t1 - t0, t2 - t1
 
 
+def force_distributed() -> None:
+    """Shrink every block, segment and single-task bound so that test data exercises the large-data plans."""
+    from trustframe.operators import cluster, family, points
+    from trustframe.plans import lookup, ranks, scans, tiles
+
+    ranks.SINGLE_TASK_ROWS = 0
+    tiles.BLOCK_ROWS = 40
+    scans.SEGMENT, scans.BELIEF_SEGMENT = 16, 16
+    lookup.BROADCAST_ROWS = 0
+    family.INLINE_VALUES = 0
+    points.FRAME_TASK_POINTS, points.POINT_BUCKET = 100, 64
+    cluster.SINGLE_TASK_ITEMS = 5
+
+
 def connect(sf):
     con = duckdb.connect()
     for p in glob.glob(f"{sf}/*.parquet"):
@@ -67,8 +81,11 @@ def connect(sf):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--distributed", action="store_true", help="force every small-input shortcut off")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
+    if args.distributed:
+        force_distributed()
     spark, con = build_session(), connect(args.sf)
     queries, oracles = all_queries(), all_oracles()
     failed = 0

@@ -75,7 +75,7 @@ def cut_merges(n: int, merges: Sequence[tuple[int, int, float]], k: int) -> np.n
     return np.array([roots.setdefault(find(i), len(roots)) for i in range(n)])
 
 
-def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z", single_task: int = SINGLE_TASK_ITEMS) -> DataFrame:
+def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z", single_task: int | None = None) -> DataFrame:
     """Average-linkage cosine clustering into ``k`` clusters: ``row_id, cluster``.
 
     A counted small set merges in one task.  A larger one merges all reciprocal
@@ -85,7 +85,7 @@ def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z
     n = df.count()
     if k < 1 or k > n:
         raise ValueError(f"cluster count must lie in [1, {n}]")
-    if n > single_task:
+    if n > (SINGLE_TASK_ITEMS if single_task is None else single_task):
         return _merge_rounds(df, k, n, row_id, z)
     id_type = df.schema[row_id].dataType.simpleString()
 

@@ -65,7 +65,7 @@ def nearest_of_table(
     kernel: Callable[..., np.ndarray],
     z: str = "z",
     row_id: str = "vec_id",
-    inline_values: int = INLINE_VALUES,
+    inline_values: int | None = None,
 ) -> DataFrame:
     """Add ``pred`` and ``min_d``: the table row at the smallest ``kernel`` distance, smaller label first.
 
@@ -77,7 +77,7 @@ def nearest_of_table(
     width = shape.select(sum((F.size(c) for c in shape.columns), F.lit(0)).alias("w")).first()
     rows = table.count()
     label_type = table.schema[label].dataType.simpleString()
-    if width is not None and rows * width["w"] <= inline_values:
+    if width is not None and rows * width["w"] <= (INLINE_VALUES if inline_values is None else inline_values):
         local = table.select(label, *columns).orderBy(label).collect()
         names = [r[label] for r in local]
         arrays = [np.asarray([r[c] for r in local]) for c in columns]
@@ -114,7 +114,7 @@ def nearest_of_table(
 
 
 def nearest_family(df: DataFrame, model: DataFrame, family: str = "family", z: str = "z", row_id: str = "vec_id",
-                   diag: bool = True, threshold: float | None = None, inline_values: int = INLINE_VALUES) -> DataFrame:
+                   diag: bool = True, threshold: float | None = None, inline_values: int | None = None) -> DataFrame:
     """Closest family by Mahalanobis distance, and ``is_unseen`` when it lies beyond the threshold."""
     kernel, second = (diag_distances, "var") if diag else (full_distances, "precision")
     scored = nearest_of_table(df, model, family, ["mu", second], kernel, z, row_id, inline_values)
@@ -122,7 +122,7 @@ def nearest_family(df: DataFrame, model: DataFrame, family: str = "family", z: s
 
 
 def classify_few_shot(df: DataFrame, registry: DataFrame, metric: str = "cosine", threshold: float | None = 0.2,
-                      z: str = "z", row_id: str = "vec_id", inline_values: int = INLINE_VALUES) -> DataFrame:
+                      z: str = "z", row_id: str = "vec_id", inline_values: int | None = None) -> DataFrame:
     """Closest prototype by cosine or Euclidean distance, with the open-set flag."""
     kernels = {"cosine": cosine_to, "euclidean": l2_to}
     if metric not in kernels:
@@ -150,7 +150,7 @@ def calibrate_unseen(scored: DataFrame, pct: float = 99.0, column: str = "min_d"
 
 
 def zero_shot(df: DataFrame, labels: DataFrame, label: str = "label", label_vec: str = "vec", z: str = "z",
-              max_values: int = INLINE_VALUES) -> DataFrame:
+              max_values: int = 4_000_000) -> DataFrame:
     """Softmax over normalised dot products with every label vector: ``probs`` by label order, ``pred``, ``prob``.
 
     The label table is a class list; it is counted before it is shipped.

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.pixels import apply_corruption
 from ..plans.ranks import rank_in_group
-from ..plans.scans import SEGMENT, halo_window
+from ..plans.scans import halo_window
 
 
-def sequence_window(frames: DataFrame, keys: Sequence[str], t: str, value: str, length: int, segment: int = SEGMENT) -> DataFrame:
+def sequence_window(frames: DataFrame, keys: Sequence[str], t: str, value: str, length: int, segment: int | None = None) -> DataFrame:
     """``window``: the last ``length`` values ending at t, left-padded with the window's first value."""
 
     def columns(w):
@@ -25,7 +25,7 @@ def sequence_window(frames: DataFrame, keys: Sequence[str], t: str, value: str,
     return halo_window(frames, keys, t, length - 1, columns, segment)
 
 
-def rolling_bad_count(df: DataFrame, keys: Sequence[str], t: str, bad: Column, window: int = 50, segment: int = SEGMENT) -> DataFrame:
+def rolling_bad_count(df: DataFrame, keys: Sequence[str], t: str, bad: Column, window: int = 50, segment: int | None = None) -> DataFrame:
     return halo_window(
         df, keys, t, window - 1, lambda w: {"bad_run": F.sum(bad.cast("long")).over(w.rowsBetween(-(window - 1), 0))}, segment
     )

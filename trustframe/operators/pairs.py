@@ -21,7 +21,7 @@ from pyspark.sql.functions import arrow_udf
 from ..functions.vectors import jaccard, l2_normalize
 from ..plans.lookup import attach_facts
 from ..plans.ranks import auroc_from_counts, hash_bucket, ordered_counts, rank_in_group
-from ..plans.tiles import BLOCK_ROWS, matrix, self_tiles
+from ..plans.tiles import matrix, self_tiles
 from ..session import materialize
 from .fit import key_ddl, moments
 
@@ -52,7 +52,7 @@ def tile_stats(
     kinds: Iterable[str],
     k: int = 5,
     topk: int = 50,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     labels: str | None = None,
 ) -> DataFrame:
     """Long table of tile aggregates: ``scope, kind, pid, key, fam, n, s1, s2``.
@@ -166,7 +166,7 @@ def tile_stats(
 # ---- moments of within / between distances -------------------------------------------------
 
 
-def pair_moments(points: DataFrame, scope: Sequence[str], metric: str, stats: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_moments(points: DataFrame, scope: Sequence[str], metric: str, stats: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
     """``scope, same, n, s1, s2``: count, sum and square sum of pair distances by family equality.
 
     Cosine needs no pair work: with unit vectors u and M = sum u u', the pair sums
@@ -448,7 +448,7 @@ def accuracy_and_f1(pred: DataFrame, scope: Sequence[str], truth: str = "family"
 
 
 def silhouette(points: DataFrame, scope: Sequence[str], metric: str, stats: DataFrame | None = None,
-               block_rows: int = BLOCK_ROWS, max_values: int = MAX_FAMILY_VALUES) -> DataFrame:
+               block_rows: int | None = None, max_values: int = MAX_FAMILY_VALUES) -> DataFrame:
     """Exact mean silhouette; NULL with fewer than two families or with a singleton family.
 
     Cosine: mean distance from x to family f is (n_f - x.S_f)/n_f with unit vectors, so
@@ -564,7 +564,7 @@ def permuted_labels(points: DataFrame, n_perm: int, seed: int) -> DataFrame:
     return points.join(per, "pid")
 
 
-def permutation_pvalue(points: DataFrame, metric: str, n_perm: int, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def permutation_pvalue(points: DataFrame, metric: str, n_perm: int, seed: int, block_rows: int | None = None) -> DataFrame:
     """Share of label shuffles whose margin reaches the observed one: (count + 1) / (valid + 1).
 
     Row ``valid, count_ge, pvalue``.  Family sizes never change, so a shuffle is judged by

@@ -20,10 +20,11 @@ from ..plans.ranks import hash_bucket, rank_in_group
 from ..session import materialize
 
 XYZ = ("x", "y", "z")
+POINT_BUCKET = 65_536
 
 
-def point_bucket(idx: str = "point_idx", size: int = 65_536) -> Column:
-    return F.floor(F.col(idx) / size).cast("int")
+def point_bucket(idx: str = "point_idx", size: int | None = None) -> Column:
+    return F.floor(F.col(idx) / (size or POINT_BUCKET)).cast("int")
 
 
 def drop_non_finite(points: DataFrame, frame: str, values: Sequence[str], frames: DataFrame, centre: dict[str, float]) -> DataFrame:
@@ -329,12 +330,13 @@ def farthest_points(xyz: np.ndarray, n: int) -> np.ndarray:
 FRAME_TASK_POINTS = 200_000
 
 
-def farthest_point_sample(points: DataFrame, n: int, frame: str = "frame_id", row: str = "point_idx", task_points: int = FRAME_TASK_POINTS) -> DataFrame:
+def farthest_point_sample(points: DataFrame, n: int, frame: str = "frame_id", row: str = "point_idx", task_points: int | None = None) -> DataFrame:
     """``frame, order, point``: farthest-point sampling from the smallest point index (ties: smaller index).
 
     Frames counted within ``task_points`` are sampled whole inside tasks.  Larger ones run
     round by round as distributed aggregates, all such frames together.
     """
+    task_points = FRAME_TASK_POINTS if task_points is None else task_points
     p = with_group_stats(points.select(frame, row, *XYZ), [frame], {"_n": F.count(F.lit(1))}, [row])
     ft, rt = (points.schema[c].dataType.simpleString() for c in (frame, row))
 

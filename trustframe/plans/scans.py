@@ -11,14 +11,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEGMENT = 65_536
+BELIEF_SEGMENT = 4096
 
 
-def segment_of(t: str, size: int = SEGMENT) -> Column:
+def segment_of(t: str, size: int | None = None) -> Column:
+    size = size or SEGMENT
     return F.floor(F.col(t) / size).cast("long")
 
 
 def prefix_agg(
-    df: DataFrame, keys: Sequence[str], t: str, items: dict[str, tuple[Callable, Column]], size: int = SEGMENT
+    df: DataFrame, keys: Sequence[str], t: str, items: dict[str, tuple[Callable, Column]], size: int | None = None
 ) -> DataFrame:
     """Running aggregates (``F.sum`` / ``F.max`` / ``F.min``) up to and including each row.
 
@@ -45,7 +47,7 @@ def prefix_agg(
 
 
 def halo_window(
-    df: DataFrame, keys: Sequence[str], t: str, lookback: int, columns: Callable[[object], dict[str, Column]], size: int = SEGMENT
+    df: DataFrame, keys: Sequence[str], t: str, lookback: int, columns: Callable[[object], dict[str, Column]], size: int | None = None
 ) -> DataFrame:
     """Evaluate bounded look-back window columns.
 
@@ -53,7 +55,7 @@ def halo_window(
     ``lookback`` rows of a segment are copied into the next one, so every frame is
     complete inside its own segment.
     """
-    size = max(size, lookback)
+    size = max(size or SEGMENT, lookback, 1)
     own = segment_of(t, size)
     tail = F.pmod(F.col(t), F.lit(size)) >= size - lookback
     d = df.withColumn("_s", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
@@ -68,7 +70,7 @@ def stack(col: pd.Series) -> np.ndarray:
 
 
 def belief_scan(
-    df: DataFrame, keys: Sequence[str], t: str, z: str, alpha: float, frozen: Column | None = None, size: int = 4096
+    df: DataFrame, keys: Sequence[str], t: str, z: str, alpha: float, frozen: Column | None = None, size: int | None = None
 ) -> DataFrame:
     """Exponential belief: before-row value ``belief`` and after-row value ``belief_next``.
 
@@ -78,7 +80,7 @@ def belief_scan(
     summaries, and all segments then run in parallel from their start values.
     """
     keys = list(keys)
-    d = df.withColumn("_s", segment_of(t, size)).withColumn("_f", F.coalesce(frozen, F.lit(False)) if frozen is not None else F.lit(False))
+    d = df.withColumn("_s", segment_of(t, size or BELIEF_SEGMENT)).withColumn("_f", F.coalesce(frozen, F.lit(False)) if frozen is not None else F.lit(False))
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:

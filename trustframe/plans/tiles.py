@@ -47,11 +47,11 @@ def self_tiles(
     row_id: str,
     kernel: Callable[[tuple, pa.Table, pa.Table | None], pa.Table],
     schema: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(scope values, block, other block or None)`` on every unordered block pair."""
     scope = list(scope)
-    d = with_blocks(df, scope, row_id, block_rows)
+    d = with_blocks(df, scope, row_id, block_rows or BLOCK_ROWS)
     d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nblk") - 1)))
     d = d.withColumn("_lo", F.least("_blk", "_o")).withColumn("_hi", F.greatest("_blk", "_o")).drop("_o", "_nblk")
 
@@ -73,9 +73,10 @@ def cross_tiles(
     right_id: str,
     kernel: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(left block, right block)`` on every block combination of two tables."""
+    block_rows = block_rows or BLOCK_ROWS
     ln, rn = (max(1, -(-d.count() // block_rows)) for d in (left, right))
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lx = left.withColumn("_i", F.pmod(F.xxhash64(left_id), F.lit(ln)).cast("int")).withColumn("_j", cells(rn))
