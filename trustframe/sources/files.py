@@ -131,7 +131,7 @@ def _decode_images(split: str | None):
 
 
 # File name layouts of the two labelled image sets.
-SPLIT_LAYOUT = r"/([^/]+)/([^/]+)/(?:clean|(.+)_severity_(\d+))\.npz$"
+SPLIT_LAYOUT = r"/([^/]+)/([^/]+)/(?:clean|([^/]+)_severity_(\d+))\.npz$"
 STACKED_LAYOUT = r"/([^/]+)/([^/]+)\.npz$"
 
 
