@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixels import apply_corruption
+from ..plans.lookup import spread
 from ..plans.ranks import rank_in_group
 from ..plans.scans import halo_window
 
@@ -97,4 +98,4 @@ def supcon_by_batch(df: DataFrame, row_id: str, label: str, batch_size: int, z:
         value = -((pos * log_prob).sum(axis=1)[has] / (cnt[has] + 1e-12)).mean() if has.any() else None
         return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "anchors": [int(has.sum())], "loss": [value]})
 
-    return ranked.groupBy("batch").applyInPandas(loss, "batch long, anchors int, loss double")
+    return spread(ranked, "batch").groupBy("batch").applyInPandas(loss, "batch long, anchors int, loss double")

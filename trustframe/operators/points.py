@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import all_finite, is_finite
-from ..plans.lookup import SALTS, salted_join, with_group_stats
+from ..plans.lookup import SALTS, salted_join, spread, with_group_stats
 from ..plans.ranks import hash_bucket, rank_in_group
 from ..session import materialize
 
@@ -345,7 +345,7 @@ def farthest_point_sample(points: DataFrame, n: int, frame: str = "frame_id", ro
         pick = farthest_points(pdf[list(XYZ)].to_numpy(float), n)
         return pd.DataFrame({frame: pdf[frame].iloc[0], "order": np.arange(len(pick)), row: pdf[row].to_numpy()[pick]})
 
-    small = p.where(F.col("_n") <= task_points).drop("_n").groupBy(frame).applyInPandas(run, f"{frame} {ft}, order int, {row} {rt}")
+    small = spread(p.where(F.col("_n") <= task_points).drop("_n"), frame).groupBy(frame).applyInPandas(run, f"{frame} {ft}, order int, {row} {rt}")
     sizes = points.groupBy(frame).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > task_points)
     if not sizes.limit(1).count():
         return small

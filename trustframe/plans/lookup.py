@@ -13,6 +13,15 @@ SALTS = 16
 BROADCAST_ROWS = 50_000
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for a compute-heavy Python stage.
+
+    A fixed partition count keeps run-time coalescing, which looks at bytes only, from
+    packing expensive groups into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str | Column], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lookup import spread
+
 SEGMENT = 65_536
 BELIEF_SEGMENT = 4096
 
@@ -95,7 +97,7 @@ def belief_scan(
         out["head"] = [x[0]]
         return out
 
-    seg = d.select(*keys, "_s", t, z, "_f").groupBy(*keys, "_s").applyInPandas(
+    seg = spread(d.select(*keys, "_s", t, z, "_f"), *keys, "_s").groupBy(*keys, "_s").applyInPandas(
         summary, f"{key_schema}, _s long, decay double, drive array<double>, head array<double>"
     )
 
@@ -131,4 +133,4 @@ def belief_scan(
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     joined = d.join(starts, [*keys, "_s"]).select(*df.columns, "_s", "_f", "start")
-    return joined.groupBy(*keys, "_s").applyInPandas(replay, f"{schema}, belief array<double>, belief_next array<double>")
+    return spread(joined, *keys, "_s").groupBy(*keys, "_s").applyInPandas(replay, f"{schema}, belief array<double>, belief_next array<double>")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import attach_facts
+from .lookup import attach_facts, spread
 
 BLOCK_ROWS = 1024
 
@@ -63,7 +63,7 @@ def self_tiles(
         second = None if lo == hi else table.filter(pa.array(blk == hi))
         return kernel(values[:-2], first, second)
 
-    return d.groupBy(*scope, "_lo", "_hi").applyInArrow(run, schema)
+    return spread(d, *scope, "_lo", "_hi").groupBy(*scope, "_lo", "_hi").applyInArrow(run, schema)
 
 
 def cross_tiles(
@@ -81,4 +81,4 @@ def cross_tiles(
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lx = left.withColumn("_i", F.pmod(F.xxhash64(left_id), F.lit(ln)).cast("int")).withColumn("_j", cells(rn))
     rx = right.withColumn("_j", F.pmod(F.xxhash64(right_id), F.lit(rn)).cast("int")).withColumn("_i", cells(ln))
-    return lx.groupBy("_i", "_j").cogroup(rx.groupBy("_i", "_j")).applyInArrow(lambda a, b: kernel(a, b), schema)
+    return spread(lx, "_i", "_j").groupBy("_i", "_j").cogroup(spread(rx, "_i", "_j").groupBy("_i", "_j")).applyInArrow(lambda a, b: kernel(a, b), schema)

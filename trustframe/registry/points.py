@@ -61,7 +61,7 @@ def resample_points(spark, d):
 
 def _grid(mode, extra):
     def query(spark, d):
-        g = P.grid_features(points(spark, d), mode, 8, 12, VALUES)
+        g = P.grid_features(points(spark, d, ordered=False), mode, 8, 12, VALUES, row="y")
         return g.select("frame_id", "token", "cell", "n", *[r6(c) for c in [f"mean_{v}" for v in VALUES] + extra])
 
     return query
@@ -73,18 +73,18 @@ _CENTER_COLS = [f"max_{v}" for v in VALUES] + [f"off_{a}" for a in "xyz"]
 
 def grid_tokens(spark, d):
     """Grid tokens padded to 80 rows per frame with a mask."""
-    p = points(spark, d)
-    g = P.grid_features(p, "pillars", 8, 80, ["x"])
+    p = points(spark, d, ordered=False)
+    g = P.grid_features(p, "pillars", 8, 80, ["x"], row="y")
     return P.padded_tokens(g, p, 80).select("frame_id", "token", "mask", r6("mean_x"), r6("density"))
 
 
 def cell_topk(spark, d):
     """Fullest cells of each frame."""
-    return P.grid_features(points(spark, d), "pillars", 8, 3, ["x"]).select("frame_id", "token", "cell", "n")
+    return P.grid_features(points(spark, d, ordered=False), "pillars", 8, 3, ["x"], row="y").select("frame_id", "token", "cell", "n")
 
 
 def pillarize(spark, d):
-    p = points(spark, d)
+    p = points(spark, d, ordered=False)
     out = P.pillars(p, XR, YR, GRID, MAX_PILLARS, MAX_POINTS, p)
     return out.select("frame_id", "pillar", "ix", "iy", F.col("count").alias("cnt"), "num_points")
 
@@ -114,14 +114,14 @@ def keypoint_pool(spark, d):
 
 
 def densify_grid(spark, d):
-    p = points(spark, d)
+    p = points(spark, d, ordered=False)
     cells = P.with_cells(p, XR, YR, GRID).groupBy("frame_id", "ix", "iy").agg(F.avg("y").alias("v"))
     return P.densify_grid(cells, p, GRID, "v").select("frame_id", "ix", "iy", r6("v"))
 
 
 def regrid(spark, d):
     """16 x 16 cells pooled to 5 x 3 with overlapping bins."""
-    p = points(spark, d)
+    p = points(spark, d, ordered=False)
     cells = P.with_cells(p, XR, YR, GRID).groupBy("frame_id", "ix", "iy").agg(F.avg("y").alias("v"))
     return P.regrid(P.densify_grid(cells, p, GRID, "v"), GRID, (5, 3), "v").select("frame_id", "oy", "ox", r6("v"))
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scoring import reliability_b
 from ..functions.vectors import l2_distance
+from ..plans.lookup import spread
 from .controller import ControllerParams, Mean, State, inverse_variance, score_row
 
 TRACE = (
@@ -55,25 +56,36 @@ def _value(x):
     return None if x is None or (isinstance(x, float) and np.isnan(x)) else x
 
 
-def _run(params: ControllerParams, state: State, inv_var, pdf: pd.DataFrame, t: str, z: str, start: str | None) -> pd.DataFrame:
-    """Score a chunk of one stream's rows in order; rows not after the last step are late."""
-    out = []
-    starts = pdf[start].tolist() if start else [None] * len(pdf)
-    for ti, zi, rb, dc, cs in zip(pdf[t].tolist(), pdf[z], pdf["r_b"].tolist(), pdf["d_clean"].tolist(), starts):
-        if state.last_t is not None and ti <= state.last_t:
-            out.append({"mode": state.mode, "r_b": rb, "late": True})
-            continue
-        vec = np.asarray(zi, dtype=float)
-        iv = inv_var if inv_var is not None else np.ones(len(vec))
-        cs = _value(cs)
-        row = score_row(params, state, iv, int(ti), vec, rb, _value(dc), None if cs is None else int(cs))
-        row["late"] = False
-        out.append(row)
-    cols = [c.split()[0] for c in TRACE.split(", ")]
-    trace = pd.DataFrame(out, columns=cols, index=pdf.index)
-    for c in NUMBERS:
-        trace[c] = trace[c].astype(float)
-    return trace
+class Walker:
+    """Runs rows of one stream after another through the controller, keeping the current state."""
+
+    def __init__(self, params: ControllerParams, state: State | None = None, stream=None):
+        self.params, self.state, self.stream = params, state, stream
+        self.inv_var = inverse_variance(params, len(params.log_var)) if params.log_var else None
+
+    def run(self, ids: list, pdf: pd.DataFrame, t: str, z: str, start: str | None) -> pd.DataFrame:
+        """Trace of a sorted chunk; rows not after their stream's last step are late."""
+        out = []
+        starts = pdf[start].tolist() if start else [None] * len(pdf)
+        columns = zip(ids, pdf[t].tolist(), pdf[z], pdf["r_b"].tolist(), pdf["d_clean"].tolist(), starts)
+        for sid, ti, zi, rb, dc, cs in columns:
+            if self.state is None or sid != self.stream:
+                self.stream, self.state = sid, State()
+            state = self.state
+            if state.last_t is not None and ti <= state.last_t:
+                out.append({"mode": state.mode, "r_b": rb, "late": True})
+                continue
+            vec = np.asarray(zi, dtype=float)
+            if self.inv_var is None:
+                self.inv_var = np.ones(len(vec))
+            cs = _value(cs)
+            row = score_row(self.params, state, self.inv_var, int(ti), vec, rb, _value(dc), None if cs is None else int(cs))
+            row["late"] = False
+            out.append(row)
+        trace = pd.DataFrame(out, columns=[c.split()[0] for c in TRACE.split(", ")], index=pdf.index)
+        for c in NUMBERS:
+            trace[c] = trace[c].astype(float)
+        return trace
 
 
 def score_stream(rows: DataFrame, params: ControllerParams, stream: str = "stream_id", t: str = "t", z: str = "z", corrupt_start: str | None = "corrupt_start", keep: list[str] | None = None) -> DataFrame:
@@ -85,26 +97,16 @@ def score_stream(rows: DataFrame, params: ControllerParams, stream: str = "strea
     """
     keep = keep if keep is not None else [c for c in rows.columns if c not in (z, "md_clean", "r_b", "d_clean")]
     need = list(dict.fromkeys([*keep, stream, t, z, "r_b", "d_clean", *([corrupt_start] if corrupt_start else [])]))
-    fixed = inverse_variance(params, len(params.log_var)) if params.log_var else None
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        walker = Walker(params)
         for pdf in batches:
-            ids = pdf[stream].to_numpy()
-            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            parts = []
-            for chunk in np.split(np.arange(len(pdf)), cuts):
-                if not len(chunk):
-                    continue
-                sub = pdf.iloc[chunk]
-                if state is None or ids[chunk[0]] != current:
-                    current, state = ids[chunk[0]], State()
-                parts.append(pd.concat([sub[keep], _run(params, state, fixed, sub, t, z, corrupt_start)], axis=1))
-            if parts:
-                yield pd.concat(parts)
+            if len(pdf):
+                trace = walker.run(pdf[stream].tolist(), pdf, t, z, corrupt_start)
+                yield pd.concat([pdf[keep], trace], axis=1)
 
     schema = _ddl([f for f in rows.schema.fields if f.name in keep])
-    ordered = rows.select(*need).repartition(stream).sortWithinPartitions(stream, t)
+    ordered = spread(rows.select(*need), stream).sortWithinPartitions(stream, t)
     return ordered.mapInPandas(walk, f"{schema}, {TRACE}")
 
 
@@ -150,7 +152,6 @@ def score_live(rows: DataFrame, params: ControllerParams, stream: str = "stream_
     """
     keep = [c for c in (stream, t) if c]
     need = list(dict.fromkeys([*keep, z, "r_b", "d_clean", *([corrupt_start] if corrupt_start else []), *([control] if control else [])]))
-    fixed = inverse_variance(params, len(params.log_var)) if params.log_var else None
 
     def update(key: Any, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = unpack(held.get) if held.exists else State()
@@ -166,7 +167,8 @@ def score_live(rows: DataFrame, params: ControllerParams, stream: str = "stream_
                 state = State()
             if len(span):
                 sub = pdf.iloc[span]
-                pieces.append(pd.concat([sub[keep], _run(params, state, fixed, sub, t, z, corrupt_start)], axis=1))
+                walker = Walker(params, state, 0)
+                pieces.append(pd.concat([sub[keep], walker.run([0] * len(sub), sub, t, z, corrupt_start)], axis=1))
         held.update(pack(state))
         yield pd.concat(pieces)
 
