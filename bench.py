@@ -1,6 +1,7 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
-``--runs N`` repeats every query and writes p50/p95 and rows per second to
+Each query runs once to warm up and then ``--runs N`` times (default 2); the median counts.
+The run writes p50/p95 and rows per second to
 ``$BENCH_CSV`` when that is set.
 """
 
@@ -31,7 +32,7 @@ HEADLINE = {
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(sys.argv[sys.argv.index("--runs") + 1]) if "--runs" in sys.argv else 1
+    runs = int(sys.argv[sys.argv.index("--runs") + 1]) if "--runs" in sys.argv else 2
     names = os.environ.get("BENCH_QUERIES", "").split() or list(HEADLINE)
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus))
     queries = all_queries()
@@ -40,6 +41,7 @@ def main() -> None:
     best, rows = {}, []
     for name in names:
         times = []
+        queries[name](spark, sf).write.format("noop").mode("overwrite").save()  # warm-up
         for _ in range(runs):
             t = time.perf_counter()
             queries[name](spark, sf).write.format("noop").mode("overwrite").save()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.frames import rolling_bad_count
 from ..plans.scans import belief_scan, prefix_agg
 from ..functions.scoring import reliability_a
+from ..session import materialize
 from ..streaming.controller import ControllerParams
 from ..streaming.score import alarm_rollup, score_stream, with_reference_scores
 from .fixtures import STREAM, r6, streams
@@ -22,7 +23,7 @@ CONSECUTIVE = dict(profile="consecutive", start=3, switch=5, required=3, rewarm=
 
 def _reference(spark, d):
     """Signals with reference scores; mean over the clean prefix, variance over everything."""
-    s = streams(spark, d)
+    s = materialize(streams(spark, d))  # read twice: statistics and scoring
     stats = s.agg(F.array(F.avg(F.when(F.col("t") < 20, F.col("s")))).alias("mu"), F.array(F.var_samp("s")).alias("var"))
     local = stats.first()  # one mean and one variance
     one = spark.createDataFrame([local], stats.schema)
