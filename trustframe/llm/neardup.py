@@ -3,7 +3,7 @@
 Texts with equal shingle sets form a class.  Classes meet in MinHash bands; each band bucket links its
 members to one random member (a star, not all pairs).  Parity bitmaps of the MinHash samples estimate the
 similarity of a pair; likely pairs are confirmed on the full shingle sets.  Where a bucket still holds
-several components, the pairs between them are tested as well, so that no link is lost.
+several components, the pairs between them that can reach the limit are tested too, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ FLOOR = 0.5
 PART_BYTES = 1_000_000
 BROADCAST_ROWS = 200_000
 STAR_ROUNDS = 2
+# Nodes per block of a region and shingles counted at once in a tile.
+TILE_ROWS, TILE_COLUMNS = 256, 4096
 
 
 def seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +137,27 @@ def small_or_not(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if up_to(df, BROADCAST_ROWS) else df
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, members): the full shingle sets of the distinct ``nodes``, from one text of each class."""
     who = stored(classes.select("node", "cls", "th").join(nodes, "node", "left_semi"), "near-nodes")
     texts = docs.select("th", "raw").join(small_or_not(who.select("th").distinct()), "th", "left_semi")
     texts = texts.groupBy(F.md5("raw").alias("d")).agg(F.first("raw").alias("raw")).select("raw")  # copies collapse in the map tasks
-    sets = full_sets(texts).dropDuplicates(["cls"]).join(who.select("node", "cls"), "cls").select("node", "members")
-    sets = stored(sets, "near-sets")
+    sets = full_sets(texts).dropDuplicates(["cls"]).join(who.select("node", "cls"), "cls")
+    return stored(sets.select("node", "members"), "near-sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the similarity."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     common = F.size(F.array_intersect("ma", "mb"))
     return two.where(100 * common >= PERCENT * (F.size("ma") + F.size("mb") - common)).select("a", "b")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the nodes on edges (a, b): hook to the smallest neighbour, contract, repeat."""
     label, e = None, stored(edges.where("a <> b").distinct(), "near-edges")
@@ -188,43 +197,108 @@ def grown(comps: DataFrame, links: DataFrame) -> DataFrame:
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, comp) for all classes that have a link to another one."""
     spark = classes.sparkSession
-    members = classes.select("node", F.explode("bands").alias("bucket"))
-    order = F.xxhash64("bucket", "node")
-    centers = members.groupBy("bucket").agg(F.min_by("node", order).alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = stored(members.join(centers, "bucket"), "near-buckets")
     facts = classes.select("node", "n", "sketch")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        two = one.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        near = two.withColumn("est", estimate(F.col("sa"), F.col("sb")))
-        return near.where((F.col("est") >= FLOOR) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b", "est")
-
-    ends = members.where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    star = stored(likely(ends), "near-star")
-    tested = star.select("a", "b").limit(0)
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+    members = stored(members.join(several, "bucket"), "near-buckets")
     comps = stored(spark.createDataFrame([], "node long, comp long"), "near-comps")
+    tested = stored(spark.createDataFrame([], "a long, b long"), "near-pairs")
     for k in range(STAR_ROUNDS):
-        todo = apart(star.join(tested, ["a", "b"], "left_anti"), comps)
-        if k < STAR_ROUNDS - 1:  # first the best partner of each node; that settles most of the others
-            best = todo.select("a", "b", "est", F.explode(F.array("a", "b")).alias("node"))
-            todo = best.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        todo = stored(todo.select("a", "b"), "near-pairs")
+        # one member of each bucket, the same for buckets with nearly the same members; another one each round
+        side = with_comp(members, comps, "node", "comp")
+        first = side.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(k), "node")).alias("c"))
+        pairs = side.join(first, "bucket").where(F.col("comp") != F.col("c.comp"))
+        pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        todo = stored(likely(pairs.join(tested, ["a", "b"], "left_anti"), facts), "near-pairs")
         if not todo.isEmpty():
-            comps = grown(comps, confirm(todo, classes, docs))
+            comps = grown(comps, confirm(todo, sets_of(ends_of(todo), classes, docs)))
             tested = tested.union(todo)
-    # buckets that still hold several components: the pairs between these, filtered by the sketches inside the join
-    split = with_comp(members.select("bucket", "node"), comps, "node", "comp")
-    split = stored(split, "near-split")
-    mixed_buckets = split.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    side = split.join(mixed_buckets, "bucket").join(facts, "node")
-    side = stored(side, "near-sides")
-    left, right = (side.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "sketch")]) for s in "xy")
-    close = (F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y"))
-    close = close & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")) & (estimate(F.col("sketch_x"), F.col("sketch_y")) >= FLOOR)
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & close).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    return comps if rest.isEmpty() else grown(comps, confirm(rest, classes, docs))
+    split = stored(with_comp(members.select("bucket", "node"), comps, "node", "comp"), "near-split")
+    mixed_up = split.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    side = stored(split.join(mixed_up, "bucket").join(facts, "node"), "near-sides")
+    links = stored(between(side, classes, docs), "near-links")
+    return comps if links.isEmpty() else grown(comps, links)
+
+
+def likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs whose sizes and sketches allow the similarity."""
+    one = pairs.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    two = one.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    near = estimate(F.col("sa"), F.col("sb")) >= FLOOR
+    return two.where(near & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b")
+
+
+def between(side: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components whose nodes share a bucket, one per pair of components and tile.
+
+    ``side`` has bucket, node, comp, n and sketch.  A semi join finds the nodes that have any partner by
+    sketch in another component.  Nodes connected by buckets form a region; a region is cut into blocks and
+    every pair of blocks is a tile, whose task counts the intersections of full sets and emits links only.
+    """
+
+    def pick(s: str) -> DataFrame:
+        return side.select(*[F.col(c).alias(f"{c}_{s}") for c in side.columns])
+
+    x, y = pick("x"), pick("y")
+    near = (x["bucket_x"] == y["bucket_y"]) & (F.col("comp_x") != F.col("comp_y"))
+    near = near & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y"))
+    near = near & (estimate(F.col("sketch_x"), F.col("sketch_y")) >= FLOOR)
+    active = stored(x.join(y, near, "left_semi").select(F.col("node_x").alias("node"), F.col("comp_x").alias("comp")).distinct(), "near-active")
+    sets = sets_of(active.select("node"), classes, docs)
+    held = side.join(active.select("node"), "node", "left_semi").select("bucket", "node")
+    first = held.groupBy("bucket").agg(F.min("node").alias("b"))
+    regions = components(held.join(first, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    regions = regions.withColumnRenamed("comp", "region")
+    cut = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks"))
+    rows = active.join(regions, "node").join(cut, "region").join(sets, "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "members")
+    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = rows.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j")
+    return tiles.mapInPandas(tile_links, "a long, b long")
+
+
+def tile_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk rows sorted by tile; a tile's rows (two blocks at most) are held together."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch[["region", "i", "j"]].to_numpy()
+        edges = [0, *(np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1).tolist(), len(batch)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            part = batch.iloc[lo:hi]
+            if held and (held[-1].iloc[-1][["region", "i", "j"]].tolist() != part.iloc[0][["region", "i", "j"]].tolist()):
+                yield links_of(pd.concat(held) if len(held) > 1 else held[0])
+                held = []
+            held.append(part)
+    if held:
+        yield links_of(pd.concat(held) if len(held) > 1 else held[0])
+
+
+def links_of(tile: pd.DataFrame) -> pd.DataFrame:
+    """The links between components in one tile, one for each pair of components."""
+    node, comp = tile["node"].to_numpy(), tile["comp"].to_numpy()
+    size = np.array([len(m) for m in tile["members"]])
+    left, right = (np.nonzero(tile["block"].to_numpy() == tile[c].iloc[0])[0] for c in ("i", "j"))
+    _, column = np.unique(np.concatenate(list(tile["members"])), return_inverse=True)
+    row = np.repeat(np.arange(len(tile)), size)
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, TILE_COLUMNS):
+        here = (column >= at) & (column < at + TILE_COLUMNS)
+        grid = np.zeros((len(tile), TILE_COLUMNS), np.float32)
+        grid[row[here], column[here] - at] = 1
+        both += grid[left] @ grid[right].T
+    union = size[left][:, None] + size[right][None, :] - both
+    p, q = np.nonzero((100 * both >= PERCENT * union) & (comp[left][:, None] != comp[right][None, :]))
+    p, q = left[p], right[q]
+    low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
+    _, one = np.unique(np.stack([low, high]), axis=1, return_index=True) if len(p) else (None, np.empty(0, int))
+    return pd.DataFrame({"a": node[p[one]], "b": node[q[one]]})
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
