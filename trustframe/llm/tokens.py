@@ -28,9 +28,12 @@ from .hashing import small_batches
 from .shared import attempt_name, make_folder, partition_id, place, read_range
 
 SEGMENT_IDS = 4_000_000
-PART_BYTES = 2_000_000
-CACHE_WORDS = 600_000
+PART_BYTES = 6_000_000
+CACHE_WORDS = 900_000
 END_ID = 1
+TOGETHER = 64
+# ASCII signs that the split rule keeps apart from letters; the apostrophe starts contractions and is not one.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"TKS1"
 
 
@@ -38,21 +41,77 @@ class WordIds(dict):
     """Packed ids by word (bytes between ASCII white space).
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in
-    order.  Plain letters followed by one mark, and upper case, are derived from the parts.
+    order.  With ``suffix``, the mark of a word's last token, letters and the signs behind them are looked up
+    apart and unknown letter words are encoded many at a time.
     """
 
-    def __init__(self, tokenizer, kind: str, pieces: bool):
-        self.tokenizer, self.kind, self.pieces = tokenizer, kind, pieces
-
-    def __missing__(self, word: bytes) -> bytes:
-        if self.pieces and len(word) > 1 and word[:-1].isalpha() and word[-1:] in b".,;:!?":
-            return self[word[:-1]] + self[word[-1:]]
-        if self.pieces and word.isalpha() and not word.islower():
-            return self[word.lower()]
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, self.kind).tobytes()
+    def __init__(self, tokenizer, kind: str, suffix: str | None):
+        self.tokenizer, self.kind, self.suffix = tokenizer, kind, suffix
+        if suffix:
+            vocab = tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            # same model without normal form and split rule, for words that these leave as they are
+            from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+            self.quick = Tokenizer.from_str(tokenizer.to_str())
+            self.quick.normalizer = normalizers.Sequence([])
+            self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, got)}
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters, in lower case where they are ASCII."""
+        out = self._joined(self.quick, [w for w in words if w.isascii()])
+        return out | self._joined(self.tokenizer, [w for w in words if not w.isascii()])
+
+    def _joined(self, tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        got = tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        out = {}
+        for group, e in zip(groups, got):
+            ids = np.array(e.ids, self.kind)
+            ends = (np.nonzero(self.last[ids])[0] + 1) * ids.itemsize
+            if len(ends) != len(group):  # not one run of letters each after all
+                out |= self._each(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, ends.tolist()):
+                out[w] = raw[at:end]
+                at = end
+        return out
+
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of all ``words``; new ones are remembered while there is room (frequent words come early)."""
+        known = list(words & self.keys())
+        out = dict(zip(known, map(self.__getitem__, known)))
+        new = words.difference(out)
+        made = self._each(list(new)) if not self.suffix else self._apart(new)
+        out.update(made)
+        if len(self) < CACHE_WORDS:
+            self.update(made)
+        return out
+
+    def _apart(self, words: set[bytes]) -> dict[bytes, bytes]:
+        letters, other, split = set(), [], []
+        for w in words:
+            base = w.rstrip(SIGNS)
+            if base and (base.isalpha() or not base.isascii() and base.decode("utf-8", "replace").isalpha()):
+                low = base.lower()
+                split.append((w, low, w[len(base) :]))
+                letters.add(low)
+            else:
+                other.append(w)
+        tails = {tail for _, _, tail in split}
+        made = self._each(list(tails.union(other)))
+        out = {w: made[w] for w in other}
+        heads = [w for w in letters if w not in self]
+        ids = self._letters(heads)
+        for w, low, tail in split:
+            head = ids[low] if low in ids else self[low]
+            out[w] = head + made[tail] if tail else head
         return out
 
 
@@ -65,17 +124,17 @@ def word_ids(path: str) -> WordIds:
     if getattr(memo, "path", None) != path:
         t = Tokenizer.from_file(path)
         kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-        # exact by the normal form and the split rule; checked on a probe for tokenizers of another kind
         probe = lambda s: t.encode(s, add_special_tokens=False).ids
-        pieces = probe("Abc,") == probe("abc") + probe(",")
         if probe("ab  c\nd") != probe("ab") + probe("c") + probe("d"):
             raise ValueError("this tokenizer keeps white space; words cannot be encoded one by one")
-        memo.path, memo.ids = path, WordIds(t, kind, pieces)
+        byte_level = "ByteLevel" in repr(t.pre_tokenizer)
+        apart = byte_level and probe("Abc,.") == probe("abc") + probe(",.")
+        memo.path, memo.ids = path, WordIds(t, kind, getattr(t.model, "end_of_word_suffix", None) if apart else None)
     return memo.ids
 
 
 def segments(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """(shard, seg, ids of documents as JSON, lengths, packed ids, width) in ascending order of ids."""
+    """(shard, seg, ids of documents as JSON, lengths, packed ids, width, id counts) in ascending order of ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, shard, seg = word_ids(tokenizer), partition_id(), 0
@@ -84,12 +143,16 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, segme
         names, lens, parts, held = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"shard": [shard], "seg": [seg], "names": [json.dumps(names)], "lens": [lens], "ids": [b"".join(parts)], "width": [size]})
+            ids = b"".join(parts)
+            counts = np.bincount(np.frombuffer(ids, cache.kind)).astype("<u4").tobytes()
+            return pd.DataFrame({"shard": [shard], "seg": [seg], "names": [json.dumps(names)], "lens": [lens], "ids": [ids], "width": [size], "counts": [counts]})
 
         for batch in batches:
             for part in small_batches(batch, "raw", PART_BYTES):
-                for name, raw in zip(part["name"], part["raw"]):
-                    packed = b"".join(map(cache.__getitem__, raw.split())) + end if raw else end
+                lists = [raw.split() if raw else [] for raw in part["raw"]]
+                ids_of = cache.of(set().union(*lists)).__getitem__
+                for name, ws in zip(part["name"], lists):
+                    packed = b"".join(map(ids_of, ws)) + end
                     names.append(name)
                     lens.append(len(packed) // size)
                     parts.append(packed)
@@ -102,7 +165,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, segme
 
     d = docs.repartitionByRange(F.col("doc_id"), F.col("th")).sortWithinPartitions("doc_id", "th")
     d = d.select(F.col("doc_id").cast("string").alias("name"), "raw")
-    return d.mapInPandas(run, "shard int, seg int, names string, lens array<int>, ids binary, width int")
+    return d.mapInPandas(run, "shard int, seg int, names string, lens array<int>, ids binary, width int, counts binary")
 
 
 def id_counts(segs: DataFrame) -> DataFrame:
@@ -111,14 +174,14 @@ def id_counts(segs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch["ids"], batch["width"]):
-                c = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
-                c[: len(total)] += total
-                total = c
+            for raw in batch["counts"]:
+                c = np.frombuffer(raw, "<u4").astype(np.int64)
+                total, c = (total, c) if len(total) >= len(c) else (c, total)
+                total[: len(c)] += c
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"id": at, "n": total[at]})
 
-    return segs.select("ids", "width").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return segs.select("counts").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_files(segs: DataFrame, folder: str, freq: np.ndarray) -> DataFrame:
@@ -142,7 +205,7 @@ def write_files(segs: DataFrame, folder: str, freq: np.ndarray) -> DataFrame:
                 rows.append((r.shard, r.seg, f"{folder}/{name}", len(ids)))
             yield pd.DataFrame(rows, columns=["shard", "seg", "file", "n_ids"])
 
-    return segs.mapInPandas(run, "shard int, seg int, file string, n_ids long")
+    return segs.drop("counts").mapInPandas(run, "shard int, seg int, file string, n_ids long")
 
 
 def read_file(file: str, code: rans.Table) -> tuple[list, list[int], np.ndarray]:
