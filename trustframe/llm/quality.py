@@ -92,7 +92,7 @@ def compile_rules(rules: Sequence[tuple], c: dict[str, Column]) -> Column:
     """True when a row passes every rule of the table."""
     ok = F.lit(True)
     for _, top, bottom, least, low, high in rules:
-        ratio = c[top] / c[bottom]
+        ratio = F.try_divide(c[top], c[bottom])
         inside = F.lit(True)
         if low is not None:
             inside = inside & (ratio >= low)
