@@ -22,7 +22,7 @@ from .common import table
 from .hashing import small_batches
 
 # Bounds of the training sample, in documents of each label; drawn by id digest from all labelled training rows.
-MAX_TOXIC, MAX_CLEAN = 1_000, 1_500
+MAX_TOXIC, MAX_CLEAN = 800, 1_200
 RUN = 64
 PREFIXES = (3, 4, 5, 6)
 MIN_SUPPORT, MIN_PRECISION = 4, 0.9
