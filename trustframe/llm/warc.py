@@ -255,7 +255,8 @@ def lookup(keys: DataFrame, archives: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["key", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
-    k = keys.select("key", "page_id").distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # keys are small, their searches are not: no fewer tasks
+    k = keys.select("key", "page_id").distinct().repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
     return k.mapInPandas(run, f"key string, page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
 
 
