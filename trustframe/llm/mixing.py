@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WS, free_name, table, whole
+from .common import WS, free_name, stored, table, whole
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -156,8 +156,8 @@ def mix_amounts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     order.  NULL and repeated ids and repeated rows keep a row each; of equal rows it is open which takes
     which share, their multiset is fixed.  An empty table gives no row.  Other columns are ignored.
     """
-    rows = prepared(docs, doc_id, text, source)
-    sources = sources_of(rows, block)
+    rows = stored(prepared(docs, doc_id, text, source), "mix-rows")  # the texts are read once
+    sources = stored(sources_of(rows, block), "mix-sources")
     slots = slot_plan(sources, block=block)
     whole_uses = F.when(F.col("take") == F.col("_len"), 1).otherwise(0)
     uses = slots.join(sources.select("skey", "n_full", "tail"), "skey").withColumn("_len", F.when(F.col("block") < F.col("n_full"), F.lit(block)).otherwise(F.col("tail")))
@@ -180,8 +180,8 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     A text taken whole stays as it is; of others the taken words remain, joined by blanks.  Edge cases as
     in ``mix_amounts``; rows without words are not part of a mix.
     """
-    rows = prepared(docs, doc_id, text, source)
-    sources = sources_of(rows, block)
+    rows = stored(prepared(docs, doc_id, text, source), "mix-rows")
+    sources = stored(sources_of(rows, block), "mix-sources")
     n_rows = rows.count()
     slots = slot_plan(sources, block=block).select("skey", "epoch", "block", "take")
     p = pieces(placed(rows, n_rows).where("_size > 0").select("skey", "_size", "off"), block)
