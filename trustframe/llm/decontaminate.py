@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, row_key, scratch, stored, table
 from .hashing import WordHash, rolling, small_batches, word_hashes
+from .shared import forget
 
 WINDOW = 10
 # Windows per broadcast block; a larger benchmark is looked up block by block.
@@ -64,6 +65,7 @@ def _find(docs: DataFrame, known) -> DataFrame:
     """Per row of (doc_id, key, raw): word count, hit word ranges and item ids found."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         flags, hashes, items, lengths = known.value
         cache = WordHash()
         for batch in batches:

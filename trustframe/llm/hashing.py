@@ -8,16 +8,16 @@ import numpy as np
 import xxhash
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 class WordHash(dict):
-    """64-bit hash by word, remembered; emptied when it holds ``CACHE_WORDS`` words."""
+    """64-bit hash by word; the first ``CACHE_WORDS`` words are remembered (frequent words come early)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
+        out = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = out
         return out
 
 

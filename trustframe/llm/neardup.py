@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, row_key, stored, table, up_to
 from .hashing import WordHash, mixed, rolling, small_batches, word_hashes
+from .shared import forget
 
 SHINGLE = 5
 PERCENT = 75
@@ -101,6 +102,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """(doc_id, th, raw) -> doc_id, th, n, cls (set digest), bands, sketch; NULL cls without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         cache = WordHash()
         for batch in batches:
             for part in small_batches(batch, "raw", PART_BYTES):
@@ -124,6 +126,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
     """(raw) -> cls, members: the shingle set of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         cache = WordHash()
         for batch in batches:
             for part in small_batches(batch, "raw", PART_BYTES):
@@ -261,6 +264,7 @@ def between(side: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def tile_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk rows sorted by tile; a tile's rows (two blocks at most) are held together."""
+    forget()
     held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):

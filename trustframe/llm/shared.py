@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from pyarrow import fs
 
@@ -30,6 +31,11 @@ def partition_id() -> int:
     return ctx.partitionId() if ctx else 0
 
 
+def forget() -> None:
+    """Free the word ids that an earlier token stage left in this Python worker."""
+    sys.modules.pop("_word_id_memo", None)
+
+
 def make_folder(uri: str) -> None:
     system, path = place(uri)
     system.create_dir(path, recursive=True)

@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from . import rans
 from .common import scratch, table
 from .hashing import small_batches
-from .shared import attempt_name, make_folder, partition_id, place, read_range
+from .shared import attempt_name, forget, make_folder, partition_id, place, read_range
 
 SEGMENT_IDS = 4_000_000
 PART_BYTES = 6_000_000
-CACHE_WORDS = 900_000
+CACHE_WORDS = 700_000
 END_ID = 1
 TOGETHER = 64
 # ASCII signs that the split rule keeps apart from letters; the apostrophe starts contractions and is not one.
@@ -188,6 +188,7 @@ def write_files(segs: DataFrame, folder: str, freq: np.ndarray) -> DataFrame:
     """One file per segment; returns (shard, seg, file, n_ids)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         code = rans.Table(freq)
         system, root = place(folder)
         for batch in batches:
@@ -276,6 +277,7 @@ def read_tokens(files: TokenFiles, doc_type: str = "bigint") -> DataFrame:
     freq, spark = files.freq, files.parts.sparkSession
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         code = rans.Table(freq)
         for batch in batches:
             for r in batch.itertuples():
