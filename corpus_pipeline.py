@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from trustframe.llm import decontaminate, mixing, neardup, quality, tokens
 from trustframe.llm.common import stored, table
 
+# Fewer than the operator's default: the stages' Python workers share the executors' memory.
+REMEMBERED_WORDS = 250_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -38,7 +41,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Coded token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.read_tokens(tokens.write_tokens(docs, tokens.default_tokenizer()), docs.schema["doc_id"].dataType.simpleString())
+    files = tokens.write_tokens(docs, tokens.default_tokenizer(), remembered=REMEMBERED_WORDS)
+    return tokens.read_tokens(files, docs.schema["doc_id"].dataType.simpleString())
 
 
 STAGES = [

@@ -29,7 +29,7 @@ from .shared import attempt_name, forget, make_folder, partition_id, place, read
 
 SEGMENT_IDS = 4_000_000
 PART_BYTES = 6_000_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 900_000
 END_ID = 1
 TOGETHER = 64
 # ASCII signs that the split rule keeps apart from letters; the apostrophe starts contractions and is not one.
@@ -45,8 +45,8 @@ class WordIds(dict):
     apart and unknown letter words are encoded many at a time.
     """
 
-    def __init__(self, tokenizer, kind: str, suffix: str | None):
-        self.tokenizer, self.kind, self.suffix = tokenizer, kind, suffix
+    def __init__(self, tokenizer, kind: str, suffix: str | None, most: int = CACHE_WORDS):
+        self.tokenizer, self.kind, self.suffix, self.most = tokenizer, kind, suffix, most
         if suffix:
             vocab = tokenizer.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -90,7 +90,7 @@ class WordIds(dict):
         new = words.difference(out)
         made = self._each(list(new)) if not self.suffix else self._apart(new)
         out.update(made)
-        if len(self) < CACHE_WORDS:
+        if len(self) < self.most:
             self.update(made)
         return out
 
@@ -115,13 +115,13 @@ class WordIds(dict):
         return out
 
 
-def word_ids(path: str) -> WordIds:
-    """The words' ids of a tokenizer file, kept for the life of a Python worker."""
+def word_ids(path: str, most: int = CACHE_WORDS) -> WordIds:
+    """The words' ids of a tokenizer file, kept for the life of a Python worker; about ``most`` are remembered."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     memo = sys.modules.setdefault("_word_id_memo", types.ModuleType("_word_id_memo"))
-    if getattr(memo, "path", None) != path:
+    if getattr(memo, "made_for", None) != (path, most):
         t = Tokenizer.from_file(path)
         kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
         probe = lambda s: t.encode(s, add_special_tokens=False).ids
@@ -129,15 +129,15 @@ def word_ids(path: str) -> WordIds:
             raise ValueError("this tokenizer keeps white space; words cannot be encoded one by one")
         byte_level = "ByteLevel" in repr(t.pre_tokenizer)
         apart = byte_level and probe("Abc,.") == probe("abc") + probe(",.")
-        memo.path, memo.ids = path, WordIds(t, kind, getattr(t.model, "end_of_word_suffix", None) if apart else None)
+        memo.made_for, memo.ids = (path, most), WordIds(t, kind, getattr(t.model, "end_of_word_suffix", None) if apart else None, most)
     return memo.ids
 
 
-def segments(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+def segments(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, segment_ids: int = SEGMENT_IDS, remembered: int = CACHE_WORDS) -> DataFrame:
     """(shard, seg, ids of documents as JSON, lengths, packed ids, width, id counts) in ascending order of ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, shard, seg = word_ids(tokenizer), partition_id(), 0
+        cache, shard, seg = word_ids(tokenizer, remembered), partition_id(), 0
         size = np.dtype(cache.kind).itemsize
         end = b"" if end_id is None else np.array([end_id], cache.kind).tobytes()
         names, lens, parts, held = [], [], [], 0
@@ -245,18 +245,21 @@ class TokenFiles:
         self.folder, self.parts, self.freq = folder, parts, freq
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, segment_ids: int = SEGMENT_IDS) -> TokenFiles:
+def write_tokens(
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, segment_ids: int = SEGMENT_IDS, remembered: int = CACHE_WORDS
+) -> TokenFiles:
     """Encode every whole text, append ``end_id``, and write coded files in ascending order of ids.
 
     NULL text counts as empty (only the end id).  NULL ids come first; equal ids are ordered by text hash, so
     repeated rows stand side by side.  An empty table writes no file.  Other columns are ignored.  The
-    frequency table has at most one entry per id of the vocabulary and covers all documents.
+    frequency table has at most one entry per id of the vocabulary and covers all documents.  ``remembered``
+    words keep their ids in each Python worker, which saves time and changes no result.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "token-files")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("binary").alias("raw"))
     plain = scratch(spark, "token-segments")
-    segs = segments(d, tokenizer, end_id, segment_ids)
+    segs = segments(d, tokenizer, end_id, segment_ids, remembered)
     segs.write.option("compression", "zstd").parquet(plain)
     segs = spark.read.schema(segs.schema).parquet(plain)
     counts = id_counts(segs).collect()
