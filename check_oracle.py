@@ -67,7 +67,7 @@ def force_distributed() -> None:
     scans.SEGMENT, scans.BELIEF_SEGMENT = 16, 16
     lookup.BROADCAST_ROWS = 0
     family.INLINE_VALUES = 0
-    points.FRAME_TASK_POINTS, points.POINT_BUCKET = 100, 64
+    points.FRAME_TASK_POINTS = 100
     cluster.SINGLE_TASK_ITEMS = 5
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
+from ..plans.ranks import rank_in_group
 from ..plans.tiles import matrix, self_tiles
 from ..session import materialize
 from .fit import mean_vector
@@ -90,7 +91,7 @@ def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z
     id_type = df.schema[row_id].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
+        pdf = pdf.sort_values(row_id, kind="stable", na_position="first")
         x = np.stack([np.asarray(v, float) for v in pdf[z]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         return pd.DataFrame({row_id: pdf[row_id], "cluster": cut_merges(len(x), linkage_cosine(x), k)})
@@ -101,13 +102,12 @@ def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z
 def _merge_rounds(df: DataFrame, k: int, n: int, row_id: str, z: str) -> DataFrame:
     """Reciprocal-nearest-neighbour rounds, then the n - k lowest merges decide the clusters.
 
-    Ends early once the unmerged clusters' nearest distances all exceed the merges
-    needed.  Each round stores its tables in the checkpoint folder.
+    Items carry their place in the order of ``row_id``, so NULL and repeated ids stay apart and clusters are
+    numbered by first member.  Each round stores its tables in the checkpoint folder.
     """
-    state = materialize(
-        df.select(F.xxhash64(F.col(row_id).cast("string")).alias("pid"), l2_normalize(z).alias("z"), F.lit(1.0).alias("c"))
-    )
-    members = materialize(df.select(row_id, F.xxhash64(F.col(row_id).cast("string")).alias("node")))
+    items = materialize(rank_in_group(df.select(row_id, z), [], [F.col(row_id)], "node"))
+    state = items.select(F.col("node").alias("pid"), l2_normalize(z).alias("z"), F.lit(1.0).alias("c"))
+    members = items.select(row_id, "node")
     edges = None
     while True:
         nn = _cluster_neighbours(state)
@@ -127,9 +127,9 @@ def _merge_rounds(df: DataFrame, k: int, n: int, row_id: str, z: str) -> DataFra
     # Keep the n - k lowest merges; connected members share a cluster (label = smallest node reached).
     keep = n - k
     if keep <= 0 or edges is None:
-        return members.select(row_id, F.dense_rank().over(_by_node()).cast("int").alias("cluster"))
+        return members.select(row_id, F.col("node").cast("int").alias("cluster"))
     low = materialize(edges.orderBy("h", "pid").limit(keep))
-    labels = materialize(members.select("node").distinct().withColumn("label", F.col("node")))
+    labels = members.select("node", F.col("node").alias("label"))
     both = materialize(low.select(F.col("pid").alias("a"), F.col("near").alias("b")).unionByName(low.select(F.col("near").alias("a"), F.col("pid").alias("b"))))
     while True:
         pushed = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
@@ -141,21 +141,9 @@ def _merge_rounds(df: DataFrame, k: int, n: int, row_id: str, z: str) -> DataFra
         labels = nxt
         if not changed:
             break
-    roots = labels.select("label").distinct()
-    codes = roots.withColumn("cluster", F.dense_rank().over(_by_label()).cast("int") - 1)  # k rows
-    return members.join(labels, "node").join(codes, "label").select(row_id, "cluster")
-
-
-def _by_node():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy().orderBy("node")
-
-
-def _by_label():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy().orderBy("label")
+    codes = rank_in_group(labels.select("label").distinct(), [], [F.col("label")], "cluster")
+    coded = labels.join(codes, "label").select("node", F.col("cluster").cast("int").alias("cluster"))
+    return members.join(coded, "node").select(row_id, "cluster")
 
 
 def _cluster_neighbours(state: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import delta
 from ..plans.lookup import salted_join
-from ..plans.ranks import exact_quantiles, hash_bucket, rank_in_group
+from ..plans.ranks import exact_quantiles, rank_in_group
 from .fit import mean_vector
 
 # Corruption families of the two labelled-image layouts.
@@ -63,8 +63,8 @@ def cyclic_pair(corrupt: DataFrame, clean: DataFrame, order: str, z: str = "z",
     to ``CLEAN_FANOUT`` sub-keys and corrupt rows rotate over them.
     """
     keys = list(keys)
-    bad = rank_in_group(corrupt, keys, [F.col(order)], "k", by=F.col(order))
-    good = rank_in_group(clean.select(*keys, order, z), keys, [F.col(order)], "slot", by=F.col(order), total="n_clean")
+    bad = rank_in_group(corrupt, keys, [F.col(order)], "k")
+    good = rank_in_group(clean.select(*keys, order, z), keys, [F.col(order)], "slot", total="n_clean")
     good = good.select(*keys, "slot", "n_clean", F.col(z).alias("z_clean"))
     sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clean"))
     if keys:
@@ -140,7 +140,7 @@ def sample_n(df: DataFrame, keys: Sequence[str], row_id: str, n: int, seed: int)
         w = W.partitionBy(*keys).orderBy("_h", row_id)
         return df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
     d = df.withColumn("_h", h)
-    ranked = rank_in_group(d, keys, [F.col("_h"), F.col(row_id)], "_k", bucket=hash_bucket(F.col("_h"), 3))
+    ranked = rank_in_group(d, keys, [F.col("_h"), F.col(row_id)], "_k")
     return ranked.where(F.col("_k") < n).drop("_h", "_k")
 
 
@@ -169,7 +169,7 @@ def aggregate_delta(df: DataFrame, keys: Sequence[str], mode: str, z: str = "del
         return exact_quantiles(long, "v", [0.5], [*keys, "dim"]).select(*keys, "dim", "value")
     if mode != "trimmed_mean":
         raise ValueError(f"unsupported aggregation {mode}")
-    ranked = rank_in_group(long, [*keys, "dim"], [F.col("v")], "r", by=F.col("v"), total="n")
+    ranked = rank_in_group(long, [*keys, "dim"], [F.col("v")], "r", total="n")
     cut = F.floor(F.col("n") * F.lit(float(trim)))
     inner = ranked.where((F.col("r") >= cut) & (F.col("r") < F.col("n") - cut))
     return inner.groupBy(*keys, "dim").agg(F.avg("v").alias("value"))

@@ -13,6 +13,7 @@ from pyspark.sql.functions import arrow_udf
 from ..functions.vectors import is_finite
 from ..plans.ranks import exact_quantiles
 from ..plans.tiles import cross_tiles, matrix, vectors
+from ..session import materialize
 
 # A model of at most this many numbers is shipped to every task; larger ones are joined block by block.
 INLINE_VALUES = 4_000_000
@@ -91,7 +92,8 @@ def nearest_of_table(
 
         return df.withColumn("_s", score(F.col(z))).withColumn("pred", F.col("_s.pred")).withColumn("min_d", F.col("_s.min_d")).drop("_s")
 
-    id_type = df.schema[row_id].dataType.simpleString()
+    # Own row numbers: ids may be NULL or repeat.  Stored, as both uses must see the same numbers.
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
@@ -105,12 +107,12 @@ def nearest_of_table(
             {"rid": a.column("rid"), "pred": b.column("lab").take(pa.array(best)), "min_d": pa.array(d[np.arange(len(best)), best])}
         )
 
-    left = df.select(F.col(row_id).alias("rid"), F.col(z).alias("zz"))
+    left = df.select(F.col("_row").alias("rid"), F.col(z).alias("zz"))
     right = table.select(F.col(label).alias("lab"), *columns)
-    partial = cross_tiles(left, right, "rid", "lab", tile, f"rid {id_type}, pred {label_type}, min_d double")
+    partial = cross_tiles(left, right, "rid", "lab", tile, f"rid long, pred {label_type}, min_d double")
     best = partial.groupBy("rid").agg(F.min(F.struct("min_d", "pred")).alias("b"))
-    best = best.select(F.col("rid").alias(row_id), F.col("b.pred").alias("pred"), F.col("b.min_d").alias("min_d"))
-    return df.join(best, row_id)
+    best = best.select(F.col("rid").alias("_row"), F.col("b.pred").alias("pred"), F.col("b.min_d").alias("min_d"))
+    return df.join(best, "_row", "left").drop("_row")
 
 
 def nearest_family(df: DataFrame, model: DataFrame, family: str = "family", z: str = "z", row_id: str = "vec_id",

@@ -81,7 +81,7 @@ def supcon_by_batch(df: DataFrame, row_id: str, label: str, batch_size: int, z:
     """
     if batch_size > 8192:
         raise ValueError("a batch is one matrix; keep it at 8192 rows or fewer")
-    ranked = rank_in_group(df.select(row_id, label, z), [], [F.col(row_id)], "_k", by=F.col(row_id))
+    ranked = rank_in_group(df.select(row_id, label, z), [], [F.col(row_id)], "_k")
     ranked = ranked.withColumn("batch", F.floor(F.col("_k") / batch_size).cast("long"))
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions.vectors import jaccard, l2_normalize
 from ..plans.lookup import attach_facts
-from ..plans.ranks import auroc_from_counts, hash_bucket, ordered_counts, rank_in_group
+from ..plans.ranks import auroc_from_counts, ordered_counts, rank_in_group
 from ..plans.tiles import matrix, self_tiles
 from ..session import materialize
 from .fit import key_ddl, moments
@@ -512,7 +512,7 @@ def sampled_pairs(points: DataFrame, max_pairs: int, seed: int, metric: str, top
     """
     from ..functions.vectors import cosine_distance, l2_distance, topk_dims
 
-    numbered = materialize(rank_in_group(points.select("pid", "family", "z"), [], [F.col("pid")], "i", by=F.col("pid")))
+    numbered = materialize(rank_in_group(points.select("pid", "family", "z"), [], [F.col("pid")], "i"))
     n = numbered.count()
     if n > 3_000_000_000:
         raise ValueError("pair numbers would overflow a long")
@@ -557,7 +557,7 @@ def permuted_labels(points: DataFrame, n_perm: int, seed: int) -> DataFrame:
     ends = edges.agg(F.array_sort(F.collect_list("hi")).alias("e"))
     thin = points.select("pid", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("p"))
     thin = thin.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), "p", "pid")))
-    ranked = rank_in_group(thin, ["p"], [F.col("h"), F.col("pid")], "r", bucket=hash_bucket(F.col("h")))
+    ranked = rank_in_group(thin, ["p"], [F.col("h"), F.col("pid")], "r")
     code = F.size(F.filter(F.col("e"), lambda x: x <= F.col("r")))
     ranked = ranked.withColumn("e", ends.scalar()).withColumn("code", code)
     per = ranked.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "code"))), lambda s: s["code"]).alias("perm"))

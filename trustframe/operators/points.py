@@ -16,15 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import all_finite, is_finite
 from ..plans.lookup import SALTS, salted_join, spread, with_group_stats
-from ..plans.ranks import hash_bucket, rank_in_group
+from ..plans.ranks import rank_in_group
 from ..session import materialize
 
 XYZ = ("x", "y", "z")
-POINT_BUCKET = 65_536
-
-
-def point_bucket(idx: str = "point_idx", size: int | None = None) -> Column:
-    return F.floor(F.col(idx) / (size or POINT_BUCKET)).cast("int")
 
 
 def drop_non_finite(points: DataFrame, frame: str, values: Sequence[str], frames: DataFrame, centre: dict[str, float]) -> DataFrame:
@@ -92,7 +87,7 @@ def select_keypoints(points: DataFrame, frame: str, target: int, descending: boo
     """Order by distance from the origin (ties by point index), then ``fixed_count``."""
     r = points.withColumn("radius", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2))
     key = -F.col("radius") if descending else F.col("radius")
-    ranked = rank_in_group(r, [frame], [key, F.col(row)], "rn", by=key, total="n")
+    ranked = rank_in_group(r, [frame], [key, F.col(row)], "rn", total="n")
     return fixed_slots(ranked, [frame], target).drop("n")
 
 
@@ -107,7 +102,7 @@ def resample_points(points: DataFrame, frame: str, max_points: int, min_points:
     p = with_group_stats(points, [frame], {"_n": F.count(F.lit(1))}, [row])
     h = F.md5(F.concat_ws("|", seed_col, F.col(frame), F.col(row)))
     big = p.where(F.col("_n") >= max_points).withColumn("_h", h)
-    big = rank_in_group(big, [frame], [F.col("_h"), F.col(row)], "slot", bucket=hash_bucket(F.col("_h"), 2))
+    big = rank_in_group(big, [frame], [F.col("_h"), F.col(row)], "slot")
     big = big.where(F.col("slot") < max_points).drop("_h", "_n")
 
     def draw(tag, slot, n):
@@ -207,7 +202,7 @@ def pillar_points(points: DataFrame, x_range, y_range, grid, max_pillars: int, m
     kept = pillars(points, x_range, y_range, grid, max_pillars, max_points, frames, frame).where(F.col("count") > 0)
     celled = with_cells(points, x_range, y_range, grid)
     inside = salted_join(celled, kept.select(frame, "ix", "iy", "pillar", "num_points"), [frame, "ix", "iy"], [row])
-    ranked = rank_in_group(inside, [frame, "pillar"], [F.col(row)], "rn", bucket=point_bucket(row), total="n")
+    ranked = rank_in_group(inside, [frame, "pillar"], [F.col(row)], "rn", total="n")
     return fixed_slots(ranked, [frame, "pillar"], max_points).drop("rn", "n")
 
 
@@ -248,14 +243,14 @@ def voxel_mean(points: DataFrame, ranges: dict[str, tuple[float, float]], size:
         v = v.withColumn(f"v{a}", F.floor((F.col(a) - lo) / size[a]).cast("int"))
     v = v.where(inside)
     cell = [frame, "vx", "vy", "vz"]
-    ranked = rank_in_group(v, cell, [F.col(row)], "rn", bucket=point_bucket(row))
+    ranked = rank_in_group(v, cell, [F.col(row)], "rn")
     first = ranked.where(F.col("rn") < max_points)
     means = first.groupBy(*cell).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in values])
     w = W.partitionBy(frame).orderBy("_first")
     if max_voxels <= 1000:
         capped = means.withColumn("voxel", F.row_number().over(w) - 1).where(F.col("voxel") < max_voxels)
     else:
-        capped = rank_in_group(means, [frame], [F.col("_first")], "voxel", bucket=point_bucket("_first")).where(F.col("voxel") < max_voxels)
+        capped = rank_in_group(means, [frame], [F.col("_first")], "voxel").where(F.col("voxel") < max_voxels)
     capped = capped.drop("_first").withColumn("voxel", F.col("voxel").cast("long"))
     bare = points.join(capped.select(frame).distinct(), frame, "left_anti")
     lone = bare.groupBy(frame).agg(*[F.min_by(c, row).alias(f"mean_{c}") for c in values])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,18 +24,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL meets NULL, for facts computed by grouping the rows themselves."""
+    facts = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(facts, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str | Column], how: str = "inner", salts: int = SALTS
+    left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str | Column], how: str = "inner", salts: int = SALTS, null_keys: bool = False
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
     Left rows spread over ``salts`` sub-keys, right rows (one fact row per key)
     are copied to each.  The optimizer still broadcasts a right side it measures
-    to be small at run time.
+    to be small at run time.  With ``null_keys`` NULL meets NULL.
     """
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     facts = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(facts, [*keys, "_salt"], how).drop("_salt")
+    on, salted = [*keys, "_salt"], left.withColumn("_salt", salt)
+    return (same_key_join(salted, facts, on, how) if null_keys else salted.join(facts, on, how)).drop("_salt")
 
 
 def attach_facts(left: DataFrame, facts: DataFrame, keys: Sequence[str], salt_by: Sequence[str | Column], how: str = "inner") -> DataFrame:
@@ -49,4 +59,4 @@ def with_group_stats(
 ) -> DataFrame:
     """Attach group aggregates: partial aggregation first, then a salted join (no unordered window)."""
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    return salted_join(df, stats, keys, salt_by)
+    return salted_join(df, stats, keys, salt_by, null_keys=True)

@@ -1,8 +1,8 @@
 """Row numbers, exact quantiles and AUROC that never put a whole group in one task.
 
 A plain ``row_number`` over a hot key sorts that key's rows in one task.  Here
-a group is first cut into ordered buckets; each (group, bucket) is numbered on
-its own and the bucket offsets are added back.
+a group is first cut into ordered ranges or buckets; each is numbered or counted
+on its own and the offsets are added back.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .lookup import same_key_join
+
 MAX_BUCKETS = 1024
 # A whole table counted at or below this size is ordered by one plain window or aggregate.
 SINGLE_TASK_ROWS = 1_000_000
@@ -41,47 +44,31 @@ def quantile_buckets(df: DataFrame, value: Column, name: str = "_b", n: int | No
     return cut.transform(df.withColumn("_key", value.cast("double"))).drop("_key").withColumn(name, F.col(name).cast("int"))
 
 
-def rank_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str = "rn",
-    by: Column | None = None,
-    bucket: Column | None = None,
-    total: str | None = None,
-) -> DataFrame:
-    """Dense 0-based row number within ``keys`` in ``order``.
-
-    ``bucket`` is any integer expression that never decreases along ``order``;
-    without it, buckets come from quantiles of ``by``, the leading numeric
-    order expression.  ``total`` also adds the group size.
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn", total: str | None = None) -> DataFrame:
+    """Dense 0-based row number within ``keys`` in ``order``; ``total`` also adds the group size.
+
+    Rows go to ranges of (keys, order), so a hot group and rows tied in the leading order value are split too.
+    Each range numbers its rows; ranges of a group add the rows before them.  NULL and NaN keep the places
+    that ``order`` gives them and NULL keys are one group, as in a plain window.
     """
     keys = list(keys)
     if is_small(df.select(*keys)):
         w = W.partitionBy(*keys)
         out = df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
         return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
-    d = df.withColumn("_b", bucket.cast("int")) if bucket is not None else quantile_buckets(df, by)
-    inner = d.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)) - 1)
-    per_bucket = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    walk = W.partitionBy(*keys).orderBy("_b")
-    offsets = per_bucket.select(
-        *keys,
-        "_b",
-        (F.sum("_n").over(walk) - F.col("_n")).alias("_off"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_tot"),
-    )
+    along = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed).withColumn("_range", F.shiftright("_at", 33))  # the range's number stands in the upper bits
+    runs = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    walk = W.partitionBy(*keys).orderBy("_range")
+    before = F.sum("_n").over(walk) - F.col("_n")
+    offsets = runs.select(*keys, "_range", (before - F.col("_lo")).alias("_off"), F.sum("_n").over(W.partitionBy(*keys)).alias("_tot"))
     if not keys:
-        offsets = F.broadcast(offsets)  # at most one row per bucket
-    out = inner.join(offsets, [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_off")).cast("long"))
+        offsets = F.broadcast(offsets)  # at most one row per range
+    out = same_key_join(placed, offsets, [*keys, "_range"]).withColumn(name, (F.col("_at") + F.col("_off")).cast("long"))
     if total:
         out = out.withColumn(total, F.col("_tot"))
-    return out.drop("_b", "_r", "_off", "_tot")
-
-
-def hash_bucket(hex_col: Column, digits: int = 2) -> Column:
-    """Order-preserving bucket of an md5 hex string."""
-    return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")
+    return out.drop("_at", "_range", "_off", "_tot")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -95,7 +82,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         row = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("value"))
         return row.where(F.col("_q").isNotNull()).select(*keys, F.inline(pairs))
-    d = quantile_buckets(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), F.col("_v"))
+    d = materialize(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))  # read four times
+    d = quantile_buckets(d, F.col("_v"))
     hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     walk = W.partitionBy(*keys).orderBy("_b")
     hist = hist.select(
@@ -116,10 +104,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     if not keys:
         picked = F.broadcast(picked)  # at most two buckets per requested quantile
         wanted = F.broadcast(wanted)
-    values = d.join(picked, [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    values = same_key_join(d, picked, [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     run = W.partitionBy(*keys, "_b").orderBy("_v")
     values = values.withColumn("_hi", F.sum("_n").over(run)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    hits = values.join(wanted, [*keys, "_b"]).where((F.col("_k") >= F.col("_lo")) & (F.col("_k") < F.col("_hi")))
+    hits = same_key_join(values, wanted, [*keys, "_b"]).where((F.col("_k") >= F.col("_lo")) & (F.col("_k") < F.col("_hi")))
     low, high = F.min_by("_v", "_at"), F.max_by("_v", "_at")
     frac = F.first(F.col("_pos") - F.floor("_pos"))
     return hits.groupBy(*keys, "p").agg((low + (high - low) * frac).alias("value"))
@@ -133,7 +121,7 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], order: str, counts: Seque
     walk = W.partitionBy(*keys).orderBy("_s")
     seg = seg.select(*keys, "_s", *[(F.sum(f"_t_{c}").over(walk) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in counts])
     run = W.partitionBy(*keys, "_s").orderBy(order)
-    out = d.join(seg, [*keys, "_s"])
+    out = same_key_join(d, seg, [*keys, "_s"])
     for c in counts:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(run) + F.col(f"_o_{c}"))
     return out.drop("_s", *[f"_o_{c}" for c in counts])

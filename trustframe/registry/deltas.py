@@ -44,9 +44,9 @@ def _matched(spark, d):
     from ..plans.ranks import rank_in_group
 
     e = embeddings(spark, d)
-    good = rank_in_group(e.where("family = 0"), [], [F.col("vec_id")], "slot", by=F.col("vec_id"), total="n_clean")
+    good = rank_in_group(e.where("family = 0"), [], [F.col("vec_id")], "slot", total="n_clean")
     n = good.agg(F.max("n_clean"))
-    bad = rank_in_group(e.where("family <> 0"), [], [F.col("vec_id")], "k", by=F.col("vec_id")).withColumn("slot", F.pmod(F.col("k"), n.scalar()))
+    bad = rank_in_group(e.where("family <> 0"), [], [F.col("vec_id")], "k").withColumn("slot", F.pmod(F.col("k"), n.scalar()))
     label = (F.col("slot") % 3).alias("lab")
     clean = good.select(F.lit("all").alias("modality"), "slot", label, "z")
     # Every 11th corrupt row carries a wrong label.

@@ -77,7 +77,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values as one-dimensional signals with a shifted span per user."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     order = [F.col("ts"), F.col("event_id")]
-    t = rank_in_group(e, ["user_id"], order, "t", by=F.unix_micros("ts"))
+    t = rank_in_group(e, ["user_id"], order, "t")
     u = F.col("user_id") % 3
     length = F.when(u == 0, 12).when(u == 1, 20).otherwise(28)
     out = t.select(
@@ -127,7 +127,7 @@ def points(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     if ordered:
         order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-        l = rank_in_group(l.select("l_suppkey", *order), ["l_suppkey"], order, "point_idx", by=F.col("l_orderkey"))
+        l = rank_in_group(l.select("l_suppkey", *order), ["l_suppkey"], order, "point_idx")
     cols = [F.col("point_idx")] if ordered else []
     return l.select(
         F.col("l_suppkey").alias("frame_id"), *cols, (F.col("l_quantity") / 7.0).alias("x"), (F.col("l_extendedprice") / 977.0).alias("y"),

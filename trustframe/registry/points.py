@@ -45,7 +45,7 @@ def fixed_count_cycle(spark, d):
 
     cols = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     order = [F.col(c) for c in cols]
-    l = rank_in_group(table(spark, d, "lineitem").select("l_orderkey", *cols), ["l_orderkey"], order, "rn", by=F.col("l_linenumber"), total="n")
+    l = rank_in_group(table(spark, d, "lineitem").select("l_orderkey", *cols), ["l_orderkey"], order, "rn", total="n")
     return P.fixed_slots(l, ["l_orderkey"], 6).select("l_orderkey", "slot", "rn")
 
 

@@ -137,7 +137,7 @@ def _lidar(spark, d):
 def frame_order(spark, d):
     """Position of each frame in its stream by parsed time, then name."""
     f = _lidar(spark, d)
-    ranked = rank_in_group(f, ["stream"], [F.col("sort_key"), F.col("name")], "position", by=F.col("sort_key").cast("double"))
+    ranked = rank_in_group(f, ["stream"], [F.col("sort_key"), F.col("name")], "position")
     return ranked.select("stream", "name", "position")
 
 
