@@ -59,10 +59,10 @@ def near_rows(seed, groups, copies):
     return rows
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [None, "TILE_ROWS", "TILE_SHINGLES"])
 def test_near_groups_brute_force(spark, monkeypatch, small):
     if small:  # several blocks per region, column chunks, no broadcast
-        monkeypatch.setattr(neardup, "TILE_ROWS", 4)
+        monkeypatch.setattr(neardup, small, {"TILE_ROWS": 4, "TILE_SHINGLES": 40}[small])
         monkeypatch.setattr(neardup, "TILE_COLUMNS", 16)
         monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
     rows = near_rows(3, 12, 14)

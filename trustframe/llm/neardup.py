@@ -30,8 +30,8 @@ FLOOR = 0.5
 PART_BYTES = 1_000_000
 BROADCAST_ROWS = 200_000
 STAR_ROUNDS = 2
-# Nodes per block of a region and shingles counted at once in a tile.
-TILE_ROWS, TILE_COLUMNS = 256, 4096
+# Nodes and shingles per block of a region (about, blocks are cut by hash) and shingles counted at once in a tile.
+TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 256, 500_000, 4096
 
 
 def seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -246,14 +246,16 @@ def between(side: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     near = (x["bucket_x"] == y["bucket_y"]) & (F.col("comp_x") != F.col("comp_y"))
     near = near & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y"))
     near = near & (estimate(F.col("sketch_x"), F.col("sketch_y")) >= FLOOR)
-    active = stored(x.join(y, near, "left_semi").select(F.col("node_x").alias("node"), F.col("comp_x").alias("comp")).distinct(), "near-active")
+    found = x.join(y, near, "left_semi").select(F.col("node_x").alias("node"), F.col("comp_x").alias("comp"), F.col("n_x").alias("n"))
+    active = stored(found.distinct(), "near-active")
     sets = sets_of(active.select("node"), classes, docs)
     held = side.join(active.select("node"), "node", "left_semi").select("bucket", "node")
     first = held.groupBy("bucket").agg(F.min("node").alias("b"))
     regions = components(held.join(first, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     regions = regions.withColumnRenamed("comp", "region")
-    cut = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks"))
-    rows = active.join(regions, "node").join(cut, "region").join(sets, "node")
+    placed = active.join(regions, "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_SHINGLES)).cast("int")
+    rows = placed.join(placed.groupBy("region").agg(blocks.alias("blocks")), "region").join(sets, "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "members")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -32,8 +33,9 @@ def partition_id() -> int:
 
 
 def forget() -> None:
-    """Free the word ids that an earlier token stage left in this Python worker."""
+    """Free the word ids that an earlier token stage left in this Python worker, and Arrow's unused memory."""
     sys.modules.pop("_word_id_memo", None)
+    pa.default_memory_pool().release_unused()
 
 
 def make_folder(uri: str) -> None:
