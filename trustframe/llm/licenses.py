@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import textwrap
+from collections.abc import Iterable
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,20 +61,75 @@ BSD_NAMES = (
     "software without specific prior written permission."
 )
 NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+# Complete licence texts, one file per SPDX identifier; a text that "only" and "or later" share has the "only" name.
+TEXTS = Path(__file__).with_name("license_texts")
+# Parts that copies leave out: what follows these lines tells how to apply the licence.
+APPENDIX = re.compile(r"(?<=END OF TERMS AND CONDITIONS)\n.*", re.S)
+# Titles of the short licences; every text is known without a title, too.
+MIT_TITLES = ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT", "MIT License (MIT)")
+ISC_TITLES = ("ISC License", "The ISC License", "ISC", "ISC License (ISC)", "ISC License (ISCL)")
+BSD2_TITLES = ("BSD 2-Clause License", "The BSD 2-Clause License", '"Simplified BSD License"', "BSD License", "The BSD License")
+BSD3_TITLES = ("BSD 3-Clause License", "The BSD 3-Clause License", '"New BSD License"', '"Modified BSD License"', "BSD License", "The BSD License")
+# How the conditions of the BSD licences are marked. Not "(c)": the canonical form takes it for a copyright line.
+MARKS = (("", "", ""), ("1.", "2.", "3."))
+BSD_NAME_FORMS = (BSD_NAMES, BSD_NAMES.replace("the copyright holder nor the names of its", "the author nor the names of its"))
+MIT_BODY = f"{GRANT}, subject to the following conditions:\n\n{NOTICE}\n\n{WARRANTY}"
+ISC_BODY = f"{ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{ISC_WARRANTY}"
+
+
+@lru_cache(maxsize=None)
+def _filled(line: str, width: int, hang: str) -> str:
+    return textwrap.fill(line, width, subsequent_indent=hang)
+
+
+def _key(text: str) -> str:
+    """As ``canonical`` without spellings: tells which texts need not be listed twice."""
+    return re.sub(PUNCTUATION, " ", re.sub(COPYRIGHT_LINE, "", "\n" + text.lower())).strip()
+
+
+def _forms(license_id: str, titles: Iterable[str], body: str) -> list[tuple[str, str]]:
+    """The body on long lines and wrapped, without and with each title.
+
+    The canonical form leaves out a line that happens to begin with "copyright", so widths and indents count.
+    """
+    hang = lambda line, h: h if re.match(r"\S{0,5} ?(?:Redistributions|Neither)", line) else ""
+    wraps = {_key(body): body}
+    for width in (*range(66, 82), 100):
+        for h in ("", "  ", "   "):
+            text = "\n".join(_filled(line, width, hang(line, h)) for line in body.split("\n"))
+            wraps.setdefault(_key(text), text)
+    return [(license_id, f"{t}\n\n{text}" if t else text) for text in wraps.values() for t in ("", *titles)]
+
+
+def _bsd(marks: tuple[str, str, str], names: str = "") -> str:
+    terms = [x[2:].strip() for x in (BSD_TERMS.split("\n") + ([names] if names else []))]
+    return f"{BSD_HEAD}\n\n" + "\n\n".join(f"{m} {x}".strip() for m, x in zip(marks, terms)) + f"\n\n{BSD_WARRANTY}"
+
+
+def _known() -> tuple[tuple[str, str], ...]:
+    """(SPDX identifier, text) pairs, texts of one canonical form once: notices, short licences in their variants, files."""
+    out = [*_forms("MIT", MIT_TITLES, MIT_BODY), *_forms("MIT-0", ("MIT No Attribution",), f"{GRANT}.\n\n{WARRANTY}")]
+    out += [*_forms("ISC", ISC_TITLES, ISC_BODY), *_forms("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD"), f"{ISC_GRANT}.\n\n{ISC_WARRANTY}")]
+    for marks in MARKS:
+        out += _forms("BSD-2-Clause", BSD2_TITLES, _bsd(marks))
+        for names in BSD_NAME_FORMS:
+            out += _forms("BSD-3-Clause", BSD3_TITLES, _bsd(marks, names))
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out += [(path.stem, text), (path.stem, APPENDIX.sub("", text))]
+    out += [
+        ("MIT", "Released under the MIT License."),
+        ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ]
+    seen: dict[tuple[str, str], tuple[str, str]] = {}
+    for k, t in out:
+        seen.setdefault((k, _key(t)), (k, t))
+    return tuple(seen.values())
+
+
 # Known texts (SPDX identifier, text): public licence texts and one-line notices.
-KNOWN = (
-    ("MIT", f"MIT License\n\n{GRANT}, subject to the following conditions:\n\n{NOTICE}\n\n{WARRANTY}"),
-    ("MIT", f"{GRANT}, subject to the following conditions:\n\n{NOTICE}\n\n{WARRANTY}"),
-    ("MIT-0", f"MIT No Attribution\n\n{GRANT}.\n\n{WARRANTY}"),
-    ("ISC", f"ISC License\n\n{ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{ISC_WARRANTY}"),
-    ("ISC", f"{ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{ISC_WARRANTY}"),
-    ("0BSD", f"{ISC_GRANT}.\n\n{ISC_WARRANTY}"),
-    ("BSD-2-Clause", f"{BSD_HEAD}\n\n{BSD_TERMS}\n\n{BSD_WARRANTY}"),
-    ("BSD-3-Clause", f"{BSD_HEAD}\n\n{BSD_TERMS}\n{BSD_NAMES}\n\n{BSD_WARRANTY}"),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-)
+KNOWN = _known()
 
 
 def canonical(text: Column) -> Column:
