@@ -3,7 +3,8 @@
 Token labels come from document labels: a feature (word, or prefix of a word) marks toxicity when nearly all
 training documents with it are toxic, and a token of a toxic document is toxic when a feature of it marks.
 The two-state field is fitted on word and prefix features and transitions; sequences are word runs of
-``RUN`` words.  Documents are scored by forward-backward marginals.
+``RUN`` words.  Documents are scored by forward-backward marginals.  The training sample is bounded per
+label; counts of all training rows put the labels' true shares back.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ MIN_SUPPORT, MIN_PRECISION = 4, 0.9
 CACHE_WORDS = 500_000
 PART_CHARS = 1_000_000
 STEPS, RATE, L2 = 50, 0.4, 1e-3
-HARD_RUNS = 4_000
+# Runs without a toxic word that the field is fitted on, with and without features of toxic words; the document head sees whole documents.
+HARD_RUNS, EASY_RUNS = 4_000, 500
 FOLDS = 5
 LETTERS = re.compile(r"[\W\d_]+")
 
@@ -109,9 +111,14 @@ def forward_backward(e: np.ndarray, live: np.ndarray, trans: np.ndarray, start:
     return (marg, logz, expected, fwd, bwd) if pairs else marg
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Fit on (text, toxic) rows; without both labels the model scores the label share everywhere."""
-    share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
+def fit(rows: list[tuple[str, int]], totals: tuple[int, int] | None = None) -> Model:
+    """Fit on (text, toxic) rows; without both labels the model scores the label share everywhere.
+
+    ``totals`` counts the clean and toxic rows that the sample was drawn from; by default the sample is all.
+    """
+    drawn = Counter(y for _, y in rows)
+    totals = totals or (drawn[0], drawn[1])
+    share = (totals[1] + 0.5) / (sum(totals) + 1)
     flat = Model({}, -5.0, np.zeros((2, 2)), np.zeros(2), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
     if len({y for _, y in rows}) < 2:
         return flat
@@ -124,8 +131,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     seen = [Counter(), Counter()]
     for ws, (_, y) in zip(words, rows):
         seen[y].update({f for w in set(ws) for f in memo[w]})
-    # every document is weighed by its label's share in the sample
-    marks = {f for f, n in seen[1].items() if n >= MIN_SUPPORT and n >= MIN_PRECISION * (n + seen[0][f])}
+    # every document stands for as many rows of its label as were there for each one drawn
+    weight = [totals[y] / drawn[y] for y in (0, 1)]
+    marks = {f for f, n in seen[1].items() if n >= MIN_SUPPORT and n * weight[1] >= MIN_PRECISION * (n * weight[1] + seen[0][f] * weight[0])}
     vocab = {f: k + 1 for k, f in enumerate(sorted(f for f in seen[0] + seen[1] if seen[0][f] + seen[1][f] >= MIN_SUPPORT))}
     width = len(PREFIXES) + 1
     rows_of: dict[str, np.ndarray] = {}
@@ -148,7 +156,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     near = (shared[feats].any(1)[np.maximum(at, 0)] & (at >= 0)).any(1)
     rng = np.random.default_rng(7)
     hard, easy = (rng.permutation(np.nonzero(~has & part)[0]) for part in (near, ~near))
-    picked = np.sort(np.concatenate([np.nonzero(has)[0], hard[: HARD_RUNS], easy[:500]]))
+    picked = np.sort(np.concatenate([np.nonzero(has)[0], hard[: HARD_RUNS], easy[:EASY_RUNS]]))
     at_fit = at[picked]
     live = at_fit >= 0
     x = feats[np.maximum(at_fit, 0)]
@@ -176,6 +184,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         w[0] = 0.0
     model = Model({f: float(w[k]) for f, k in vocab.items() if abs(w[k]) > 1e-3}, float(bias), trans, start, np.zeros(4))
     model.head = fit_head(document_facts(words, model)[0], np.array([y for _, y in rows], float))
+    model.head[0] -= np.log(weight[0] / weight[1])  # sample odds to true odds
     return model
 
 
@@ -214,10 +223,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` of the labels outside the held-out fold, one row per id."""
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def training_totals(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """Clean and toxic training rows with a text: what ``training_rows`` draws from."""
+    there = docs.where(F.col("text").isNotNull()).select("doc_id")
+    n = {r["toxic"]: r["n"] for r in training_labels(labels).join(there, "doc_id", "left_semi").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return n.get(0, 0), n.get(1, 0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """At most ``MAX_TOXIC`` + ``MAX_CLEAN`` labelled (text, toxic) rows outside the held-out fold."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = training_labels(labels)
     order = F.md5(F.col("doc_id").cast("string"))
     picked = [marked.where(F.col("toxic") == y).orderBy(order).limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = F.broadcast(picked[0].union(picked[1]))  # bounded by the two limits
@@ -260,6 +281,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    model = fit(training_rows(docs, labels), training_totals(docs, labels))
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
