@@ -13,6 +13,7 @@ from ..plans.ranks import rank_in_group
 from ..session import materialize
 from .fixtures import DELTA, EMB, LONG, STREAM, deltas, embeddings, r6, streams
 
+# family_cov_full alone; family_cov_whole takes all dimensions.
 FULL_DIMS = 16
 
 MODEL = """model AS (
@@ -53,21 +54,28 @@ def family_fit_diag(spark, d):
 
 
 def family_fit_full(spark, d):
-    """Full covariance and precision per family on the leading dimensions."""
-    e = embeddings(spark, d).withColumn("z", F.slice("z", 1, FULL_DIMS))
-    m = fit.fit_family_model(e, diag=False)
+    """Full covariance and precision per family."""
+    m = fit.fit_family_model(embeddings(spark, d), diag=False)
     return m.select("family", "n", F.posexplode("cov").alias("i", "row"), "precision").select(
         "family", "n", "i", r6(F.element_at("row", F.col("i") + 1), "var"), r6(F.element_at(F.element_at("precision", F.col("i") + 1), F.col("i") + 1), "prec")
     )
 
 
-def family_cov_full(spark, d):
-    """Entries of the full family covariances on the leading dimensions."""
-    e = embeddings(spark, d).withColumn("z", F.slice("z", 1, FULL_DIMS))
+def _cov_entries(e):
     m = fit.fit_family_model(e, diag=False)
     return m.select("family", F.posexplode("cov").alias("i", "row")).select("family", "i", F.posexplode("row").alias("j", "c")).select("family", "i", "j", r6("c", "cov"))
 
 
+def family_cov_full(spark, d):
+    """Entries of the full family covariances on the leading dimensions."""
+    return _cov_entries(embeddings(spark, d).withColumn("z", F.slice("z", 1, FULL_DIMS)))
+
+
+def family_cov_whole(spark, d):
+    """Entries of the full family covariances on all dimensions."""
+    return _cov_entries(embeddings(spark, d))
+
+
 def unseen_threshold(spark, d):
     e, model = _model(spark, d)
     scored = materialize(fam.nearest_family(e.select("vec_id", "z"), model).select("vec_id", "min_d"))
@@ -148,8 +156,8 @@ def anchor_distance_query(spark, d):
 
 
 def mahalanobis_full(spark, d):
-    """Full-precision distance on the leading dimensions, against the clean family."""
-    e = embeddings(spark, d).withColumn("z", F.slice("z", 1, FULL_DIMS))
+    """Full-precision distance against the clean family."""
+    e = embeddings(spark, d)
     stats = materialize(fit.fit_clean_reference(e.where("family = 0")))
     return e.select("vec_id", r6(fam.mahalanobis_full("z", stats), "md"))
 
@@ -205,6 +213,7 @@ QUERIES = {
     "family_fit_diag": family_fit_diag,
     "family_fit_full": family_fit_full,
     "family_cov_full": family_cov_full,
+    "family_cov_whole": family_cov_whole,
     "unseen_threshold": unseen_threshold,
     "enroll_family": enroll_family,
     "few_shot_registry": few_shot_registry,
@@ -255,6 +264,9 @@ SELECT family, pred AS pred_family, count(*) AS n, count(*) FILTER (min_d > (SEL
 FROM best JOIN emb USING (vec_id) GROUP BY 1, 2""",
     "family_fit_diag": f"""WITH {LONG}, {MODEL}
 SELECT family, n, dim, round(mu, 6) AS mu, round(var, 6) AS var FROM model""",
+    "family_cov_whole": f"""WITH {LONG}
+SELECT a.family AS family, a.dim AS i, b.dim AS j, round(covar_samp(a.v, b.v) + CASE WHEN a.dim = b.dim THEN 1e-4 ELSE 0 END, 6) AS cov
+FROM long a JOIN long b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3""",
     "family_cov_full": f"""WITH {LONG}
 SELECT a.family AS family, a.dim AS i, b.dim AS j, round(covar_samp(a.v, b.v) + CASE WHEN a.dim = b.dim THEN 1e-4 ELSE 0 END, 6) AS cov
 FROM long a JOIN long b ON a.vec_id = b.vec_id WHERE a.dim < {FULL_DIMS} AND b.dim < {FULL_DIMS} GROUP BY 1, 2, 3""",

@@ -53,6 +53,12 @@ def fuse_vectors(spark, d):
     return _long(e, V.fuse(F.slice("z", 1, 16), F.slice("z", 17, 16), 40), "vec_id")
 
 
+def fuse_whole(spark, d):
+    """Concatenate both halves of every vector and align to 80 entries."""
+    e = embeddings(spark, d)
+    return _long(e, V.fuse(F.slice("z", 1, 32), F.slice("z", 33, 32), 80), "vec_id")
+
+
 def cosine_l2_distance(spark, d):
     e = embeddings(spark, d)
     mu = fit.mean_vector(e, ["family"])
@@ -180,6 +186,7 @@ QUERIES = {
     "topk_dims": topk_dims,
     "jaccard_dims": jaccard_dims,
     "fuse_vectors": fuse_vectors,
+    "fuse_whole": fuse_whole,
     "cosine_l2_distance": cosine_l2_distance,
     "linear_project": linear_project,
     "gelu_project": gelu_project,
@@ -218,6 +225,8 @@ i AS (SELECT e.vec_id, count(*) AS c FROM emb e JOIN ra ON ra.vec_id = e.vec_id
 SELECT vec_id, round(coalesce(c, 0)::DOUBLE / (16 - coalesce(c, 0)), 6) AS overlap FROM emb LEFT JOIN i USING (vec_id)""",
     "fuse_vectors": f"""WITH {EMB}, g AS (SELECT vec_id, z, unnest(range(0, 40)) AS dim FROM emb)
 SELECT vec_id, dim, round(CASE WHEN dim < 32 THEN z[dim + 1] ELSE 0 END, 6) AS value FROM g""",
+    "fuse_whole": f"""WITH {EMB}, g AS (SELECT vec_id, z, unnest(range(0, 80)) AS dim FROM emb)
+SELECT vec_id, dim, round(CASE WHEN dim < 64 THEN z[dim + 1] ELSE 0 END, 6) AS value FROM g""",
     "cosine_l2_distance": f"""WITH {_MU}
 SELECT vec_id, round(1 - sum(v * mu) / (sqrt(sum(v * v)) * sqrt(sum(mu * mu))), 6) AS cosine, round(sqrt(sum((v - mu) * (v - mu))), 6) AS l2
 FROM long JOIN mu USING (family, dim) GROUP BY vec_id""",
