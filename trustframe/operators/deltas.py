@@ -79,32 +79,42 @@ def cyclic_pair(corrupt: DataFrame, clean: DataFrame, order: str, z: str = "z",
 def match_check(corrupt: DataFrame, clean: DataFrame, scope: str, sample: str, label: str, groups: Sequence[str], strict: bool = False) -> DataFrame:
     """Per scope and group: compared rows, mismatched labels, and whether all match.
 
-    Every clean sample must have its corrupt partner in each group that exists; a
-    missing partner fails.  ``strict`` also fails on a label mismatch.
+    Every clean sample must have its corrupt partner in each group that exists in any scope, and every
+    corrupt row its clean one; a missing partner fails.  ``strict`` also fails on a label mismatch.
     """
-    c = clean.select(scope, sample, F.col(label).alias("_clean_label"))
-    joined = salted_join(corrupt.select(scope, sample, *groups, label), c, [scope, sample], list(groups), salts=4)
-    wrong = F.col(label) != F.col("_clean_label")
-    out = joined.groupBy(scope, *groups).agg(
-        F.count(F.lit(1)).alias("selected_count"), F.sum(wrong.cast("long")).alias("mismatch_count")
-    )
-    need = clean.groupBy(scope).agg(F.count(F.lit(1)).alias("_need"))
-    out = out.join(need, scope)
-    short = F.raise_error(F.concat(F.lit("too few corrupt rows in scope "), F.col(scope).cast("string"))).cast("long")
-    count = F.when(F.col("selected_count") < F.col("_need"), short).otherwise(F.col("selected_count"))
-    bad = F.raise_error(F.concat(F.lit("label mismatch in scope "), F.col(scope).cast("string"))).cast("long")
+    out = match_counts(corrupt, clean, scope, sample, label, groups)
+    name = F.coalesce(F.col(scope).cast("string"), F.lit("NULL"))
+    short = F.raise_error(F.concat(F.lit("too few corrupt rows in scope "), name)).cast("long")
+    alone = F.raise_error(F.concat(F.lit("corrupt rows without a clean partner in scope "), name)).cast("long")
+    count = F.when(F.col("missing_count") > 0, short).when(F.col("unmatched_count") > 0, alone).otherwise(F.col("selected_count"))
+    bad = F.raise_error(F.concat(F.lit("label mismatch in scope "), name)).cast("long")
     miss = F.when(F.col("mismatch_count") > 0, bad).otherwise(F.col("mismatch_count")) if strict else F.col("mismatch_count")
-    return out.select(scope, *groups, count.alias("selected_count"), (F.col("mismatch_count") == 0).alias("labels_match"), miss.alias("mismatch_count"))
+    return out.select(scope, *groups, count.alias("selected_count"), "labels_match", miss.alias("mismatch_count"))
 
 
 def match_counts(corrupt: DataFrame, clean: DataFrame, scope: str, sample: str, label: str, groups: Sequence[str]) -> DataFrame:
-    """The match table without the completeness guard (partial corrupt sets are reported as they are)."""
-    c = clean.select(scope, sample, F.col(label).alias("_clean_label"))
-    joined = salted_join(corrupt.select(scope, sample, *groups, label), c, [scope, sample], list(groups), salts=4)
-    wrong = F.sum((F.col(label) != F.col("_clean_label")).cast("long"))
-    return joined.groupBy(scope, *groups).agg(
-        F.count(F.lit(1)).alias("selected_count"), (wrong == 0).alias("labels_match"), wrong.alias("mismatch_count")
+    """The match table without the completeness guard, with its missing partners counted.
+
+    ``unmatched_count`` counts corrupt rows without a clean row, ``missing_count`` clean samples without a
+    corrupt row.  Every clean scope has a row for each group that exists in any scope.
+    """
+    c = clean.select(scope, sample, F.col(label).alias("_clean_label"), F.lit(True).alias("_hit"))
+    joined = salted_join(corrupt.select(scope, sample, *groups, label), c, [scope, sample], list(groups), "left", salts=4)
+    wrong = F.col(label) != F.col("_clean_label")
+    found = joined.groupBy(scope, *groups).agg(
+        F.count("_hit").alias("selected_count"), F.sum(wrong.cast("long")).alias("mismatch_count"),
+        F.count_if(F.col("_hit").isNull()).alias("unmatched_count"),
+        (-F.count_distinct(F.when(F.col("_hit"), F.struct(sample)))).alias("missing_count"),
+    )
+    # what each clean scope needs in every group, less what was found
+    need = clean.groupBy(scope).agg(F.count_distinct(F.struct(sample)).alias("missing_count"))
+    zero = F.lit(0).cast("long")
+    need = need.crossJoin(corrupt.select(*groups).distinct()).select(
+        scope, *groups, zero.alias("selected_count"), zero.alias("mismatch_count"), zero.alias("unmatched_count"), "missing_count"
     )
+    out = found.unionByName(need).groupBy(scope, *groups).agg(*[F.sum(x).alias(x) for x in ("selected_count", "mismatch_count", "unmatched_count", "missing_count")])
+    same = (F.col("mismatch_count") == 0) & (F.col("selected_count") > 0)
+    return out.select(scope, *groups, "selected_count", same.alias("labels_match"), "mismatch_count", "unmatched_count", "missing_count")
 
 
 def attach_family(df: DataFrame, taxonomy: DataFrame, corruption: str = "corruption", unknown: str = "error", max_members: int = 100_000) -> DataFrame:

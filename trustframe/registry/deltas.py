@@ -64,8 +64,24 @@ def match_clean_corrupt(spark, d):
 
 
 def match_check(spark, d):
+    """Compared rows and label mismatches per group; the partial sets of the fixture would fail the guard (``match_guarded``)."""
     corrupt, clean = _matched(spark, d)
-    return D.match_counts(corrupt, clean, "modality", "slot", "lab", ["corruption", "severity"])
+    out = D.match_counts(corrupt, clean, "modality", "slot", "lab", ["corruption", "severity"])
+    return out.drop("unmatched_count", "missing_count")
+
+
+def match_missing(spark, d):
+    """Missing partners per group: the fixture's corrupt sets are partial, and every 13th slot is not clean."""
+    corrupt, clean = _matched(spark, d)
+    out = D.match_counts(corrupt, clean.where("slot % 13 <> 0"), "modality", "slot", "lab", ["corruption", "severity"])
+    return out.select("modality", "corruption", "severity", "selected_count", "unmatched_count", "missing_count")
+
+
+def match_guarded(spark, d):
+    """The guarded match of complete corrupt sets: every clean slot in each corruption and severity."""
+    corrupt, clean = _matched(spark, d)
+    full = clean.drop("z").crossJoin(corrupt.select("corruption", "severity").distinct())
+    return D.match_check(full, clean, "modality", "slot", "lab", ["corruption", "severity"], strict=True)
 
 
 def attach_family(spark, d):
@@ -171,6 +187,8 @@ QUERIES = {
     "delta_per_image": delta_per_image,
     "match_clean_corrupt": match_clean_corrupt,
     "match_check": match_check,
+    "match_missing": match_missing,
+    "match_guarded": match_guarded,
     "attach_family": attach_family,
     "attach_family_skip": attach_family_skip,
     "severity_split": severity_split,
@@ -229,6 +247,11 @@ SELECT vec_id, slot, round(norm, 6) AS delta_norm FROM mc JOIN n USING (vec_id)"
     "match_check": f"""WITH {_MATCH}
 SELECT 'all' AS modality, corruption, severity, count(*) AS selected_count, count(*) FILTER (k % 11 = 0) = 0 AS labels_match,
        count(*) FILTER (k % 11 = 0) AS mismatch_count FROM mc GROUP BY corruption, severity""",
+    "match_missing": f"""WITH {_MATCH}, n AS (SELECT count(*) FILTER (s % 13 <> 0) AS n FROM (SELECT unnest(range(0, (SELECT count(*) FROM good))) AS s))
+SELECT 'all' AS modality, corruption, severity, count(*) FILTER (slot % 13 <> 0) AS selected_count, count(*) FILTER (slot % 13 = 0) AS unmatched_count,
+       (SELECT n FROM n) - count(DISTINCT slot) FILTER (slot % 13 <> 0) AS missing_count FROM mc GROUP BY corruption, severity""",
+    "match_guarded": f"""WITH {_MATCH}
+SELECT DISTINCT 'all' AS modality, corruption, severity, (SELECT count(*) FROM good) AS selected_count, true AS labels_match, 0 AS mismatch_count FROM mc""",
     "attach_family": f"WITH {EMB} SELECT vec_id, corruption::VARCHAR AS corruption, {_FAMILY} AS family FROM emb",
     "attach_family_skip": f"WITH {EMB} SELECT vec_id, corruption::VARCHAR AS corruption, {_FAMILY} AS family FROM emb WHERE corruption < 18",
     "severity_split": f"WITH {EMB} SELECT vec_id, severity FROM emb WHERE severity NOT IN (1, 3)",
