@@ -128,13 +128,16 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     d = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("raw"))
     # a block is cut by hash, so it may exceed its share a little; windows of one hash stay together
     of = F.pmod(F.xxhash64("window"), F.lit(blocks))
-    outs = [_find(d, spark.sparkContext.broadcast(window_set(windows.where(of == b).collect()))) for b in range(blocks)]
+    block = lambda b: spark.sparkContext.broadcast(window_set(windows.where(of == b).collect()))
     if blocks == 1:
-        return outs[0]
+        return _find(d, block(0))
     path = scratch(spark, "bench-hits")
-    for o in outs:  # one block's set at a time
-        o.where(F.size("hits") > 0).drop("doc_id", "n_words").write.mode("append").parquet(path)
-    got = spark.read.schema(outs[0].drop("doc_id", "n_words").schema).parquet(path).groupBy("key").agg(
+    for b in range(blocks):  # one block's set at a time: collected, sent, used and given back
+        sent = block(b)
+        out = _find(d, sent).drop("doc_id", "n_words")
+        out.where(F.size("hits") > 0).write.mode("append").parquet(path)
+        sent.destroy()
+    got = spark.read.schema(out.schema).parquet(path).groupBy("key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     # collected lists hold one row per block and copy of a text
