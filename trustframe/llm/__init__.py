@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, mixing, neardup, quality, secrets, tokens, toxicity, warc
+from . import alignment, decontaminate, exact, licenses, lines, mixing, neardup, quality, secrets, spelling, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_licenses": licenses.op9_licenses,
     "op10_warc": warc.op10_warc,
+    "op11_exact_dedup": exact.op11_exact_dedup,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_alignment": alignment.op13_alignment,
 }
-# Scoring by a trained model (op2) and tokenization (op3) have no SQL form; tests hold them against brute force.
+# Scoring by a trained model (op2) and tokenization (op3, op13) have no SQL form; tests hold them against brute force.
 ORACLE = {
     "op1_secrets": secrets.SQL,
     "op4_decontaminate": decontaminate.SQL,
@@ -26,4 +29,6 @@ ORACLE = {
     "op8_mixing": mixing.SQL,
     "op9_licenses": licenses.SQL,
     "op10_warc": warc.SQL,
+    "op11_exact_dedup": exact.SQL,
+    "op12_spelling": spelling.SQL,
 }
