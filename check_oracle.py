@@ -59,11 +59,12 @@ def compare(spark, con, sf, name, query, sql):
 
 def force_distributed() -> None:
     """Shrink every block, segment and single-task bound so that test data exercises the large-data plans."""
-    from trustframe.operators import cluster, family, points
+    from trustframe.operators import cluster, family, pairs, points
     from trustframe.plans import lookup, ranks, scans, tiles
 
     ranks.SINGLE_TASK_ROWS = 0
-    tiles.BLOCK_ROWS = 40
+    tiles.BLOCK_ROWS, tiles.BLOCK_BYTES = 40, 40_000
+    pairs.PASS_PAIRS = 20_000
     scans.SEGMENT, scans.BELIEF_SEGMENT = 16, 16
     lookup.BROADCAST_ROWS = 0
     family.INLINE_VALUES = 0

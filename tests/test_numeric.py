@@ -122,8 +122,9 @@ def test_permutation_p_in_range_and_relabelling_invariance(spark, sf):
 def test_undefined_metrics_are_null(spark):
     df = spark.createDataFrame([(0, i, "a", [float(i), 1.0]) for i in range(3)], "scope int, pid long, family string, z array<double>")
     assert pairs.silhouette(df, ["scope"], "cosine").first()["silhouette"] is None
-    h = pairs.distance_histogram(pairs.tile_stats(df, ["scope"], "l2", {"hist"}), ["scope"])
-    assert pairs.pair_auroc(h, ["scope"]).first()["auroc"] is None
+    ranked = pairs.rank_counts(df, ["scope"], "l2")
+    assert pairs.pair_auroc(ranked, ["scope"]).first()["auroc"] is None
+    assert pairs.average_precision(ranked, ["scope"]).first()["average_precision"] is None
     assert pairs.separation(pairs.pair_moments(df, ["scope"], "l2"), ["scope"]).first()["cohens_d"] is None
 
 

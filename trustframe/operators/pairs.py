@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.vectors import jaccard, l2_normalize
-from ..plans.lookup import attach_facts
-from ..plans.ranks import auroc_from_counts, ordered_counts, rank_in_group
+from ..plans.lookup import attach_facts, same_key_join
+from ..plans.ranks import ordered_counts, rank_in_group
+from ..plans.shuffles import places, round_keys
+from ..plans import tiles
 from ..plans.tiles import matrix, self_tiles
 from ..session import materialize
 from .fit import key_ddl, moments
 
-# Distances enter rank statistics at this resolution.
-RESOLUTION = 1e-6
-SEGMENT_BINS = 16_384
+# Pairs that may leave the tiles of one pass as distinct distances.
+PASS_PAIRS = 4_000_000
+# Bits of a distance that a first count leaves out (1,024 bins per power of two), and bits of a refinement.
+FIRST_SHIFT, REFINE_BITS = 42, 10
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -45,6 +48,133 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(d2)
 
 
+class TileSums:
+    """Sums of one tile, fed with the distance matrices of its steps."""
+
+    def __init__(self, kinds: set[str], a: dict, b: dict, k: int, shift: int, parents: tuple[int, np.ndarray] | None):
+        self.kinds, self.a, self.b, self.k, self.shift, self.parents = kinds, a, b, k, shift, parents
+        self.names, codes = np.unique(np.concatenate([a["family"], b["family"]]).astype(str), return_inverse=True)
+        self.codes = {"a": codes[: len(a["family"])], "b": codes[len(a["family"]) :]}
+        self.alone = b is a  # the tile of a block with itself
+        if self.alone:
+            self.codes["b"] = self.codes["a"]
+        self.by_same = {kind: np.zeros((2, 3)) for kind in ("mom", "jac")}
+        self.hist: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.fam = {s: np.zeros((len(self.codes[s]), len(self.names))) for s in ("a", "b")} if "fam" in kinds else {}
+        self.best = {s: [] for s in ("a", "b")}
+        self.perm = np.zeros(a["labels"].shape[1]) if "perm" in kinds else None
+
+    def add(self, rows: slice, cols: slice, d: np.ndarray) -> None:
+        inside = self.alone and rows.start == cols.start
+        ca, cb = self.codes["a"][rows], self.codes["b"][cols]
+        same = ca[:, None] == cb[None, :]
+        used = np.triu(np.ones(d.shape, bool), 1) if inside else None
+        for kind in self.kinds & {"mom", "jac"}:
+            v = d if kind == "mom" else self._overlap(rows, cols)
+            for flag in (0, 1):
+                m = same if flag else ~same
+                x = v[m if used is None else m & used]
+                self.by_same[kind][flag] += len(x), x.sum(), (x * x).sum()
+        if "hist" in self.kinds:
+            self._count(d.ravel() if used is None else d[used], same.ravel() if used is None else same[used])
+        if "fam" in self.kinds:
+            free = d * ~np.eye(len(d), dtype=bool) if inside else d
+            self.fam["a"][rows] += free @ np.eye(len(self.names))[cb]
+            if not inside:
+                self.fam["a" if self.alone else "b"][cols] += free.T @ np.eye(len(self.names))[ca]
+        if "nn" in self.kinds:
+            self._near("a", rows, d, self.a["pid"][rows], self.b["pid"][cols], cb)
+            if not inside:
+                self._near("a" if self.alone else "b", cols, d.T, self.b["pid"][cols], self.a["pid"][rows], ca)
+        if "perm" in self.kinds:
+            flat = (d if used is None else d * used).ravel()
+            la, lb = self.a["labels"][rows], self.b["labels"][cols]
+            for p in range(len(self.perm)):
+                self.perm[p] += flat @ (la[:, p][:, None] == lb[:, p][None, :]).ravel().astype(float)
+
+    def _overlap(self, rows: slice, cols: slice) -> np.ndarray:
+        sa, sb = self.a["top"][rows], self.b["top"][cols]
+        common, kk = sa @ sb.T, sa[:1].sum()
+        return common / (2 * kk - common)
+
+    def _count(self, d: np.ndarray, same: np.ndarray) -> None:
+        """Count by leading bits: non-negative doubles sort like the integers with their bits."""
+        key = (d + 0.0).view(np.int64)
+        if self.parents is not None:
+            at, known = self.parents
+            own = key >> at
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            inside = known[place] == own
+            key, same = key[inside], same[inside]
+        u, at = np.unique(key >> self.shift, return_inverse=True)
+        total = np.bincount(at, minlength=len(u))
+        hit = np.bincount(at, weights=same, minlength=len(u)).astype(np.int64)
+        self.hist.append((u, hit, total - hit))
+        self.held += len(u)
+        if self.held > 4_000_000 and len(self.hist) > 1:
+            self.hist = [self._folded()]
+            self.held = len(self.hist[0][0])
+
+    def _folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, at = np.unique(np.concatenate([h[0] for h in self.hist]), return_inverse=True)
+        sums = []
+        for k in (1, 2):
+            out = np.zeros(len(u), np.int64)
+            np.add.at(out, at, np.concatenate([h[k] for h in self.hist]))
+            sums.append(out)
+        return u, *sums
+
+    def _near(self, side: str, rows: slice, d: np.ndarray, pid: np.ndarray, oid: np.ndarray, fam: np.ndarray) -> None:
+        """Keep the k nearest of each row; equal distances go to the smaller id."""
+        d = np.where(pid[:, None] == oid[None, :], np.inf, d)
+        limit = np.partition(d, self.k - 1, axis=1)[:, self.k - 1] if self.k < d.shape[1] else np.full(len(d), np.inf)
+        r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        self.best[side].append(self._first(r + rows.start, d[r, c], oid[c], fam[c]))
+        if sum(len(x[0]) for x in self.best[side]) > 8 * self.k * len(self.codes[side]):
+            self.best[side] = [self._first(*[np.concatenate(x) for x in zip(*self.best[side])])]
+
+    def _first(self, r, d, oid, fam) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((oid, d, r))
+        r = r[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < self.k
+        return r[keep], *[x[order][keep] for x in (d, oid, fam)]
+
+    def rows(self) -> list[dict]:
+        out = []
+        for kind in sorted(self.kinds & {"mom", "jac"}):
+            v = self.by_same[kind]
+            some = np.nonzero(v[:, 0])[0]
+            out.append({"kind": kind, "key": some, "n": v[some, 0], "s1": v[some, 1], "s2": v[some, 2]})
+        if self.hist:
+            u, hit, miss = self._folded()
+            out.append({"kind": "hist", "key": u, "n": hit, "s1": miss})
+        for side, total in self.fam.items():
+            if side == "b" and self.alone:
+                continue
+            other = self.codes["a" if self.alone or side == "b" else "b"]
+            n = np.tile(np.bincount(other, minlength=len(self.names)), (len(total), 1))
+            if self.alone:
+                n[np.arange(len(total)), self.codes["a"]] -= 1
+            r, c = np.nonzero(n)
+            out.append({"kind": "fam", "pid": (self.a if side == "a" else self.b)["pid"][r], "fam": self.names[c], "n": n[r, c], "s1": total[r, c]})
+        for side, parts in self.best.items():
+            if parts:
+                r, d, oid, fam = self._first(*[np.concatenate(x) for x in zip(*parts)])
+                out.append({"kind": "nn", "pid": (self.a if side == "a" else self.b)["pid"][r], "key": oid, "fam": self.names[fam], "n": np.ones(len(r)), "s1": d})
+        if self.perm is not None:
+            out.append({"kind": "perm", "key": np.arange(len(self.perm)), "n": np.zeros(len(self.perm)), "s1": self.perm})
+        return out
+
+
+def top_signature(x: np.ndarray, topk: int) -> np.ndarray:
+    """0/1 rows marking the ``topk`` entries of largest size, smaller index first."""
+    top = np.lexsort((np.broadcast_to(np.arange(x.shape[1]), x.shape), -np.abs(x)), axis=1)[:, : min(topk, x.shape[1])]
+    out = np.zeros(x.shape)
+    np.put_along_axis(out, top, 1.0, axis=1)
+    return out
+
+
 def tile_stats(
     points: DataFrame,
     scope: Sequence[str],
@@ -54,113 +184,69 @@ def tile_stats(
     topk: int = 50,
     block_rows: int | None = None,
     labels: str | None = None,
+    shift: int = 0,
+    parents: tuple[int, dict[tuple, np.ndarray]] | None = None,
 ) -> DataFrame:
     """Long table of tile aggregates: ``scope, kind, pid, key, fam, n, s1, s2``.
 
     mom   key=same family (1/0)           n, sum d, sum d^2
-    hist  key=distance bin, n=same count, s1=other count
+    hist  key=bits of d >> shift          n=same count, s1=other count
     fam   pid, fam                         n, sum of distances from pid to that family
     nn    pid, key=neighbour, fam          s1=distance (the k nearest inside the tile)
     jac   key=same family (1/0)           n, sum of top-dimension overlap
-    perm  key=permutation                  n, sum d over pairs equal under column ``labels``
+    perm  key=slot of ``labels``           sum d over pairs whose labels in this slot are equal
+
+    ``parents`` = (bits, sorted prefixes by scope) counts only distances under these prefixes.
     """
-    kinds = set(kinds)
+    kinds = frozenset(kinds)
+    sent = points.sparkSession.sparkContext.broadcast(parents[1]) if parents is not None else None
+    parent_bits = parents[0] if parents is not None else 0
+    step_rows = tiles.BLOCK_ROWS
+    names = [*scope, "kind", "pid", "key", "fam", "n", "s1", "s2"]
+
+    def side(block: pa.Table) -> dict:
+        x = matrix(block.column("z"))
+        return {
+            "x": x, "family": np.asarray(block.column("family").to_pylist(), dtype=object), "pid": block.column("pid").to_numpy(),
+            "top": top_signature(x, topk) if "jac" in kinds else None, "labels": matrix(block.column(labels)) if labels else None,
+        }
 
     def kernel(scope_values: tuple, first: pa.Table, second: pa.Table | None) -> pa.Table:
-        other = first if second is None else second
-        xa, xb = matrix(first.column("z")), matrix(other.column("z"))
-        fa = np.asarray(first.column("family").to_pylist(), dtype=object)
-        fb = np.asarray(other.column("family").to_pylist(), dtype=object)
-        ia, ib = first.column("pid").to_numpy(), other.column("pid").to_numpy()
-        d = distances(xa, xb, metric)
-        names, codes = np.unique(np.concatenate([fa, fb]).astype(str), return_inverse=True)
-        ca, cb = codes[: len(fa)], codes[len(fa) :]
-        same = ca[:, None] == cb[None, :]
-        used = np.triu(np.ones(d.shape, bool), 1) if second is None else np.ones(d.shape, bool)
-        out: list[pd.DataFrame] = []
-
-        def add(kind, n, s1, s2=0.0, pid=None, key=None, fam=None):
-            out.append(pd.DataFrame({"kind": kind, "pid": pid, "key": key, "fam": fam, "n": n, "s1": s1, "s2": s2}))
-
-        def by_same(kind, values, squares=None):
-            for flag in (0, 1):
-                m = used & (same == bool(flag))
-                if m.any():
-                    v = values[m]
-                    add(kind, [m.sum()], [v.sum()], [(v * v).sum()], key=[flag])
-
-        if "mom" in kinds:
-            by_same("mom", d)
-        if "hist" in kinds:
-            bins = np.rint(d / RESOLUTION).astype(np.int64)
-            u, inv = np.unique(bins[used], return_inverse=True)
-            hit = np.bincount(inv, weights=same[used].astype(float), minlength=len(u))
-            all_ = np.bincount(inv, minlength=len(u))
-            add("hist", hit.astype(np.int64), all_ - hit, key=u)
-        if "fam" in kinds:
-            sides = [(ia, d, cb, used)] if second is None else [(ia, d, cb, used), (ib, d.T, ca, used.T)]
-            if second is None:
-                sides = [(ia, d, cb, ~np.eye(len(ia), dtype=bool))]
-            for ids, dist, oc, mask in sides:
-                onehot = np.eye(len(names))[oc]
-                cnt, tot = mask.astype(float) @ onehot, (dist * mask) @ onehot
-                r, c = np.nonzero(cnt)
-                add("fam", cnt[r, c].astype(np.int64), tot[r, c], pid=ids[r], fam=names[c])
-        if "nn" in kinds:
-            sides = [(ia, d, ib, fb)] + ([] if second is None else [(ib, d.T, ia, fa)])
-            for ids, dist, oid, of in sides:
-                dist = dist.copy()
-                dist[ids[:, None] == oid[None, :]] = np.inf
-                take = min(k, dist.shape[1])
-                order = np.lexsort((np.broadcast_to(oid, dist.shape), dist), axis=1)[:, :take]
-                r = np.repeat(np.arange(len(ids)), take)
-                c = order.ravel()
-                ok = np.isfinite(dist[r, c])
-                r, c = r[ok], c[ok]
-                add("nn", np.ones(len(r), np.int64), dist[r, c], pid=ids[r], key=oid[c], fam=of[c].astype(str))
-        if "jac" in kinds:
-            kk = min(topk, xa.shape[1])
-
-            def signature(x):
-                top = np.lexsort((np.broadcast_to(np.arange(x.shape[1]), x.shape), -np.abs(x)), axis=1)[:, :kk]
-                s = np.zeros(x.shape)
-                np.put_along_axis(s, top, 1.0, axis=1)
-                return s
-
-            common = signature(xa) @ signature(xb).T
-            by_same("jac", common / (2 * kk - common))
-        if "perm" in kinds:
-            la, lb = np.stack(first.column(labels).to_pylist()), np.stack(other.column(labels).to_pylist())
-            masked = d * used
-            n_p = la.shape[1]
-            tot, cnt = np.empty(n_p), np.empty(n_p, np.int64)
-            for p in range(n_p):
-                eq = la[:, p][:, None] == lb[:, p][None, :]
-                tot[p], cnt[p] = masked[eq].sum(), (used & eq).sum()
-            add("perm", cnt, tot, key=np.arange(n_p))
-
-        blank = pd.DataFrame({"kind": [], "pid": [], "key": [], "fam": [], "n": [], "s1": [], "s2": []})
-        frame = pd.concat(out, ignore_index=True) if out else blank
-        n = len(frame)
-        cols = [pa.array([v] * n) if n else pa.array([], pa.null()) for v in scope_values]
-        arrays = [c.cast(f) for c, f in zip(cols, scope_types)]
-        arrays += [
-            pa.array(frame["kind"], pa.string()),
-            pa.array(frame["pid"].astype("Int64"), pa.int64()),
-            pa.array(frame["key"].astype("Int64"), pa.int64()),
-            pa.array(frame["fam"].where(frame["fam"].notna(), None), pa.string()),
-            pa.array(frame["n"].astype("int64"), pa.int64()),
-            pa.array(frame["s1"].astype(float), pa.float64()),
-            pa.array(frame["s2"].astype(float), pa.float64()),
-        ]
-        return pa.Table.from_arrays(arrays, names=[*scope, "kind", "pid", "key", "fam", "n", "s1", "s2"])
+        known = None
+        if sent is not None:
+            mine = sent.value.get(scope_values)
+            if mine is None or not len(mine):
+                return pa.Table.from_arrays([pa.array([], f) for f in types], names=names)
+            known = (parent_bits, mine)
+        a = side(first)
+        b = a if second is None else side(second)
+        sums = TileSums(set(kinds), a, b, k, shift, known)
+        step = block_rows or step_rows
+        for lo in range(0, len(a["x"]), step):
+            for at in range(lo if second is None else 0, len(b["x"]), step):
+                rows, cols = slice(lo, lo + step), slice(at, at + step)
+                sums.add(rows, cols, distances(a["x"][rows], b["x"][cols], metric))
+        tables = []
+        for part in sums.rows():
+            n = len(part["n"])
+            values = [*scope_values, part.pop("kind"), *[part.get(c) for c in names[len(scope) + 1 :]]]
+            values[-1] = 0.0 if values[-1] is None else values[-1]
+            cols_ = [pa.array(v, f) if isinstance(v, np.ndarray) else pa.array([v] * n, f) for v, f in zip(values, types)]
+            tables.append(pa.Table.from_arrays(cols_, names=names))
+        return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], f) for f in types], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scope_types = [to_arrow_type(points.schema[s].dataType) for s in scope]
+    types = [to_arrow_type(points.schema[s].dataType) for s in scope]
+    types += [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
     keep = [*scope, "pid", "family", "z"] + ([labels] if labels else [])
     schema = key_ddl(points, scope) + "kind string, pid long, key long, fam string, n long, s1 double, s2 double"
-    return self_tiles(points.select(*keep), scope, "pid", kernel, schema, block_rows)
+    bytes_ = 8 * F.max(F.size("z")) * (2 if "jac" in kinds else 1)
+    if "fam" in kinds:
+        bytes_ = bytes_ + 16 * F.approx_count_distinct("family")
+    if labels:
+        bytes_ = bytes_ + 8 * F.max(F.size(labels))
+    return self_tiles(points.select(*keep), scope, "pid", kernel, schema, block_rows, bytes_)
 
 
 # ---- moments of within / between distances -------------------------------------------------
@@ -252,23 +338,91 @@ def separation(mom: DataFrame, scope: Sequence[str]) -> DataFrame:
 # ---- rank statistics --------------------------------------------------------------------
 
 
-def distance_histogram(stats: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """``scope, bin, pos, neg``: same-family and other pairs per distance bin."""
-    h = stats.where("kind = 'hist'").groupBy(*scope, F.col("key").alias("bin"))
-    return h.agg(F.sum("n").alias("pos"), F.sum("s1").cast("long").alias("neg"))
-
+def rank_counts(points: DataFrame, scope: Sequence[str], metric: str, block_rows: int | None = None, ties: bool = True) -> DataFrame:
+    """``scope, pos, neg, before_pos, before_neg`` along the distance: same-family and other pairs, exactly.
 
-def pair_auroc(hist: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """AUROC of 'same family' for the score -distance."""
-    flipped = hist.withColumn("score", -F.col("bin"))
-    return auroc_from_counts(flipped, scope, "score", F.floor(F.col("score") / SEGMENT_BINS))
+    A row is a set of pairs at one distance, or one that needs no finer order; ``before``
+    counts the nearer pairs.  While all pairs fit one pass, the tiles return their
+    distinct distances.  Else they return counts of bins first, and only bins that
+    hold something to order are looked at again: bins of at most ``PASS_PAIRS`` pairs
+    together give their distances in one pass, larger bins are cut by further bits of
+    the distance.  What leaves the tiles in a pass is bounded, whatever the number of
+    pairs; the number of passes grows with them.  Without ``ties`` (enough for AUROC)
+    bins of same-family pairs only stay as they are.
+    """
+    scope = list(scope)
+    n = F.count(F.lit(1))
+    pairs = points.groupBy(*scope).agg((n * (n - 1) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
+
+    def counted(shift: int, parents=None) -> DataFrame:
+        t = tile_stats(points, scope, metric, {"hist"}, block_rows=block_rows, shift=shift, parents=parents)
+        return t.groupBy(*scope, F.col("key").alias("bin")).agg(F.sum("n").alias("pos"), F.sum("s1").cast("long").alias("neg"))
+
+    def inside(bins: DataFrame, shift: int, above: DataFrame, above_shift: int) -> DataFrame:
+        """Add what lies before each bin: before its parent and before it there."""
+        key = [*scope, "parent"]
+        w = W.partitionBy(*key).orderBy("bin")
+        d = bins.withColumn("parent", F.shiftright("bin", above_shift - shift))
+        own = {c: (F.sum(c).over(w) - F.col(c)).alias(f"own_{c}") for c in ("pos", "neg")}
+        d = d.select("*", *own.values())
+        up = above.select(*scope, F.col("bin").alias("parent"), F.col("before_pos").alias("up_pos"), F.col("before_neg").alias("up_neg"))
+        d = same_key_join(d, up, key)
+        return d.select(*scope, "bin", "pos", "neg", *[(F.col(f"up_{c}") + F.col(f"own_{c}")).alias(f"before_{c}") for c in ("pos", "neg")])
+
+    facts = [*scope, "pos", "neg", "before_pos", "before_neg"]
+    shift = 0 if pairs <= PASS_PAIRS else FIRST_SHIFT
+    cum = ordered_counts(counted(shift), scope, "bin", ["pos", "neg"], F.shiftright("bin", FIRST_SHIFT - shift) if shift < FIRST_SHIFT else F.shiftright("bin", REFINE_BITS))
+    level = cum.select(*scope, "bin", "pos", "neg", *[(F.col(f"cum_{c}") - F.col(c)).alias(f"before_{c}") for c in ("pos", "neg")])
+    if shift == 0:
+        return level.select(*facts)
+    level, done = materialize(level), []
+    several = (F.col("pos") + F.col("neg") > 1) if ties else (F.col("neg") > 0)
+    while True:
+        unordered = (F.col("pos") > 0) & several if shift else F.lit(False)
+        done.append(level.where(~unordered))
+        size = F.col("pos") + F.col("neg")
+        total = level.where(unordered & (size <= PASS_PAIRS)).agg(F.sum(size)).first()[0] or 0
+        rounds = -(-total // PASS_PAIRS)
+        turn = F.pmod(F.xxhash64(*scope, "bin"), F.lit(max(rounds, 1)))
+        for r in range(rounds):
+            bins = level.where(unordered & (size <= PASS_PAIRS) & (turn == r))
+            done.append(materialize(inside(counted(0, (shift, _prefixes(bins, scope))), 0, bins, shift)))
+        large = level.where(unordered & (size > PASS_PAIRS))
+        known = _prefixes(large, scope)
+        if not known:
+            break
+        finer = max(0, shift - REFINE_BITS)
+        level, shift = materialize(inside(counted(finer, (shift, known)), finer, large, shift)), finer
+    out = done[0].select(*facts)
+    for d in done[1:]:
+        out = out.unionByName(d.select(*facts))
+    return out
+
+
+def _prefixes(bins: DataFrame, scope: Sequence[str]) -> dict[tuple, np.ndarray]:
+    """Sorted bins by scope; a pass holds at most half as many as its pairs."""
+    out: dict[tuple, list[int]] = {}
+    for r in bins.select(*scope, "bin").toLocalIterator():
+        out.setdefault(tuple(r[s] for s in scope), []).append(r["bin"])
+    return {k: np.sort(np.array(v, np.int64)) for k, v in out.items()}
+
+
+def pair_auroc(ranks: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """AUROC of 'same family' for the score -distance; NULL when a class is missing.
+
+    A same-family pair beats every farther pair of different families and half of the equal ones.
+    """
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    lost = F.sum(pos * (F.col("before_neg") + neg / 2))
+    both = F.sum(pos) * F.sum(neg)
+    return ranks.groupBy(*scope).agg(F.when(both > 0, 1 - lost / both).alias("auroc"))
 
 
-def average_precision(hist: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Sum over distance bins (nearest first) of recall gain times precision; NULL when a class is missing."""
-    cum = ordered_counts(hist, scope, "bin", ["pos", "neg"], F.floor(F.col("bin") / SEGMENT_BINS))
-    gain = F.sum(F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))))
-    return cum.groupBy(*scope).agg(
+def average_precision(ranks: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Sum over distances (nearest first) of recall gain times precision; NULL when a class is missing."""
+    here = F.col("before_pos") + F.col("pos")
+    gain = F.sum(F.when(F.col("pos") > 0, F.col("pos") * (here / (here + F.col("before_neg") + F.col("neg")))))
+    return ranks.groupBy(*scope).agg(
         F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), gain / F.sum("pos")).alias("average_precision")
     )
 
@@ -545,108 +699,115 @@ def sampled_pairs(points: DataFrame, max_pairs: int, seed: int, metric: str, top
 # ---- permutation test -------------------------------------------------------------------
 
 
-def permuted_labels(points: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """Points with ``perm``: array of ``n_perm`` shuffled family codes (family sizes are kept).
+def permuted_labels(points: DataFrame, n_perm: int, seed: int, scope: Sequence[str]) -> DataFrame:
+    """Points with ``perm``: array of their family code and ``n_perm`` shuffled ones (family sizes are kept).
 
-    Permutation p orders the points by md5(seed|p|pid); the first n_1 of that order get
-    the first family, the next n_2 the second, and so on.
+    A point's number in its scope, by id, is permuted by arithmetic; the first n_1 places
+    get the first family, the next n_2 the second, and so on.
     """
-    sizes = points.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
-    walk = W.partitionBy().orderBy("family")  # one row per family
-    edges = sizes.withColumn("hi", F.sum("c").over(walk))
-    ends = edges.agg(F.array_sort(F.collect_list("hi")).alias("e"))
-    thin = points.select("pid", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("p"))
-    thin = thin.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), "p", "pid")))
-    ranked = rank_in_group(thin, ["p"], [F.col("h"), F.col("pid")], "r")
-    code = F.size(F.filter(F.col("e"), lambda x: x <= F.col("r")))
-    ranked = ranked.withColumn("e", ends.scalar()).withColumn("code", code)
-    per = ranked.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "code"))), lambda s: s["code"]).alias("perm"))
-    return points.join(per, "pid")
-
-
-def permutation_pvalue(points: DataFrame, metric: str, n_perm: int, seed: int, block_rows: int | None = None) -> DataFrame:
-    """Share of label shuffles whose margin reaches the observed one: (count + 1) / (valid + 1).
-
-    Row ``valid, count_ge, pvalue``.  Family sizes never change, so a shuffle is judged by
-    its within-family distance sum.  Cosine uses label sums in one linear pass per table;
-    L2 uses tiles.
+    scope = list(scope)
+    keys = round_keys(seed, n_perm)
+    numbered = rank_in_group(points.select(*scope, "pid", "family", "z"), scope, [F.col("pid")], "i")
+    sizes = points.groupBy(*scope, "family").agg(F.count(F.lit(1)).alias("c"))
+    by_name = sizes.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("family", "c"))).alias("s"))  # an entry per family
+    facts = by_name.select(*scope, F.col("s.family").alias("names"), F.col("s.c").alias("counts"))
+    labelled = attach_facts(numbered, facts, scope, ["pid"])
+
+    @arrow_udf("array<long>")
+    def shuffled(group: pa.Array, i: pa.Array, counts: pa.Array, code: pa.Array) -> pa.Array:
+        own = group.to_numpy()
+        out = np.empty((len(own), n_perm + 1), np.int64)
+        out[:, 0] = code.to_numpy() - 1
+        for g in np.unique(own):
+            rows = np.nonzero(own == g)[0]
+            edges = np.cumsum(counts[int(rows[0])].as_py())
+            out[rows, 1:] = np.searchsorted(edges, places(i.to_numpy()[rows], int(edges[-1]), keys), "right")
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (n_perm + 1)), pa.array(out.ravel()))
+
+    perm = shuffled(F.xxhash64(*scope), F.col("i"), F.col("counts"), F.array_position("names", F.col("family")))
+    return labelled.select(*scope, "pid", "family", "z", F.size("names").alias("n_families"), perm.alias("perm"))
+
+
+def permutation_pvalue(points: DataFrame, metric: str, n_perm: int, seed: int, block_rows: int | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Share of label shuffles whose margin reaches the observed one: (count + 1) / (valid + 1), per scope.
+
+    Columns ``scope, valid, count_ge, pvalue``; shuffles stay inside a scope.  Family sizes
+    never change, so a shuffle is judged by its within-family distance sum.  Cosine uses
+    label sums in one linear pass; L2 uses tiles.  Points are numbered once and no row is
+    moved per shuffle.  A scope of one family or of one-point families has no valid shuffle.
     """
-    labelled = permuted_labels(points, n_perm, seed)
-    families = points.select("family").distinct()
-    codes = families.withColumn("code0", F.row_number().over(W.partitionBy().orderBy("family")) - 1)  # one row per family
-    labelled = attach_facts(labelled, codes, ["family"], ["pid"])
-    # Slot 0 carries the true labels.
-    labelled = labelled.withColumn("perm", F.concat(F.array("code0"), F.col("perm"))).select("pid", "family", "z", "perm")
-    labelled = labelled.withColumn("one", F.lit(0))
+    by = list(scope) or ["_one"]
+    pts = points if scope else points.withColumn("_one", F.lit(0))
+    labelled = materialize(permuted_labels(pts, n_perm, seed, by))
     if metric == "cosine":
-        sums = _label_sums(labelled, n_perm + 1)
+        sums = _label_sums(labelled, by)
     else:
-        t = tile_stats(labelled, ["one"], metric, {"perm"}, labels="perm", block_rows=block_rows).where("kind = 'perm'")
-        sums = t.groupBy("key").agg(F.sum("s1").alias("within"))
-    sizes = points.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
-    shape = sizes.agg(
+        t = tile_stats(labelled, by, metric, {"perm"}, labels="perm", block_rows=block_rows).where("kind = 'perm'")
+        sums = t.groupBy(*by, "key").agg(F.sum("s1").alias("within"))
+    sizes = pts.groupBy(*by, "family").agg(F.count(F.lit(1)).alias("c"))
+    shape = sizes.groupBy(*by).agg(
         F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("nw"),
         (F.sum("c") * (F.sum("c") - 1) / 2).alias("na"),
     )
-    s = sums.withColumn("nw", shape.select("nw").scalar()).withColumn("na", shape.select("na").scalar())
-    observed = s.where("key = 0").select("within")
-    judged = s.where("key > 0").withColumn("obs", observed.scalar())
+    observed = sums.where("key = 0").select(*by, F.col("within").alias("obs"))
+    judged = same_key_join(same_key_join(sums.where("key > 0"), observed, by), shape, by)
     # A tolerance keeps shuffles that reproduce the observed split from falling on either side.
     reach = F.col("within") <= F.col("obs") + 1e-9 * F.abs("obs")
     valid = (F.col("nw") > 0) & (F.col("na") > F.col("nw"))
-    out = judged.agg(F.count(F.when(valid, 1)).alias("valid"), F.count(F.when(valid & reach, 1)).alias("count_ge"))
-    return out.withColumn("pvalue", F.when(F.col("valid") > 0, (F.col("count_ge") + 1) / (F.col("valid") + 1)))
+    out = judged.groupBy(*by).agg(F.count(F.when(valid, 1)).alias("valid"), F.count(F.when(valid & reach, 1)).alias("count_ge"))
+    out = out.withColumn("pvalue", F.when(F.col("valid") > 0, (F.col("count_ge") + 1) / (F.col("valid") + 1)))
+    return out if scope else out.drop("_one")
+
+
+LABEL_CELLS = 4_000_000
 
 
-def _label_sums(labelled: DataFrame, n_slots: int) -> DataFrame:
-    """Per label slot the within-group sum of cosine distances, from unit-vector sums per (slot, code)."""
+def _label_sums(labelled: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Per scope and label slot the within-group sum of cosine distances, from unit-vector sums per (slot, code)."""
+    scope = list(scope)
 
     def partial(batches):
-        store: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        width = 0
+        store: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = matrix(batch.column(batch.schema.get_field_index("z")))
+            x = matrix(batch.column("z"))
             if not len(x):
                 continue
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             u = np.where(norm > 0, x / np.maximum(norm, 1e-300), 0.0)
-            lab = matrix(batch.column(batch.schema.get_field_index("perm"))).astype(int)
-            width = u.shape[1]
-            for s in range(lab.shape[1]):
-                top = int(lab[:, s].max()) + 1
-                onehot = np.zeros((top, len(u)))
-                onehot[lab[:, s], np.arange(len(u))] = 1.0
-                vec, aux = onehot @ u, np.stack([onehot.sum(axis=1), onehot @ (u * u).sum(axis=1)], axis=1)
-                if s in store and len(store[s][0]) >= top:
-                    store[s][0][:top] += vec
-                    store[s][1][:top] += aux
-                elif s in store:
-                    vec[: len(store[s][0])] += store[s][0]
-                    aux[: len(store[s][1])] += store[s][1]
-                    store[s] = (vec, aux)
-                else:
-                    store[s] = (vec, aux)
-        for s, (vec, aux) in store.items():
-            yield pd_batch(s, vec, aux, width)
-
-    def pd_batch(s, vec, aux, width):
-        n = len(vec)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n * (width + 2), s)),
-                pa.array(np.repeat(np.arange(n), width + 2)),
-                pa.array(np.tile(np.arange(width + 2), n)),
-                pa.array(np.concatenate([vec, aux], axis=1).ravel()),
-            ],
-            names=["key", "code", "i", "v"],
-        )
-
-    parts = labelled.select("z", "perm").mapInArrow(partial, "key long, code long, i long, v double")
-    entry = parts.groupBy("key", "code", "i").agg(F.sum("v").alias("v"))
-    last = entry.groupBy("key", "code").agg(F.max("i").alias("w"))
-    e = entry.join(last, ["key", "code"])
+            row = np.concatenate([u, np.ones((len(u), 1)), (u * u).sum(axis=1, keepdims=True)], axis=1)
+            lab, group, n_fam = matrix(batch.column("perm")), batch.column("g").to_numpy(), batch.column("n_families").to_numpy()
+            for g in np.unique(group).tolist():
+                mine = np.nonzero(group == g)[0]
+                fam = int(n_fam[mine[0]])
+                if g not in store:
+                    store[g] = np.zeros((lab.shape[1], fam, row.shape[1]))
+                several = max(1, LABEL_CELLS // (fam * len(mine)))
+                for lo in range(0, lab.shape[1], several):  # many slots in one product
+                    codes = lab[mine, lo : lo + several]
+                    onehot = np.zeros((codes.shape[1] * fam, len(mine)))
+                    onehot[codes + np.arange(codes.shape[1]) * fam, np.arange(len(mine))[:, None]] = 1.0
+                    store[g][lo : lo + several] += (onehot @ row[mine]).reshape(codes.shape[1], fam, -1)
+            if sum(v.size for v in store.values()) > 16 * LABEL_CELLS:
+                yield from flushed(store)
+        yield from flushed(store)
+
+    def flushed(store):
+        while store:
+            g, sums = store.popitem()
+            for slot in range(len(sums)):
+                code, i = (a.ravel() for a in np.indices(sums[slot].shape))
+                cols = [np.full(code.shape, g), np.full(code.shape, slot), code, i, sums[slot].ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "key", "code", "i", "v"])
+
+    group = F.xxhash64(*scope)
+    parts = labelled.select(group.alias("g"), "z", "perm", "n_families").mapInArrow(partial, "g long, key long, code long, i long, v double")
+    entry = parts.groupBy("g", "key", "code", "i").agg(F.sum("v").alias("v"))
+    last = F.max("i").over(W.partitionBy("g", "key", "code"))  # entries of one vector
+    e = entry.withColumn("w", last)
     sq = F.sum(F.when(F.col("i") < F.col("w") - 1, F.col("v") * F.col("v")))
     cnt = F.sum(F.when(F.col("i") == F.col("w") - 1, F.col("v")))
     live = F.sum(F.when(F.col("i") == F.col("w"), F.col("v")))
-    per = e.groupBy("key", "code").agg((cnt * (cnt - 1) / 2 - (sq - live) / 2).alias("within"))
-    return per.groupBy("key").agg(F.sum("within").alias("within"))
+    per = e.groupBy("g", "key", "code").agg((cnt * (cnt - 1) / 2 - (sq - live) / 2).alias("within"))
+    sums = per.groupBy("g", "key").agg(F.sum("within").alias("within"))
+    names = labelled.select(*scope, group.alias("g")).distinct()  # one row per scope
+    return sums.join(names, "g").drop("g")

@@ -3,20 +3,27 @@
 Points are hashed into blocks of bounded size.  Each block meets each other
 block once in a tile; a tile holds at most two blocks, computes its distance
 matrix with BLAS and returns aggregates only.  No pair row ever exists.
+
+Kernels that walk their tile in steps of ``BLOCK_ROWS`` rows take large blocks:
+as large as memory allows, but no larger than it takes to keep all cores busy.
+A point is then copied into few tiles and leaves one partial result in each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import attach_facts, spread
 
 BLOCK_ROWS = 1024
+# Bytes that a large block may hold.
+BLOCK_BYTES = 32 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -34,9 +41,18 @@ def vectors(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(m, dtype=float).ravel()))
 
 
-def with_blocks(df: DataFrame, scope: Sequence[str], row_id: str, block_rows: int) -> DataFrame:
-    """Add ``_blk`` and ``_nblk`` (per scope) so that a block holds about ``block_rows`` rows."""
-    sizes = df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nblk"))
+def with_blocks(df: DataFrame, scope: Sequence[str], row_id: str, block_rows: int, row_bytes: Column | None = None) -> DataFrame:
+    """Add ``_blk`` and ``_nblk`` (per scope) so that a block holds about ``block_rows`` rows.
+
+    With ``row_bytes``, an aggregate, blocks are large: about ``BLOCK_BYTES``, or as many
+    as give twice as many tiles as there are shuffle partitions.
+    """
+    n = F.count(F.lit(1))
+    blocks = F.ceil(n / block_rows)
+    if row_bytes is not None:
+        busy = ceil(sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        blocks = F.greatest(F.ceil(n * row_bytes / BLOCK_BYTES), F.least(blocks, F.lit(busy)))
+    sizes = df.groupBy(*scope).agg(blocks.cast("int").alias("_nblk"))
     out = attach_facts(df, sizes, scope, [row_id])
     return out.withColumn("_blk", F.pmod(F.xxhash64(row_id), F.col("_nblk")).cast("int"))
 
@@ -48,10 +64,14 @@ def self_tiles(
     kernel: Callable[[tuple, pa.Table, pa.Table | None], pa.Table],
     schema: str,
     block_rows: int | None = None,
+    row_bytes: Column | None = None,
 ) -> DataFrame:
-    """Run ``kernel(scope values, block, other block or None)`` on every unordered block pair."""
+    """Run ``kernel(scope values, block, other block or None)`` on every unordered block pair.
+
+    ``row_bytes`` asks for large blocks, which the kernel must walk in steps.
+    """
     scope = list(scope)
-    d = with_blocks(df, scope, row_id, block_rows or BLOCK_ROWS)
+    d = with_blocks(df, scope, row_id, block_rows or BLOCK_ROWS, row_bytes)
     d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nblk") - 1)))
     d = d.withColumn("_lo", F.least("_blk", "_o")).withColumn("_hi", F.greatest("_blk", "_o")).drop("_o", "_nblk")
 

@@ -31,16 +31,12 @@ def _cohens(metric):
     return query
 
 
-def _hist(spark, d, metric):
-    return P.distance_histogram(P.tile_stats(pair_points(spark, d), SCOPE, metric, {"hist"}), SCOPE)
-
-
 def _auroc(metric):
-    return lambda spark, d: P.pair_auroc(_hist(spark, d, metric), SCOPE).select("scope", r6("auroc"))
+    return lambda spark, d: P.pair_auroc(P.rank_counts(pair_points(spark, d), SCOPE, metric, ties=False), SCOPE).select("scope", r6("auroc"))
 
 
 def _ap(metric):
-    return lambda spark, d: P.average_precision(_hist(spark, d, metric), SCOPE).select("scope", r6("average_precision"))
+    return lambda spark, d: P.average_precision(P.rank_counts(pair_points(spark, d), SCOPE, metric), SCOPE).select("scope", r6("average_precision"))
 
 
 def _nn(spark, d, metric, k):
@@ -100,6 +96,11 @@ def _permutation(metric):
     return lambda spark, d: P.permutation_pvalue(pair_points(spark, d), metric, PERMUTATIONS, SEED).select("valid", "count_ge", r6("pvalue"))
 
 
+def _permutation_scoped(metric):
+    """Shuffles inside each scope."""
+    return lambda spark, d: P.permutation_pvalue(pair_points(spark, d), metric, PERMUTATIONS, SEED, scope=SCOPE).select("scope", "valid", "count_ge", r6("pvalue"))
+
+
 def sampled_separation(spark, d):
     """The same means from an even sample of 5,000 of all pairs."""
     s = P.sampled_pairs(pair_points(spark, d), 5000, SEED, "l2", TOPK)
@@ -113,7 +114,7 @@ def scoped_metrics(spark, d):
     return metric_table(pooled, "fixture").select("encoder", "delta_variant", "scope", "distance", "metric", r6("value"))
 
 
-def metric_table(points, encoder: str, ks=(1, 3, 5), topk: int = TOPK):
+def metric_table(points, encoder: str, ks=(1, 3, 5), topk: int = TOPK, n_perm: int = PERMUTATIONS, seed: int = SEED):
     """Tall metric table ``encoder, delta_variant, scope, distance, metric, value``."""
     variants = points.withColumn("delta_variant", F.lit("raw")).unionByName(
         points.withColumn("z", l2_normalize("z")).withColumn("delta_variant", F.lit("l2_normalized"))
@@ -123,10 +124,10 @@ def metric_table(points, encoder: str, ks=(1, 3, 5), topk: int = TOPK):
     sizes = materialize(pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points")))
     out = None
     for metric in ("l2", "cosine"):
-        kinds = {"hist", "nn", "jac"} | ({"mom", "fam"} if metric == "l2" else set())
+        kinds = {"nn", "jac"} | ({"mom", "fam"} if metric == "l2" else set())
         stats = materialize(P.tile_stats(pts, keys, metric, kinds, k=max(ks), topk=topk))
         nn = materialize(P.nearest_neighbours(stats, pts, keys, max(ks)))
-        hist = materialize(P.distance_histogram(stats, keys))
+        ranks = materialize(P.rank_counts(pts, keys, metric))
         wide = P.separation(P.pair_moments(pts, keys, metric, stats), keys)
         purity = P.knn_purity(nn, sizes, keys, ks).groupBy(*keys).pivot("k", list(ks)).agg(
             F.first("purity_mean").alias("mean"), F.first("purity_median").alias("median")
@@ -134,8 +135,9 @@ def metric_table(points, encoder: str, ks=(1, 3, 5), topk: int = TOPK):
         for k in ks:
             purity = purity.withColumnRenamed(f"{k}_mean", f"knn_purity_mean@{k}").withColumnRenamed(f"{k}_median", f"knn_purity_median@{k}")
         parts = [
-            sizes, P.silhouette(pts, keys, metric, stats), P.pair_auroc(hist, keys), P.average_precision(hist, keys), purity,
+            sizes, P.silhouette(pts, keys, metric, stats), P.pair_auroc(ranks, keys), P.average_precision(ranks, keys), purity,
             P.accuracy_and_f1(P.loo_centroid(pts, keys, metric), keys), P.topk_overlap(stats, keys),
+            P.permutation_pvalue(pts, metric, n_perm, seed, scope=keys).select(*keys, F.col("pvalue").alias("permutation_pvalue")),
             P.misfits(nn).groupBy(*keys).agg(F.avg(F.col("misfit").cast("double")).alias("misfit_rate")),
         ]
         for p in parts:
@@ -168,6 +170,8 @@ QUERIES = {
     "silhouette_cosine": _silhouette("cosine"),
     "permutation_pvalue": _permutation("l2"),
     "permutation_pvalue_cosine": _permutation("cosine"),
+    "permutation_scoped": _permutation_scoped("l2"),
+    "permutation_scoped_cosine": _permutation_scoped("cosine"),
     "sampled_separation": sampled_separation,
     "scoped_metrics": scoped_metrics,
 }
@@ -187,14 +191,14 @@ SELECT scope, round((mb - ma) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb
 
 
 def _auroc_sql(d):
-    return f"""WITH {PAIRS}, s AS (SELECT scope, same, -round({d} * 1e6) AS sc FROM pr),
+    return f"""WITH {PAIRS}, s AS (SELECT scope, same, -{d} AS sc FROM pr),
 r AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY sc) + (count(*) OVER (PARTITION BY scope, sc) - 1) / 2.0::DOUBLE AS r FROM s)
 SELECT scope, round((sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2.0::DOUBLE) / (count(*) FILTER (same) * count(*) FILTER (NOT same)), 6) AS auroc
 FROM r GROUP BY scope"""
 
 
 def _ap_sql(d):
-    return f"""WITH {PAIRS}, h AS (SELECT scope, round({d} * 1e6) AS b, count(*) FILTER (same) AS p, count(*) AS n FROM pr GROUP BY 1, 2),
+    return f"""WITH {PAIRS}, h AS (SELECT scope, {d} AS b, count(*) FILTER (same) AS p, count(*) AS n FROM pr GROUP BY 1, 2),
 c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM h WINDOW w AS (PARTITION BY scope ORDER BY b))
 SELECT scope, round(sum(p * (cp::DOUBLE / cn)) / sum(p), 6) AS average_precision FROM c GROUP BY scope"""
 
@@ -225,15 +229,26 @@ g AS (SELECT scope, min(c) AS lo, count(*) AS k FROM (SELECT scope, family, coun
 SELECT g.scope, round(CASE WHEN any_value(lo) >= 2 AND any_value(k) >= 2 THEN avg((b - a) / greatest(a, b)) END, 6) AS silhouette FROM g JOIN ab USING (scope) GROUP BY g.scope"""
 
 
-def _perm_sql(dist):
-    return f"""WITH {EMB},
-ap AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.family = b.family AS same, {dist} AS d FROM emb a JOIN emb b ON a.vec_id < b.vec_id),
-sz AS (SELECT family, sum(count(*)) OVER (ORDER BY family::VARCHAR) AS hi FROM emb GROUP BY family),
-pm AS (SELECT p, vec_id, row_number() OVER (PARTITION BY p ORDER BY md5('{SEED}|' || p || '|' || vec_id), vec_id) - 1 AS r FROM emb, (SELECT unnest(range(0, {PERMUTATIONS})) AS p)),
-lb AS (SELECT p, vec_id, (SELECT count(*) FROM sz WHERE hi <= r) AS lab FROM pm),
-w AS (SELECT x.p AS p, avg(d) FILTER (x.lab <> y.lab) - avg(d) FILTER (x.lab = y.lab) AS margin FROM ap JOIN lb x ON x.vec_id = a_id JOIN lb y ON y.vec_id = b_id AND y.p = x.p GROUP BY x.p),
-o AS (SELECT avg(d) FILTER (NOT same) - avg(d) FILTER (same) AS margin FROM ap)
-SELECT count(*) AS valid, count(*) FILTER (w.margin >= o.margin) AS count_ge, round((count(*) FILTER (w.margin >= o.margin) + 1)::DOUBLE / (count(*) + 1), 6) AS pvalue FROM w JOIN o ON true"""
+def _perm_sql(dist, scoped=False):
+    """Labels by the same bit fields, round by round; numbers beyond n go round again."""
+    sc, on = ("scope", "a.scope = b.scope AND ") if scoped else ("0 AS scope", "")
+    mix = "xor(((xor(xor(y >> 16, y) * 73244475 & 4294967295, (xor(y >> 16, y) * 73244475 & 4294967295) >> 16)) * 73244475 & 4294967295) >> 16, (xor(xor(y >> 16, y) * 73244475 & 4294967295, (xor(y >> 16, y) * 73244475 & 4294967295) >> 16)) * 73244475 & 4294967295)"
+    return f"""WITH RECURSIVE {EMB},
+ap AS (SELECT {"a.scope AS scope" if scoped else "0 AS scope"}, a.vec_id AS a_id, b.vec_id AS b_id, a.family = b.family AS same, {dist} AS d FROM emb a JOIN emb b ON {on}a.vec_id < b.vec_id),
+sz AS (SELECT scope, family, sum(c) OVER (PARTITION BY scope ORDER BY family::VARCHAR) AS hi FROM (SELECT {sc}, family, count(*) AS c FROM emb GROUP BY ALL)),
+nb AS (SELECT {sc}, vec_id, row_number() OVER (PARTITION BY {"scope" if scoped else "0"} ORDER BY vec_id) - 1 AS i FROM emb),
+n AS (SELECT scope, n, greatest(2, CASE WHEN n < 2 THEN 0 ELSE length(bin(n - 1)) END)::INT AS bits FROM (SELECT scope, count(*) AS n FROM nb GROUP BY scope)),
+ky AS (SELECT p, k, CAST('0x' || substr(md5('{SEED}|' || p || '|' || k), 1, 8) AS BIGINT) AS ky FROM (SELECT unnest(range(0, {PERMUTATIONS})) AS p), (SELECT unnest(range(0, 10)) AS k)),
+fe AS (SELECT nb.scope, vec_id, p, 0::BIGINT AS k, i::BIGINT AS x, n, bits // 2 AS low FROM nb JOIN n USING (scope), (SELECT unnest(range(0, {PERMUTATIONS})) AS p)
+  UNION ALL SELECT scope, vec_id, p, k + 1, CASE WHEN k % 2 = 0 THEN (xor(x >> low, {mix} & ((1::BIGINT << (bits - low)) - 1)) << low) + (x & ((1::BIGINT << low) - 1))
+    ELSE ((x >> low) << low) + xor(x & ((1::BIGINT << low) - 1), {mix} & ((1::BIGINT << low) - 1)) END, n, low
+  FROM (SELECT fe.scope, vec_id, fe.p, fe.k % 10 AS k, x, fe.n, low, bits, (CASE WHEN fe.k % 2 = 0 THEN x & ((1::BIGINT << low) - 1) ELSE x >> low END + ky) & 4294967295 AS y
+    FROM fe JOIN n USING (scope) JOIN ky ON ky.p = fe.p AND ky.k = fe.k % 10 WHERE fe.k < 10 OR fe.x >= fe.n)),
+lb AS (SELECT p, vec_id, (SELECT count(*) FROM sz WHERE sz.scope = fe.scope AND hi <= x) AS lab FROM fe WHERE k = 10 AND x < n),
+w AS (SELECT scope, x.p AS p, avg(d) FILTER (x.lab <> y.lab) - avg(d) FILTER (x.lab = y.lab) AS margin FROM ap JOIN lb x ON x.vec_id = a_id JOIN lb y ON y.vec_id = b_id AND y.p = x.p GROUP BY scope, x.p),
+o AS (SELECT scope, avg(d) FILTER (NOT same) - avg(d) FILTER (same) AS margin FROM ap GROUP BY scope)
+SELECT {"scope, " if scoped else ""}count(*) AS valid, count(*) FILTER (w.margin >= o.margin) AS count_ge, round((count(*) FILTER (w.margin >= o.margin) + 1)::DOUBLE / (count(*) + 1), 6) AS pvalue
+FROM w JOIN o USING (scope) GROUP BY scope"""
 
 
 _TOPK = PAIRS.replace("list_distance(a.z, b.z) AS d_l2", "len(list_intersect(a.top, b.top)) AS common, list_distance(a.z, b.z) AS d_l2").replace(
@@ -281,5 +296,7 @@ SELECT scope, round(avg(common / (16.0::DOUBLE - common)) FILTER (same), 6) AS j
     "silhouette_cosine": _sil_sql("d_cos"),
     "permutation_pvalue": _perm_sql("list_distance(a.z, b.z)"),
     "permutation_pvalue_cosine": _perm_sql("list_cosine_distance(a.z, b.z)"),
+    "permutation_scoped": _perm_sql("list_distance(a.z, b.z)", True),
+    "permutation_scoped_cosine": _perm_sql("list_cosine_distance(a.z, b.z)", True),
     "sampled_separation": _SAMPLED,
 }
