@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.vectors import is_finite
-from ..plans.ranks import exact_quantiles
+from ..plans.ranks import exact_quantiles, rank_in_group
 from ..plans.tiles import cross_tiles, matrix, vectors
 from ..session import materialize
 
 # A model of at most this many numbers is shipped to every task; larger ones are joined block by block.
 INLINE_VALUES = 4_000_000
+LABEL_BLOCK_VALUES = 500_000
 
 
 def mahalanobis_full(z: str, stats: DataFrame) -> Column:
@@ -152,32 +153,69 @@ def calibrate_unseen(scored: DataFrame, pct: float = 99.0, column: str = "min_d"
 
 
 def zero_shot(df: DataFrame, labels: DataFrame, label: str = "label", label_vec: str = "vec", z: str = "z",
-              max_values: int = 4_000_000) -> DataFrame:
+              max_values: int | None = None) -> DataFrame:
     """Softmax over normalised dot products with every label vector: ``probs`` by label order, ``pred``, ``prob``.
 
-    The label table is a class list; it is counted before it is shipped.
+    Equal scores go to the smaller label.  A label table of at most ``max_values`` numbers
+    (counted) goes to every task.  A larger one is cut into blocks in label order; each block
+    gives a row's largest score, its sum of exponentials relative to it and the scores, and
+    blocks are merged by the largest score of all, so any number of labels comes out right.
     """
-    shape = labels.agg(F.sum(F.size(label_vec)).alias("v")).first()["v"] or 0
-    if shape > max_values:
-        raise ValueError(f"label table holds {shape} numbers; use nearest_of_table with a cosine kernel for argmax only")
-    local = labels.select(label, label_vec).orderBy(label).collect()
-    names = [r[label] for r in local]
-    w = np.asarray([r[label_vec] for r in local])
-    w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+    limit = INLINE_VALUES if max_values is None else max_values
+    shape = labels.agg(F.sum(F.size(label_vec)).alias("v"), F.max(F.size(label_vec)).alias("w")).first()
     label_type = labels.schema[label].dataType.simpleString()
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    if (shape["v"] or 0) <= limit:
+        local = labels.select(label, label_vec).orderBy(label).collect()
+        names = [r[label] for r in local]
+        w = unit(np.asarray([r[label_vec] for r in local]))
+
+        @arrow_udf(f"struct<probs:array<double>,pred:{label_type},prob:double>")
+        def score(v: pa.Array) -> pa.Array:
+            s = unit(matrix(v)) @ w.T if len(v) else np.zeros((0, len(names)))
+            e = np.exp(s - s.max(axis=1, keepdims=True)) if len(v) else s
+            p = e / e.sum(axis=1, keepdims=True) if len(v) else s
+            best = p.argmax(axis=1) if len(v) else np.zeros(0, int)
+            found = [vectors(p), pa.array([names[i] for i in best]), pa.array(p[np.arange(len(v)), best], pa.float64())]
+            return pa.StructArray.from_arrays(found, ["probs", "pred", "prob"])
+
+        out = df.withColumn("_s", score(F.col(z)))
+        return out.select(*df.columns, "_s.probs", "_s.pred", "_s.prob")
+
+    # Own row numbers: ids may be NULL or repeat.  Stored, as both uses must see the same numbers.
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    per_block = max(1, LABEL_BLOCK_VALUES // shape["w"])
+    ranked = rank_in_group(labels.select(F.col(label).alias("lab"), F.col(label_vec).alias("vec")), [], [F.col("lab")], "at")
+    ranked = ranked.withColumn("part", F.floor(F.col("at") / per_block).cast("int"))
+    schema = f"rid long, part int, m double, total double, lab {label_type}, scores array<double>"
 
-    @arrow_udf(f"struct<probs:array<double>,pred:{label_type},prob:double>")
-    def score(v: pa.Array) -> pa.Array:
-        x = matrix(v)
-        s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ w.T if len(v) else np.zeros((0, len(names)))
-        e = np.exp(s - s.max(axis=1, keepdims=True)) if len(v) else s
-        p = e / e.sum(axis=1, keepdims=True) if len(v) else s
-        best = p.argmax(axis=1) if len(v) else np.zeros(0, int)
-        found = [vectors(p), pa.array([names[i] for i in best]), pa.array(p[np.arange(len(v)), best], pa.float64())]
-        return pa.StructArray.from_arrays(found, ["probs", "pred", "prob"])
-
-    out = df.withColumn("_s", score(F.col(z)))
-    return out.select(*df.columns, "_s.probs", "_s.pred", "_s.prob")
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        kinds = [("rid", pa.int64()), ("part", pa.int32()), ("m", pa.float64()), ("total", pa.float64()), ("lab", b.schema.field("lab").type), ("scores", pa.list_(pa.float64()))]
+        if not a.num_rows or not b.num_rows:
+            return pa.schema(kinds).empty_table()
+        b = b.sort_by("at")
+        s = unit(matrix(a.column("zz"))) @ unit(matrix(b.column("vec"))).T
+        best = s.argmax(axis=1)
+        top = s[np.arange(len(s)), best]
+        cols = [a.column("rid"), pa.array(np.full(len(s), b.column("part")[0].as_py(), np.int32)), pa.array(top), pa.array(np.exp(s - top[:, None]).sum(axis=1))]
+        return pa.Table.from_arrays([*cols, b.column("lab").take(pa.array(best)), vectors(s)], schema=pa.schema(kinds))
+
+    left = df.select(F.col("_row").alias("rid"), F.col(z).alias("zz"))
+    blocks = -(-ranked.count() // per_block)
+    parts = materialize(cross_tiles(left, ranked, "rid", "at", tile, schema, right_block=(F.col("part"), blocks)))
+    peak = parts.groupBy("rid").agg(F.max("m").alias("peak"))
+    j = parts.join(peak, "rid")
+    # a list per row of as many scores as there are labels: the length of its result
+    merged = j.groupBy("rid").agg(
+        F.sum(F.col("total") * F.exp(F.col("m") - F.col("peak"))).alias("all"), F.first("peak").alias("peak"),
+        F.min(F.when(F.col("m") == F.col("peak"), F.struct("part", "lab")))["lab"].alias("pred"),
+        F.array_sort(F.collect_list(F.struct("part", "scores"))).alias("lists"),
+    )
+    scores = F.flatten(F.transform("lists", lambda x: x["scores"]))
+    out = merged.select(
+        F.col("rid").alias("_row"), F.transform(scores, lambda s: F.exp(s - F.col("peak")) / F.col("all")).alias("probs"), "pred", (1 / F.col("all")).alias("prob")
+    )
+    return df.join(out, "_row", "left").drop("_row")
 
 
 def project(z: str, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray | None = None, b2: np.ndarray | None = None) -> Column:

@@ -23,7 +23,7 @@ from ..plans.lookup import attach_facts, same_key_join
 from ..plans.ranks import ordered_counts, rank_in_group
 from ..plans.shuffles import places, round_keys
 from ..plans import tiles
-from ..plans.tiles import matrix, self_tiles
+from ..plans.tiles import matrix, scoped_cross_tiles, self_tiles
 from ..session import materialize
 from .fit import key_ddl, moments
 
@@ -488,12 +488,17 @@ def family_sums(points: DataFrame, scope: Sequence[str], unit: bool = False) ->
     return stats.select(*scope, "fam", "n", F.transform("mu", lambda m: m * F.col("n")).alias("total"))
 
 
-def _scope_tables(points: DataFrame, scope: Sequence[str], unit: bool, max_values: int) -> dict:
-    """Family sums per scope as arrays, counted before they leave the cluster."""
-    sums = materialize(family_sums(points, scope, unit))
+# A model of at most this many numbers goes to every task; larger ones meet the points block by block.
+MAX_FAMILY_VALUES = 4_000_000
+MODEL_BLOCK_VALUES = 500_000
+POINT_BLOCK_ROWS = 8192
+
+
+def _scope_tables(sums: DataFrame, scope: Sequence[str], max_values: int) -> dict | None:
+    """Family sums per scope as arrays, counted before they leave the cluster; None when there are too many."""
     size = sums.agg(F.sum(F.size("total"))).first()[0] or 0
     if size > max_values:
-        raise OverflowError(size)
+        return None
     out: dict = {}
     for r in sums.orderBy(*scope, "fam").collect():
         out.setdefault(tuple(r[s] for s in scope), []).append((r["fam"], r["n"], r["total"]))
@@ -502,85 +507,97 @@ def _scope_tables(points: DataFrame, scope: Sequence[str], unit: bool, max_value
     }
 
 
-MAX_FAMILY_VALUES = 4_000_000
-
-
-def _per_scope(tables: dict, fn, width: int):
-    """Arrow function (scope struct, family, z) -> rows of ``width`` numbers, one table lookup per scope."""
-
-    def run(scope_cols: list, fam: pa.Array, z: pa.Array) -> list[np.ndarray]:
-        x = matrix(z)
-        own = np.asarray(fam.to_pylist(), dtype=object)
-        keys = list(zip(*[c.to_pylist() for c in scope_cols])) if scope_cols else [()] * len(x)
-        out = np.full((len(x), width), np.nan)
-        index: dict = {}
-        for i, key in enumerate(keys):
-            index.setdefault(key, []).append(i)
-        for key, rows in index.items():
-            names, n, total = tables[key]
-            pos = {f: j for j, f in enumerate(names)}
-            out[rows] = fn(x[rows], np.array([pos[f] for f in own[rows]]), n, total)
-        return out
-
-    return run
-
-
-def _scoped_column(points: DataFrame, scope: Sequence[str], tables: dict, fn, width: int) -> Column:
-    run = _per_scope(tables, fn, width)
-    from ..plans.tiles import vectors
+def _with_families(points: DataFrame, scope: Sequence[str], unit: bool, max_values: int, fn, merge: dict[str, Column]) -> DataFrame:
+    """Add columns ``_a``, ``_b`` (double) and ``_f`` (family) that ``fn`` finds for each point among its scope's families.
 
-    if scope:
-
-        @arrow_udf("array<double>")
-        def apply(s: pa.Array, fam: pa.Array, z: pa.Array) -> pa.Array:
-            return vectors(run([s.field(i) for i in range(s.type.num_fields)], fam, z)) if len(z) else pa.array([], pa.list_(pa.float64()))
-
-        return apply(F.struct(*scope), F.col("family"), F.col("z"))
-
-    @arrow_udf("array<double>")
-    def apply0(fam: pa.Array, z: pa.Array) -> pa.Array:
-        return vectors(run([], fam, z)) if len(z) else pa.array([], pa.list_(pa.float64()))
-
-    return apply0(F.col("family"), F.col("z"))
+    ``fn(x, own, n, total)`` returns two arrays and a position (-1: none); ``own`` is the position of the point's
+    family, -1 where this block of families does not hold it.  ``merge`` joins the blocks' results.
+    """
+    scope = list(scope)
+    sums = materialize(family_sums(points, scope, unit))
+    tables = _scope_tables(sums, scope, max_values)
+    found = "_a double, _b double, _f string"
+
+    def result(x, fams, names, n, total) -> list[pa.Array]:
+        pos = {f: j for j, f in enumerate(names)}
+        a, b, best = fn(x, np.array([pos.get(f, -1) for f in fams], int), n, total)
+        nan = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
+        return [nan(a), nan(b), pa.array([names[k] if k >= 0 else None for k in best], pa.string())]
+
+    if tables is not None:
+
+        @arrow_udf(f"struct<{found.replace(' ', ':').replace(',:', ',')}>")
+        def look_up(key: pa.Array, fam: pa.Array, z: pa.Array) -> pa.Array:
+            keys = list(zip(*[key.field(i).to_pylist() for i in range(key.type.num_fields - 1)])) if key.type.num_fields > 1 else [()] * len(z)
+            index: dict = {}
+            for i, k in enumerate(keys):
+                index.setdefault(k, []).append(i)
+            x, own = matrix(z), fam.to_pylist()
+            parts, order = [], []
+            for k, rows in index.items():
+                parts.append(result(x[rows], [own[i] for i in rows], *tables[k]))
+                order += rows
+            back = pa.array(np.argsort(order, kind="stable"))
+            kinds = [pa.float64(), pa.float64(), pa.string()]
+            cols = [pa.concat_arrays([p[c] for p in parts]).take(back) if parts else pa.array([], kinds[c]) for c in range(3)]
+            return pa.StructArray.from_arrays(cols, ["_a", "_b", "_f"])
+
+        out = points.withColumn("_r", look_up(F.struct(*scope, F.lit(0).alias("_one")), F.col("family"), F.col("z")))
+        return out.select(*points.columns, "_r.*")
+
+    # Own row numbers, as ids may repeat; stored, as both uses must see the same numbers.
+    by = scope or ["_one"]
+    pts = points if scope else points.withColumn("_one", F.lit(0))
+    pts = materialize(pts.withColumn("_row", F.monotonically_increasing_id()))
+    model = sums if scope else sums.withColumn("_one", F.lit(0))
+    width = sums.select(F.max(F.size("total"))).first()[0] or 1
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("_row", pa.int64()), ("_a", pa.float64()), ("_b", pa.float64()), ("_f", pa.string())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("fam")
+        got = result(matrix(a.column("z")), a.column("family").to_pylist(), b.column("fam").to_pylist(), b.column("n").to_numpy().astype(float), matrix(b.column("total")))
+        return pa.Table.from_arrays([a.column("_row").combine_chunks(), *got], schema=schema)
+
+    parts = scoped_cross_tiles(
+        pts.select(*by, "_row", "family", "z"), model, by, "_row", "fam", kernel, f"_row long, {found}", POINT_BLOCK_ROWS, max(1, MODEL_BLOCK_VALUES // width)
+    )
+    best = parts.groupBy("_row").agg(*[c.alias(name) for name, c in merge.items()])
+    return pts.join(best, "_row", "left").select(*points.columns, *merge)
 
 
-def loo_centroid(points: DataFrame, scope: Sequence[str], metric: str, max_values: int = MAX_FAMILY_VALUES) -> DataFrame:
+def loo_centroid(points: DataFrame, scope: Sequence[str], metric: str, max_values: int | None = None) -> DataFrame:
     """Nearest family centroid with the point itself left out: adds ``pred`` (NULL if no family is eligible).
 
     The own centroid is (S - x)/(n - 1); a singleton family is skipped for its own
     member; equal distances go to the family that sorts first.
     """
-    tables = _scope_tables(points, scope, False, max_values)
+
+    def to_rows(x, c):
+        if metric == "l2":
+            return np.sqrt(((x - c) ** 2).sum(axis=1))
+        den = np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1)
+        return np.where(den <= 1e-12, 1.0, 1.0 - (x * c).sum(axis=1) / np.maximum(den, 1e-300))
 
     def predict(x, own, n, total):
-        best, best_d = np.full(len(x), -1.0), np.full(len(x), np.inf)
-        for f in range(len(n)):
-            mine = own == f
-            c = np.broadcast_to(total[f] / n[f], x.shape).copy()
-            if n[f] > 1:
-                c[mine] = (total[f] - x[mine]) / (n[f] - 1)
-            if metric == "l2":
-                d = np.sqrt(((x - c) ** 2).sum(axis=1))
-            else:
-                den = np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1)
-                d = np.where(den <= 1e-12, 1.0, 1.0 - (x * c).sum(axis=1) / np.maximum(den, 1e-300))
-            if n[f] <= 1:
-                d[mine] = np.inf
-            better = d < best_d
-            best[better], best_d[better] = f, d[better]
-        return np.stack([best, best_d], axis=1)
-
-    out = points.withColumn("_p", _scoped_column(points, scope, tables, predict, 2))
-    names = {k: v[0] for k, v in tables.items()}
-
-    @arrow_udf("string")
-    def name_of(scope_key: pa.Array, code: pa.Array) -> pa.Array:
-        keys = zip(*[scope_key.field(i).to_pylist() for i in range(scope_key.type.num_fields)])
-        return pa.array([names[tuple(k[:-1])][int(c)] if c is not None and c >= 0 else None for k, c in zip(keys, code.to_pylist())], pa.string())
-
-    code = F.element_at("_p", 1)
-    out = out.withColumn("pred", name_of(F.struct(*scope, F.lit(0).alias("_one")), code)).withColumn("pred_distance", F.element_at("_p", 2))
-    return out.drop("_p")
+        mean = total / n[:, None]
+        if metric == "l2":
+            d = distances(x, mean, "l2")
+        else:
+            den = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(mean, axis=1)[None, :]
+            d = np.where(den <= 1e-12, 1.0, 1.0 - (x @ mean.T) / np.maximum(den, 1e-300))
+        mine = np.nonzero(own >= 0)[0]
+        f = own[mine]
+        rest = np.maximum(n[f] - 1, 1)
+        d[mine, f] = np.where(n[f] > 1, to_rows(x[mine], (total[f] - x[mine]) / rest[:, None]), np.inf)
+        best = d.argmin(axis=1)
+        low = d[np.arange(len(x)), best]
+        return np.where(np.isfinite(low), low, np.nan), np.full(len(x), np.nan), np.where(np.isfinite(low), best, -1)
+
+    merge = {"_a": F.min("_a"), "_f": F.min(F.when(F.col("_f").isNotNull(), F.struct("_a", "_f")))["_f"]}
+    out = _with_families(points, scope, False, MAX_FAMILY_VALUES if max_values is None else max_values, predict, merge)
+    return out.select(*points.columns, F.col("_f").alias("pred"), F.coalesce("_a", F.lit(float("inf"))).alias("pred_distance"))
 
 
 def accuracy_and_f1(pred: DataFrame, scope: Sequence[str], truth: str = "family", guess: str = "pred") -> DataFrame:
@@ -602,7 +619,7 @@ def accuracy_and_f1(pred: DataFrame, scope: Sequence[str], truth: str = "family"
 
 
 def silhouette(points: DataFrame, scope: Sequence[str], metric: str, stats: DataFrame | None = None,
-               block_rows: int | None = None, max_values: int = MAX_FAMILY_VALUES) -> DataFrame:
+               block_rows: int | None = None, max_values: int | None = None) -> DataFrame:
     """Exact mean silhouette; NULL with fewer than two families or with a singleton family.
 
     Cosine: mean distance from x to family f is (n_f - x.S_f)/n_f with unit vectors, so
@@ -612,21 +629,23 @@ def silhouette(points: DataFrame, scope: Sequence[str], metric: str, stats: Data
     sizes = points.groupBy(*scope, "family").agg(F.count(F.lit(1)).alias("c"))
     guard = sizes.groupBy(*scope).agg((F.count(F.lit(1)) >= 2).alias("_many"), (F.min("c") >= 2).alias("_full"))
     if metric == "cosine":
-        tables = _scope_tables(points, scope, True, max_values)
 
         def score(x, own, n, total):
             u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             s = u @ total.T
             mean = (n[None, :] - s) / n[None, :]
-            rows = np.arange(len(x))
-            self_dot = (u * u).sum(axis=1)
-            a = (n[own] - 1 - (s[rows, own] - self_dot)) / np.maximum(n[own] - 1, 1)
-            mean[rows, own] = np.inf
+            a = np.full(len(x), np.nan)
+            mine = np.nonzero(own >= 0)[0]
+            f = own[mine]
+            a[mine] = (n[f] - 1 - (s[mine, f] - (u[mine] * u[mine]).sum(axis=1))) / np.maximum(n[f] - 1, 1)
+            mean[mine, f] = np.inf
             b = mean.min(axis=1)
-            return np.where(np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)[:, None]
+            return a, np.where(np.isfinite(b), b, np.nan), np.full(len(x), -1)
 
-        per = points.withColumn("_v", F.element_at(_scoped_column(points, scope, tables, score, 1), 1))
-        got = per.groupBy(*scope).agg(F.avg("_v").alias("silhouette"))
+        limit = MAX_FAMILY_VALUES if max_values is None else max_values
+        per = _with_families(points, scope, True, limit, score, {"_a": F.max("_a"), "_b": F.min("_b")})
+        value = F.when(F.col("_b").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b", F.lit(1e-300)))
+        got = per.groupBy(*scope).agg(F.avg(value).alias("silhouette"))
     else:
         stats = stats if stats is not None else tile_stats(points, scope, metric, {"fam"}, block_rows=block_rows)
         means = stats.where("kind = 'fam'").groupBy(*scope, "pid", "fam").agg((F.sum("s1") / F.sum("n")).alias("m"))

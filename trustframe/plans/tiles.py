@@ -86,6 +86,30 @@ def self_tiles(
     return spread(d, *scope, "_lo", "_hi").groupBy(*scope, "_lo", "_hi").applyInArrow(run, schema)
 
 
+def scoped_cross_tiles(
+    left: DataFrame,
+    right: DataFrame,
+    scope: Sequence[str],
+    left_id: str,
+    right_id: str,
+    kernel: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+    left_rows: int,
+    right_rows: int,
+) -> DataFrame:
+    """Run ``kernel(left block, right block)`` on every block combination of two tables inside each scope."""
+    scope = list(scope)
+    count = lambda df, rows, name: df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = count(left, left_rows, "_ln").join(count(right, right_rows, "_rn"), scope)
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lx = attach_facts(left, sizes, scope, [left_id]).withColumn("_i", block(left_id, "_ln")).withColumn("_j", cells("_rn")).drop("_ln", "_rn")
+    rx = attach_facts(right, sizes, scope, [right_id]).withColumn("_j", block(right_id, "_rn")).withColumn("_i", cells("_ln")).drop("_ln", "_rn")
+    rx = rx.toDF(*rx.columns)  # both sides may stem from one table
+    key = [*scope, "_i", "_j"]
+    return spread(lx, *key).groupBy(*key).cogroup(spread(rx, *key).groupBy(*key)).applyInArrow(lambda a, b: kernel(a, b), schema)
+
+
 def cross_tiles(
     left: DataFrame,
     right: DataFrame,
@@ -94,11 +118,17 @@ def cross_tiles(
     kernel: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
     block_rows: int | None = None,
+    right_block: tuple[Column, int] | None = None,
 ) -> DataFrame:
-    """Run ``kernel(left block, right block)`` on every block combination of two tables."""
+    """Run ``kernel(left block, right block)`` on every block combination of two tables.
+
+    Blocks are cut by hash; ``right_block`` gives the right side's own block numbers and how many there are.
+    """
     block_rows = block_rows or BLOCK_ROWS
-    ln, rn = (max(1, -(-d.count() // block_rows)) for d in (left, right))
+    ln = max(1, -(-left.count() // block_rows))
+    own, rn = right_block or (None, max(1, -(-right.count() // block_rows)))
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lx = left.withColumn("_i", F.pmod(F.xxhash64(left_id), F.lit(ln)).cast("int")).withColumn("_j", cells(rn))
-    rx = right.withColumn("_j", F.pmod(F.xxhash64(right_id), F.lit(rn)).cast("int")).withColumn("_i", cells(ln))
+    own = F.pmod(F.xxhash64(right_id), F.lit(rn)) if own is None else own
+    rx = right.withColumn("_j", own.cast("int")).withColumn("_i", cells(ln))
     return spread(lx, "_i", "_j").groupBy("_i", "_j").cogroup(spread(rx, "_i", "_j").groupBy("_i", "_j")).applyInArrow(lambda a, b: kernel(a, b), schema)
