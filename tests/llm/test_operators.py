@@ -194,7 +194,7 @@ def test_warc_edge(spark, edge):
     assert len(got) == pages.count()
     assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes == 8} == {(3, "response", None), (5, "revisit", 3), (None, "revisit", 3)}
     assert {r.payload_bytes for r in got} == {8, 0, 100_000}
-    index = warc.CaptureIndex([tuple(r) for r in archives.select("key", "page_id", "path", "dir_at").collect()])
+    index = warc.CaptureIndex([tuple(r) for r in archives.select("key", "page", "path", "dir_at").collect()])
     assert len(index.captures("b,a)/c?d")) == 3 and index.captures("b,a)/none") == []
 
 

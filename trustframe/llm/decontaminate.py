@@ -93,7 +93,9 @@ def _find(docs: DataFrame, known) -> DataFrame:
                 yield out
 
     ident = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(scan, f"doc_id {ident}, key string, n_words long, hits array<struct<lo:int,hi:int>>, items array<string>")
+    # ids pass through pandas as text: a long column with a NULL would become double there
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(scan, "doc_id string, key string, n_words long, hits array<struct<lo:int,hi:int>>, items array<string>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(ident))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,7 +150,7 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` without any hit, columns unchanged."""
+    """Rows of ``docs`` without any hit, columns unchanged; NULL and empty texts, NULL ids and repeated rows stay."""
     bad = find(docs, items, doc_id, text).where(F.size("hits") > 0).select("key").distinct()
     name = free_name(docs, "_key")
     k = docs.withColumn(name, row_key(doc_id, text))
@@ -156,20 +158,24 @@ def remove_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` with every hit word run cut out of the text; rows that lose all words go."""
+    """Rows of ``docs`` with every hit word run cut out of the text; rows that lose all words go.
+
+    Rows without a hit stay as they are, NULL and empty texts and repeated rows included.  Extra columns may
+    have any name.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_cut_key": batch["key"], "_cut_text": [_without(t, h) for t, h in zip(batch["raw"], batch["hits"])]})
+            yield pd.DataFrame({"key": batch["key"], "cut": [_without(t, h) for t, h in zip(batch["raw"], batch["hits"])]})
 
     hits = find(docs, items, doc_id, text).where(F.size("hits") > 0).select("key", "hits").dropDuplicates(["key"])
-    name = free_name(docs, "_cut_key")
+    name, cut_name = free_name(docs, "_cut_key"), free_name(docs, "_cut_text")
     k = docs.withColumn(name, row_key(doc_id, text))
     raw = k.select(F.col(name).alias("key"), F.col(text).cast("binary").alias("raw")).join(hits, "key").dropDuplicates(["key"])
-    new = raw.mapInPandas(cut, "_cut_key string, _cut_text string")
-    j = k.join(new.withColumnRenamed("_cut_key", name), name, "left")
-    left = F.when(F.col("_cut_text").isNull(), F.col(f"`{text}`")).otherwise(F.col("_cut_text"))
-    kept = j.where(F.col("_cut_text").isNull() | (F.trim("_cut_text") != ""))
+    new = raw.mapInPandas(cut, "key string, cut string").toDF(name, cut_name)
+    j = k.join(new, name, "left")
+    left = F.when(F.col(cut_name).isNull(), F.col(f"`{text}`")).otherwise(F.col(cut_name))
+    kept = j.where(F.col(cut_name).isNull() | (F.trim(cut_name) != ""))
     return kept.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

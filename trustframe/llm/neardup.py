@@ -32,6 +32,8 @@ BROADCAST_ROWS = 200_000
 STAR_ROUNDS = 2
 # Nodes and shingles per block of a region (about, blocks are cut by hash) and shingles counted at once in a tile.
 TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 256, 500_000, 4096
+# Members of a band bucket that one task compares the others with.
+BUCKET_BLOCK = 2048
 
 
 def seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +101,10 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, raw) -> doc_id, th, n, cls (set digest), bands, sketch; NULL cls without words."""
+    """(doc_id, th, raw) -> doc_id, th, n, cls (set digest), bands, sketch; NULL cls without words.
+
+    Ids pass through pandas as text: a long column with a NULL would become double there.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
@@ -119,7 +124,8 @@ def profiles(docs: DataFrame) -> DataFrame:
                 yield out
 
     ident = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {ident}, th long, n long, cls string, bands array<long>, sketch array<long>")
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, th long, n long, cls string, bands array<long>, sketch array<long>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(ident))
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -161,12 +167,23 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
+def to_roots(up: DataFrame) -> DataFrame:
+    """(node, up) with every pointer moved to the end of its chain, which halves in each step."""
+    while True:
+        ahead = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        step = stored(up.join(ahead, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "near-parents")
+        up = step.select("node", "up")
+        if step.where("moved").isEmpty():
+            return up
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes on edges (a, b): hook to the smallest neighbour, contract, repeat."""
+    """(node, comp) of the nodes on edges (a, b): hook to the smallest neighbour, follow to the root, contract, repeat."""
     label, e = None, stored(edges.where("a <> b").distinct(), "near-edges")
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "near-parents")
+        up = to_roots(up)
         if label is None:
             label = up.withColumnRenamed("up", "comp")
         else:
@@ -242,8 +259,13 @@ def between(side: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     def pick(s: str) -> DataFrame:
         return side.select(*[F.col(c).alias(f"{c}_{s}") for c in side.columns])
 
+    # the members of a large bucket are compared with one block of them at a time
+    large = side.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    side = side.join(small_or_not(stored(large, "near-large")), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     x, y = pick("x"), pick("y")
-    near = (x["bucket_x"] == y["bucket_y"]) & (F.col("comp_x") != F.col("comp_y"))
+    x = x.withColumn("part_x", F.explode(F.sequence(F.lit(0), F.col("blocks_x") - 1)))
+    y = y.withColumn("part_y", F.pmod(F.xxhash64("node_y"), F.col("blocks_y")).cast("int"))
+    near = (x["bucket_x"] == y["bucket_y"]) & (x["part_x"] == y["part_y"]) & (F.col("comp_x") != F.col("comp_y"))
     near = near & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y"))
     near = near & (estimate(F.col("sketch_x"), F.col("sketch_y")) >= FLOOR)
     found = x.join(y, near, "left_semi").select(F.col("node_x").alias("node"), F.col("comp_x").alias("comp"), F.col("n_x").alias("n"))
@@ -335,12 +357,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each near-duplicate group, with the columns of ``docs``.
 
-    Repeats of a row (same id and text) count as one.
+    NULL and empty texts stay, as in ``near_groups``.  Repeats of a row (same id and text) count as one,
+    whatever their other columns hold.  An empty table gives no row.
     """
     kept = near_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th")).distinct()
     id_name, th_name = free_name(docs, "_near_id"), free_name(docs, "_near_th")
-    d = docs.withColumn(id_name, F.coalesce(F.col(doc_id).cast("string"), F.lit("n"))).withColumn(th_name, F.xxhash64(F.col(text)))
-    k = kept.select(F.coalesce(F.col("_kept_id").cast("string"), F.lit("n")).alias(id_name), F.col("_kept_th").alias(th_name))
+    known = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    d = docs.withColumn(id_name, known(doc_id)).withColumn(th_name, F.xxhash64(F.col(text)))
+    k = kept.select(known("_kept_id").alias(id_name), F.col("_kept_th").alias(th_name))
     return d.join(k, [id_name, th_name], "left_semi").dropDuplicates([id_name, th_name]).drop(id_name, th_name)
 
 

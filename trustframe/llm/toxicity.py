@@ -276,7 +276,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ident = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(run, f"doc_id {ident}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+    # ids pass through pandas as text: a long column with a NULL would become double there
+    out = d.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(ident))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

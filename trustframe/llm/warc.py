@@ -16,6 +16,7 @@ import json
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,24 +47,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def order_of(key: str, page_id) -> tuple:
-    """The order that Spark sorts (key, page_id) in, NULL ids first."""
-    return (key.encode(), page_id is not None, page_id or 0)
+def order_of(key: str, page: str | None) -> tuple:
+    """The order that Spark sorts (key, page) in, NULL ids first; ids are written out, so any type passes exactly."""
+    return (key.encode(), page is not None, (page or "").encode())
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
+def record(page: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC record; a revisit names its response and keeps the payload's digest and size only."""
     kind = "response" if refers_to is None else "revisit"
     body = b"" if refers_to is not None else payload
     http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}{CRLF}{CRLF}".encode() + body
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page{'' if page is None else ':' + quote(page, safe='')}>",
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest(payload)}",
     ]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head.append(f"WARC-Refers-To: <urn:page:{quote(refers_to, safe='')}>")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     head.append(f"Content-Length: {len(http)}")
     return (CRLF.join(head) + CRLF * 2).encode() + http + (CRLF * 2).encode()
@@ -105,8 +106,8 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     own = stored(owners(d, min_bytes), "warc-owners")
     d = d.join(F.broadcast(own) if up_to(own, BROADCAST_ROWS) else own, ["sha", "size"], "left")
     later = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    d = d.select("key", "page_id", "url", "payload", F.when(later, F.col("owner")).alias("refers_to"))
-    d = d.repartitionByRange("key", "page_id", F.xxhash64("url")).sortWithinPartitions("key", "page_id")
+    d = d.select("key", F.col("page_id").cast("string").alias("page"), "url", "payload", F.when(later, F.col("owner")).cast("string").alias("refers_to"))
+    d = d.repartitionByRange("key", "page", F.xxhash64("url")).sortWithinPartitions("key", "page")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = place(folder)
@@ -122,13 +123,13 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
         for batch in batches:
             for part in small_batches(batch, "payload", PART_BYTES):
-                for key, page, link, payload, ref in zip(part["key"], part["page_id"], part["url"], part["payload"], part["refers_to"]):
+                for key, page, link, payload, ref in zip(part["key"], part["page"], part["url"], part["payload"], part["refers_to"]):
                     if warc is None:
                         warc, index = (system.open_output_stream(f"{root}/{name}.{x}", compression=None) for x in ("warc.gz", "cdx.gz"))
-                        first = (key, none_if_nan(page))
-                    packed = gzip.compress(record(none_if_nan(page), link, payload, none_if_nan(ref)), 6, mtime=0)
+                        first = (key, page)
+                    packed = gzip.compress(record(page, link, payload, ref), 6, mtime=0)
                     warc.write(packed)
-                    lines.append([key, none_if_nan(page), at, len(packed)])
+                    lines.append([key, page, at, len(packed)])
                     at, total = at + len(packed), total + 1
                     if len(lines) >= BLOCK_LINES:
                         close_block()
@@ -140,21 +141,16 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         index.write(zlib.compress(json.dumps(directory).encode()))
         index.close()
         warc.close()
-        yield pd.DataFrame({"key": [first[0]], "page_id": [first[1]], "path": [f"{folder}/{name}"], "dir_at": [where], "captures": [total]})
+        yield pd.DataFrame({"key": [first[0]], "page": [first[1]], "path": [f"{folder}/{name}"], "dir_at": [where], "captures": [total]})
 
-    kind = d.schema["page_id"].dataType.simpleString()
-    return stored(d.mapInPandas(run, f"key string, page_id {kind}, path string, dir_at long, captures long"), "warc-archives")
-
-
-def none_if_nan(v):
-    return None if v is None or v != v else int(v)
+    return stored(d.mapInPandas(run, "key string, page string, path string, dir_at long, captures long"), "warc-archives")
 
 
 class CaptureIndex:
     """Reader of one task: directories and blocks are read when a search needs them; a few are remembered."""
 
     def __init__(self, archives: list[tuple]):
-        """``archives``: (key, page_id, path, dir_at) of all archives."""
+        """``archives``: (key, page, path, dir_at) of all archives."""
         self.archives = sorted(archives, key=lambda a: order_of(a[0], a[1]))
         self.first = [order_of(a[0], a[1]) for a in self.archives]
         self.memo: OrderedDict = OrderedDict()
@@ -218,13 +214,13 @@ class CaptureIndex:
                 b += 1
             k += 1
 
-    def capture(self, key: str, page_id) -> list[tuple[dict, bytes]]:
-        """Records with this key and id."""
-        return [parse(self.fetch(a, x)) for a, x in self.lines(order_of(key, page_id), lambda x: x[0] == key and x[1] == page_id)]
+    def capture(self, key: str, page: str | None) -> list[tuple[dict, bytes]]:
+        """Records with this key and written-out id."""
+        return [parse(self.fetch(a, x)) for a, x in self.lines(order_of(key, page), lambda x: x[0] == key and x[1] == page)]
 
     def captures(self, key: str) -> list[tuple[dict, bytes]]:
         """All records with this key, by page id."""
-        return [parse(self.fetch(a, x)) for a, x in self.lines((key.encode(), False, 0), lambda x: x[0] == key)]
+        return [parse(self.fetch(a, x)) for a, x in self.lines(order_of(key, None), lambda x: x[0] == key)]
 
     def fetch(self, archive: tuple, line: list) -> bytes:
         return gzip.decompress(self._range(archive[2] + ".warc.gz", line[2], line[3]))
@@ -234,30 +230,33 @@ def lookup(keys: DataFrame, archives: DataFrame) -> DataFrame:
     """Records of the distinct (key, page_id) rows of ``keys``, found through the index.
 
     Keys are sorted into ranges, so that a task's searches walk few blocks.  The first keys of the archives
-    go to every task: one row per archive, of which there are as many as write tasks.
+    go to every task: one row per archive, of which there are as many as write tasks.  Page ids of any type
+    that text can hold come back as they went in; a NULL id finds the captures without id, a key without
+    captures gives no row, repeated rows of ``keys`` count once and each repeated capture is returned.
     """
     spark = keys.sparkSession
-    known = spark.sparkContext.broadcast([tuple(r) for r in archives.select("key", "page_id", "path", "dir_at").collect()])
+    known = spark.sparkContext.broadcast([tuple(r) for r in archives.select("key", "page", "path", "dir_at").collect()])
     kind = keys.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = CaptureIndex(known.value)
         for batch in batches:
             rows = []
-            for key, page in zip(batch["key"], batch["page_id"]):
-                for fields, payload in index.capture(key, none_if_nan(page)):
+            for key, page in zip(batch["key"], batch["page"]):
+                for fields, payload in index.capture(key, page):
                     ref = fields.get("WARC-Refers-To")
                     stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if ref is None and digest(payload) != stated:
                         raise ValueError(f"payload digest differs: {key}")
                     size = int(fields["payload-bytes"]) if ref is not None else len(payload)
-                    rows.append((key, none_if_nan(page), size, stated, fields["WARC-Type"], int(ref[10:-1]) if ref else None))
-            out = pd.DataFrame(rows, columns=["key", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+                    rows.append((key, page, size, stated, fields["WARC-Type"], unquote(ref[10:-1]) if ref else None))
+            yield pd.DataFrame(rows, columns=["key", "page", "payload_bytes", "payload_digest", "record_type", "refers"]).astype({"payload_bytes": "int64"})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # keys are small, their searches are not: no fewer tasks
-    k = keys.select("key", "page_id").distinct().repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return k.mapInPandas(run, f"key string, page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    k = keys.select("key", F.col("page_id").cast("string").alias("page")).distinct().repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page")
+    out = k.mapInPandas(run, "key string, page string, payload_bytes long, payload_digest string, record_type string, refers string")
+    ident = lambda c, name: F.col(c).cast(kind).alias(name)
+    return out.select("key", ident("page", "page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers", "refers_to"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
