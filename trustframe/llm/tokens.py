@@ -94,11 +94,16 @@ class WordIds(dict):
             self.update(made)
         return out
 
+    def _ends_in_letter(self, base: str) -> bool:
+        """Letters only, and still ending in one in normal form: signs behind a mark would belong to its run."""
+        normal = self.tokenizer.normalizer
+        return base.isalpha() and (normal.normalize_str(base) if normal else base)[-1:].isalpha()
+
     def _apart(self, words: set[bytes]) -> dict[bytes, bytes]:
         letters, other, split = set(), [], []
         for w in words:
             base = w.rstrip(SIGNS)
-            if base and (base.isalpha() or not base.isascii() and base.decode("utf-8", "replace").isalpha()):
+            if base and (base.isalpha() or not base.isascii() and self._ends_in_letter(base.decode("utf-8", "replace"))):
                 low = base.lower()
                 split.append((w, low, w[len(base) :]))
                 letters.add(low)
