@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import all_finite, is_finite
 from ..plans.lookup import SALTS, salted_join, spread, with_group_stats
 from ..plans.ranks import rank_in_group
+from ..plans.tiles import scoped_cross_tiles
 from ..session import materialize
 
 XYZ = ("x", "y", "z")
@@ -295,21 +297,44 @@ def regrid(cells: DataFrame, grid: tuple[int, int], out: tuple[int, int], value:
 # ---- neighbours and sampling within a frame ----------------------------------------------
 
 
+# Points and centres of a frame that meet in one task.
+KNN_POINTS, KNN_CENTRES = 16_384, 256
+
+
 def knn_group(points: DataFrame, centres: DataFrame, k: int, frame: str = "frame_id", row: str = "point_idx") -> DataFrame:
-    """The k nearest points of each centre in its frame, coordinates relative to the centre.
+    """The k nearest points of each centre in its frame (ties: smaller ``row``), coordinates relative to the centre.
 
-    ``centres`` holds a fixed number of points per frame (``centre_id, cx, cy, cz``).  They
-    reach the points as one array per frame; map tasks keep k candidates per centre before
-    anything is shuffled.
+    ``centres`` has ``centre_id, cx, cy, cz`` by frame, any number of them; the points' other columns
+    (features) come along.  Blocks of points and centres meet in tiles, which keep k candidates per
+    centre, so n / ``KNN_POINTS`` * k rows per centre are ranked, not n.  Points without a finite distance come last.
     """
-    lists = centres.groupBy(frame).agg(F.collect_list(F.struct("centre_id", "cx", "cy", "cz")).alias("_c"))
-    spread = salted_join(points, lists, [frame], [row]).withColumn("_c", F.explode("_c")).select("*", "_c.*").drop("_c")
-    for a in XYZ:
-        spread = spread.withColumn(f"r{a}", F.col(a) - F.col(f"c{a}"))
-    d = F.sqrt(F.col("rx") ** 2 + F.col("ry") ** 2 + F.col("rz") ** 2)
-    w = W.partitionBy(frame, "centre_id").orderBy("distance", row)
-    ranked = spread.withColumn("distance", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(frame, "centre_id", "rank", row, "rx", "ry", "rz", "distance")
+    extra = [c for c in points.columns if c not in (frame, row, *XYZ)]
+    types = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *centres.select("centre_id").schema.fields]}
+    out = [frame, "centre_id", row, *[f"r{a}" for a in XYZ], "distance", *extra]
+    ddl = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in out)
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        p, c = (np.stack([t.column(f"{side}{x}").to_numpy().astype(float) for x in XYZ], axis=1) for t, side in ((a, ""), (b, "c")))
+        d = np.sqrt(sum((p[None, :, i] - c[:, None, i]) ** 2 for i in range(3)))
+        near = np.where(np.isnan(d), np.inf, d)
+        place = np.empty(len(p), np.int64)
+        place[np.argsort(a.column(row).to_numpy(), kind="stable")] = np.arange(len(p))
+        limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k] if k < len(p) else np.full((len(c), 1), np.inf)
+        i, j = np.nonzero(near <= limit)
+        order = np.lexsort((place[j], near[i, j], i))
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+        rel = p[j] - c[i]
+        mine, theirs = a.take(pa.array(j)), b.take(pa.array(i))
+        cols = [mine.column(frame), theirs.column("centre_id"), mine.column(row), *[pa.array(rel[:, x]) for x in range(3)], pa.array(d[i, j])]
+        return pa.Table.from_arrays([*cols, *[mine.column(x) for x in extra]], names=out)
+
+    c = centres.select(frame, "centre_id", *[F.col(f"c{a}").cast("double") for a in XYZ])
+    found = scoped_cross_tiles(points, c, [frame], row, "centre_id", nearest, ddl, KNN_POINTS, KNN_CENTRES)
+    w = W.partitionBy(frame, "centre_id").orderBy(F.isnan("distance"), "distance", row)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(frame, "centre_id", "rank", row, "rx", "ry", "rz", "distance", *extra)
 
 
 def farthest_points(xyz: np.ndarray, n: int) -> np.ndarray:

@@ -170,3 +170,35 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = """tk AS (
   SELECT l_orderkey AS item_id, [l_quantity / 7.0::DOUBLE, l_extendedprice / 977.0::DOUBLE, l_discount] AS vec, l_returnflag <> 'R' AS mask
   FROM lineitem)"""
+
+
+def image_archives(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of labelled image archives written from the embeddings: 8 x 8 images, about 500 to an archive.
+
+    ``m<scope>/p<id // 500>/c<corruption>_severity_<severity>.npz``; written by tasks below the shared checkpoint folder.
+    """
+    import uuid
+
+    import numpy as np
+    import pandas as pd
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.archives import place
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    key = ["scope", "part", "corruption", "severity"]
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        scope, part, corruption, severity = pdf.iloc[0][key]
+        pdf = pdf.sort_values("vec_id")
+        system, base = place(root)
+        folder = f"{base}/m{scope}/p{part}"
+        system.create_dir(folder, recursive=True)
+        z = np.stack(pdf["z"].to_list())
+        with system.open_output_stream(f"{folder}/c{corruption}_severity_{severity}.npz") as f:
+            np.savez_compressed(f, images=(np.floor(np.abs(z) * 100) % 256).astype(np.uint8).reshape(len(z), 8, 8), labels=pdf["vec_id"].to_numpy())
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    e = embeddings(spark, sf_dir).withColumn("part", F.floor(F.col("vec_id") / 500))
+    e.select(*key, "vec_id", "z").groupBy(*key).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return root

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as px
 from ..operators import frames as Fr
-from .fixtures import EMB, IMAGES, STREAM, embeddings, images, r6, streams
+from ..sources.files import read_split_images
+from .fixtures import EMB, IMAGES, STREAM, embeddings, image_archives, images, r6, streams
 
 SEVERITY = 0.6
 NOISE_SEED = 3
@@ -80,7 +81,18 @@ def channel_mean_embed(spark, d):
     return im.select("vec_id", F.posexplode(l2_normalize("y")).alias("dim", "v")).select("vec_id", "dim", r6("v", "value"))
 
 
+def archive_selected(spark, d):
+    """Images of two scopes, three corruptions and two severities, from the archives that hold them."""
+    wanted = {"modality": ["m1", "m3"], "corruption": ["c2", "c3", "c5"], "severity": [2, 4]}
+    im = read_split_images(spark, image_archives(spark, d), wanted)
+    lit = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p)
+    return im.groupBy("modality", "corruption", "severity").agg(
+        F.count(F.lit(1)).alias("images"), F.sum(F.element_at("label", 1)).alias("label_sum"), F.sum(lit).alias("pixel_sum"), F.max("h").alias("h"), F.max("channels").alias("channels")
+    )
+
+
 QUERIES = {
+    "archive_selected": archive_selected,
     "sequence_window": sequence_window,
     "select_steps": select_steps,
     "pixel_scale": pixel_scale,
@@ -107,6 +119,9 @@ def _patch(severity: float) -> str:
 
 
 ORACLE = {
+    "archive_selected": f"""WITH {EMB}, p AS (SELECT *, list_sum(list_transform(z, lambda v: floor(abs(v) * 100)::BIGINT % 256))::BIGINT AS s FROM emb)
+SELECT 'm' || scope AS modality, 'c' || corruption AS corruption, severity::INTEGER AS severity, count(*) AS images, sum(vec_id)::BIGINT AS label_sum, sum(s)::BIGINT AS pixel_sum, 8 AS h, 1 AS channels
+FROM p WHERE scope IN (1, 3) AND corruption IN (2, 3, 5) AND severity IN (2, 4) GROUP BY ALL""",
     "sequence_window": f"""WITH {STREAM}, p AS (SELECT stream_id, t, unnest(range(0, 4)) AS pos FROM st)
 SELECT p.stream_id, p.t, CAST(pos AS INTEGER) AS pos, round(s, 6) AS v FROM p JOIN st ON st.stream_id = p.stream_id AND st.t = greatest(p.t - 3 + pos, greatest(p.t - 3, 0))""",
     "select_steps": f"""WITH {STREAM}, n AS (SELECT stream_id, count(*) AS n FROM st GROUP BY 1), i AS (SELECT stream_id, n, unnest(range(0, 12)) AS i FROM n)

@@ -133,6 +133,13 @@ def knn_group(spark, d):
     return P.knn_group(p, c, 5).select("frame_id", "centre_id", "rank", "point_idx", r6("rx"), r6("ry"), r6("distance"))
 
 
+def knn_group_features(spark, d):
+    """The largest and the mean feature of each group, as a grouped layer pools them."""
+    p = points(spark, d).withColumn("f", F.col("x") + 2 * F.col("y"))
+    c = P.fixed_count(p, "frame_id", 4).select("frame_id", F.col("slot").alias("centre_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+    return P.knn_group(p, c, 5).groupBy("frame_id", "centre_id").agg(r6(F.max("f"), "f_max"), r6(F.avg("f"), "f_mean"), r6(F.max("rx"), "rx_max"))
+
+
 def fps_per_frame(spark, d):
     return P.farthest_point_sample(points(spark, d), 8)
 
@@ -157,6 +164,7 @@ QUERIES = {
     "densify_grid": densify_grid,
     "regrid": regrid,
     "knn_group": knn_group,
+    "knn_group_features": knn_group_features,
     "fps_per_frame": fps_per_frame,
 }
 
@@ -242,6 +250,9 @@ GROUP BY frame_id, oy, ox""",
 d AS (SELECT c.*, point_idx, x - cx AS rx, y - cy AS ry, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS dist FROM c JOIN pt USING (frame_id)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id, centre_id ORDER BY dist, point_idx) AS INTEGER) AS rank FROM d)
 SELECT frame_id, centre_id, rank, point_idx, round(rx, 6) AS rx, round(ry, 6) AS ry, round(dist, 6) AS distance FROM r WHERE rank <= 5""",
+    "knn_group_features": f"""WITH {POINTS}, {_FIXED.format(t=4, t1=3)}, c AS (SELECT fx.frame_id, slot AS centre_id, x AS cx, y AS cy, z AS cz FROM fx JOIN pt ON pt.frame_id = fx.frame_id AND pt.point_idx = fx.idx),
+d AS (SELECT frame_id, centre_id, x + 2 * y AS f, x - cx AS rx, row_number() OVER (PARTITION BY frame_id, centre_id ORDER BY sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)), point_idx) AS rank FROM c JOIN pt USING (frame_id))
+SELECT frame_id, centre_id, round(max(f), 6) AS f_max, round(avg(f), 6) AS f_mean, round(max(rx), 6) AS rx_max FROM d WHERE rank <= 5 GROUP BY frame_id, centre_id""",
     "fps_per_frame": f"""WITH RECURSIVE {POINTS},
 r AS (SELECT frame_id, point_idx, x, y, z, 1e300::DOUBLE AS far, 0 AS k, point_idx = 0 AS sel FROM pt
 UNION ALL SELECT frame_id, point_idx, x, y, z, f2, k + 1, row_number() OVER (PARTITION BY frame_id ORDER BY f2 DESC, point_idx) = 1

@@ -7,6 +7,8 @@ archives are never unpickled.
 from __future__ import annotations
 
 import io
+import json
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import parse_frame_name
+from .archives import member_lengths, read_image_archives, text_array
 
 # Point feature widths tried in order when the preferred one does not divide.
 FEATURE_DIMS = (5, 4, 6, 3)
@@ -65,8 +68,8 @@ def read_lidar_bin(spark: SparkSession, path: str, feature_dim: int = 5) -> Data
 def read_episode_npz(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
     """``path, stream, timestep, frame_name, clean_prefix, point_idx, x, y, z, feats`` from episode archives.
 
-    ``points`` must be rank 3.  Missing fields default; object-typed ``frame_names`` cannot
-    be read without unpickling and are treated as missing.
+    ``points`` must be rank 3.  Missing fields default.  ``frame_names`` stored as objects are read without
+    unpickling; an archive whose names hold anything but text is refused.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,10 +81,10 @@ def read_episode_npz(spark: SparkSession, path: str, pattern: str = "*.npz") ->
                         raise ValueError(f"{file}: points must have rank 3, got {pts.ndim}")
                     prefix = int(npz["clean_prefix"]) if "clean_prefix" in npz.files else CLEAN_PREFIX
                     stream = str(npz["stream_name"]) if "stream_name" in npz.files else "unknown"
-                    try:
-                        names = [str(n) for n in npz["frame_names"]] if "frame_names" in npz.files else []
-                    except ValueError:
-                        names = []
+                names = []
+                with zipfile.ZipFile(io.BytesIO(content)) as members:
+                    if "frame_names.npy" in members.namelist():
+                        names = text_array(members.read("frame_names.npy"))
                 for t, frame in enumerate(pts):
                     frame = np.pad(frame, ((0, 0), (0, max(0, 3 - frame.shape[1]))))
                     yield pd.DataFrame(
@@ -135,19 +138,13 @@ SPLIT_LAYOUT = r"/([^/]+)/([^/]+)/(?:clean|([^/]+)_severity_(\d+))\.npz$"
 STACKED_LAYOUT = r"/([^/]+)/([^/]+)\.npz$"
 
 
-def read_split_images(spark: SparkSession, root: str) -> DataFrame:
+def read_split_images(spark: SparkSession, root: str, wanted: dict[str, list] | None = None) -> DataFrame:
     """Layout ``<modality>/<split>/clean.npz`` and ``<corruption>_severity_<s>.npz``.
 
-    Adds ``modality, split, corruption (NULL when clean), severity, sample_index``.
+    ``modality, split, corruption (NULL when clean), severity, sample_index`` and the image; ``wanted`` lists
+    values of the first four by column, and only archives with these are opened.
     """
-    rows = binary_files(spark, root, "*.npz").select("path", "content").mapInPandas(_decode_images(None), IMAGE_SCHEMA)
-    part = lambda i: F.regexp_extract("path", SPLIT_LAYOUT, i)
-    corruption = F.when(part(3) != "", part(3))
-    return rows.select(
-        part(1).alias("modality"), part(2).alias("split"), corruption.alias("corruption"),
-        F.when(part(4) != "", part(4).cast("int")).alias("severity"), F.col("row_idx").alias("sample_index"),
-        "label", "h", "w", "channels", "pixels",
-    )
+    return read_image_archives(spark, root, wanted)
 
 
 def read_clean_archive(spark: SparkSession, root: str, dataset: str, split: str = "test") -> DataFrame:
@@ -160,25 +157,25 @@ def read_clean_archive(spark: SparkSession, root: str, dataset: str, split: str
     raise FileNotFoundError(f"no clean archive for dataset {dataset} under {root}")
 
 
-def read_stacked_corruptions(spark: SparkSession, root: str, clean_counts: DataFrame, severities: list[int], split: str = "test") -> DataFrame:
-    """``<dataset>/<corruption>.npz`` files of stacked severity blocks.
+def read_stacked_corruptions(
+    spark: SparkSession, root: str, clean_counts: DataFrame, severities: list[int], split: str = "test", corruptions: list[str] | None = None
+) -> DataFrame:
+    """``<dataset>/<corruption>.npz`` files of stacked severity blocks; only the wanted blocks are read.
 
-    ``clean_counts`` gives ``dataset, n_clean``; a requested block that is short or a
-    severity below 1 fails.
+    ``clean_counts`` gives ``dataset, n_clean`` (a row per dataset); only archives of these datasets and of the
+    ``corruptions`` (None: all) are opened.  A requested block that is short (by the archives' headers) or a severity below 1 fails.
     """
     if any(s < 1 for s in severities):
         raise ValueError("severities start at 1")
-    rows = binary_files(spark, root, "*.npz").select("path", "content").mapInPandas(_decode_images(split), IMAGE_SCHEMA)
+    counts = {r["dataset"]: r["n_clean"] for r in clean_counts.collect()}
+    wanted = {"modality": sorted(counts)} | ({"corruption": corruptions} if corruptions is not None else {})
     part = lambda i: F.regexp_extract("path", STACKED_LAYOUT, i)
-    rows = rows.withColumn("dataset", part(1)).withColumn("corruption", part(2)).join(clean_counts, "dataset")
-    rows = rows.withColumn("severity", (F.floor(F.col("row_idx") / F.col("n_clean")) + 1).cast("int"))
-    have = rows.groupBy("dataset", "corruption").agg(F.count(F.lit(1)).alias("rows"), F.first("n_clean").alias("n"))
-    short = have.where(F.col("rows") < F.col("n") * max(severities)).limit(1).collect()
+    have = member_lengths(spark, root, f"{split}_labels", wanted).withColumn("dataset", part(1)).withColumn("corruption", part(2))
+    short = have.join(clean_counts, "dataset").where(F.col("rows") < F.col("n_clean") * max(severities)).limit(1).collect()
     if short:
         raise ValueError(f"{short[0]['dataset']}/{short[0]['corruption']} holds too few rows for severity {max(severities)}")
-    return rows.where(F.col("severity").isin(severities)).select(
-        "dataset", "corruption", "severity", F.pmod("row_idx", "n_clean").alias("sample_index"), "label", "h", "w", "channels", "pixels"
-    )
+    rows = read_image_archives(spark, root, wanted, layout="stacked", split=split, clean_counts=json.dumps(counts), severities=json.dumps(sorted(set(severities))))
+    return rows.select(F.col("modality").alias("dataset"), "corruption", "severity", "sample_index", "label", "h", "w", "channels", "pixels")
 
 
 def discover_catalog(spark: SparkSession, root: str, layout: str = "split") -> DataFrame:
