@@ -182,6 +182,24 @@ def test_lockstep_lanes(lane):
     assert str(alignment.align_part(texts, a, b, lane)) == str(alignment.align_part(texts, a, b))
 
 
+def test_parts_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 500)
+    monkeypatch.setattr(alignment, "LONG_PART", 5)
+    r = np.random.default_rng(6)
+    signs = [*"abcdeAB019'.,!<>_-", *" " * 12, *"\n\t\r\x0b\x0c\x1c\x1f\x85\xa0", *"éßİıñ²½١日本ก\u0301\u200b\u3000\u2028\u180e\ufeff▁𝒳\U0001f600", "'s", "'LL", " the", "ing", "  ", "<s>"]
+    texts = ["".join(r.choice(signs, r.integers(1, 30))) for _ in range(4000)] + ODD
+    for side in alignment.sides(*alignment.default_tokenizers()):
+        assert side.splits
+        want = side.encode(texts)
+        for k in range(0, len(texts), 700):
+            some = texts[k : k + 700]
+            parts = [alignment.SPLIT.split(t) for t in some]
+            assert all(alignment.UNEVEN.search(t) or p == t.split(" ") for t, p in zip(some, parts))
+            for t, ids, w in zip(some, side.ids_of(some, parts), want[k : k + 700]):
+                same = b"".join(side.pieces[i] for i in w) == b" " + t.encode()
+                assert (ids is not None) == same and (not same or ids.tolist() == w), repr(t)
+
+
 def test_edge_table(spark, edge):
     docs = table(spark, edge, "documents")
     assert spelling.op12_spelling(spark, edge).where("n_near < 0").count() == 0

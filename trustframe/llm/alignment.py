@@ -9,10 +9,11 @@ that are done.  Cuts part the tokens into groups.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ from .common import stored, table, up_to
 
 PART_BYTES = 500_000
 LANE_TOKENS = 256
+# A blank behind a word (and not at the end) starts a new part, whose first blank is dropped.
+SPLIT, UNEVEN = re.compile(r"(?<=\S) (?!\Z)"), re.compile(r"\s |\A | \Z")
+WORD = re.compile(r"\S+").fullmatch
+REMEMBERED, LONG_PART, TOGETHER = 500_000, 64, 64
 # Pairs that one broadcast table may hold (24 bytes each); more are joined.
 BROADCAST_PAIRS = 1_000_000
 SALTS = 16
@@ -37,9 +42,13 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Side:
-    """A tokenizer: ``encode`` gives the ids of texts, ``pieces`` the bytes of each id."""
+    """A tokenizer: ``encode`` gives the ids of texts, ``pieces`` the bytes of each id.
 
-    def __init__(self, pieces: list[bytes]):
+    ``splits`` says that no token reaches over a blank behind a word, so that a text's ids are those of its
+    parts in a row.  Ids of parts are remembered, up to about ``REMEMBERED`` of them.
+    """
+
+    def __init__(self, pieces: list[bytes], splits: bool):
         if not all(pieces):
             raise ValueError("a token without bytes has no place in a text")
         self.pieces = pieces
@@ -48,10 +57,54 @@ class Side:
         self.wide = max(map(len, digits), default=1)
         self.digits = np.array(digits, f"S{self.wide + 1}").view(np.uint8).reshape(len(digits), -1)
         self.n_digits = np.array([len(d) for d in digits], np.int64)
+        self.splits, self.known, self.odd = splits, {}, set()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
+    def text_bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Packed ids of new parts.  Plain words are encoded many at a time and cut where their bytes end."""
+        out, single = {}, []
+        words = [p for p in parts if WORD(p)] if self.splits else []
+        single = [p for p in parts if not WORD(p)] if self.splits else parts
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups])):
+            if self.text_bytes(ids) != b" " + " ".join(group).encode():
+                single += group
+                continue
+            packed = np.array(ids, np.int32)
+            stops = np.cumsum([len(p.encode()) + 1 for p in group])
+            ends = np.searchsorted(np.cumsum(self.size[packed]), stops) + 1
+            raw, at = packed.tobytes(), 0
+            for p, end in zip(group, (4 * ends).tolist()):
+                out[p] = raw[at:end]
+                at = end
+        for p, ids in zip(single, self.encode(single)):
+            out[p] = np.array(ids, np.int32).tobytes()
+            if self.text_bytes(ids) != b" " + p.encode():
+                self.odd.add(p)
+        return out
+
+    def ids_of(self, texts: list[str], parts: list[list[str]]) -> list[np.ndarray | None]:
+        """Ids of each text, given as its parts too; None where their bytes are not a blank and the text."""
+        parts = parts if self.splits else [[t] for t in texts]
+        words = set().union(*parts)
+        fresh = self.learn(list(words.difference(self.known)))
+        self.known.update(fresh)
+        look, out = self.known.__getitem__, []
+        for t, ps in zip(texts, parts):
+            ids = np.frombuffer(b"".join(map(look, ps)), np.int32)
+            fits = self.odd.isdisjoint(ps) or self.text_bytes(ids.tolist()) == b" " + t.encode()
+            out.append(ids if fits else None)
+        full = len(self.known) - len(fresh) >= REMEMBERED  # frequent parts come early
+        for p in fresh if full else [p for p in fresh if len(p) > LONG_PART]:
+            del self.known[p]
+            self.odd.discard(p)
+        return out
+
 
 class ByteLevel(Side):
     """Byte-level BPE of a tokenizers file, over a blank and the text; strings of special tokens are plain text."""
@@ -64,7 +117,11 @@ class ByteLevel(Side):
         self.model.encode_special_tokens = True
         of, vocab = byte_alphabet(), self.model.get_vocab()
         names = {i: t for t, i in vocab.items()}
-        super().__init__([bytes(map(of.__getitem__, names[i])) if i in names else b"\0" for i in range(max(names) + 1)])
+        form = json.loads(self.model.to_str())
+        cut = form["pre_tokenizer"] or {}
+        # the byte-level rule ends a token before any white space, and only one blank may lead the next one
+        splits = form["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+        super().__init__([bytes(map(of.__getitem__, names[i])) if i in names else b"\0" for i in range(max(names) + 1)], splits)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -78,7 +135,9 @@ class Pieces(Side):
 
         self.model = m = SentencePieceProcessor(model_file=path)
         names = [m.id_to_piece(i) for i in range(m.get_piece_size())]
-        super().__init__([bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
+        # merges stay inside pieces of the vocabulary: none may hold a blank behind something else
+        splits = not any("▁" in p.lstrip("▁") for i, p in enumerate(names) if not m.is_control(i))
+        super().__init__([bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)], splits)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -144,14 +203,14 @@ def align_part(texts: list[str | None], a: Side, b: Side, lane_tokens: int = LAN
     some = [k for k, t in enumerate(texts) if t]
     if not some:
         return out
-    all_a, all_b = (s.encode([texts[k] for k in some]) for s in (a, b))
-    want = [b" " + texts[k].encode() for k in some]
-    join = lambda side, ids: b"".join(map(side.pieces.__getitem__, ids))
-    good = [k for k in range(len(some)) if join(a, all_a[k]) == want[k] and join(b, all_b[k]) == want[k]]
+    whole = [texts[k] for k in some]
+    parts = [SPLIT.split(t) if UNEVEN.search(t) else t.split(" ") for t in whole]
+    all_a, all_b = (s.ids_of(whole, parts) for s in (a, b))
+    good = [k for k in range(len(some)) if all_a[k] is not None and all_b[k] is not None]
     if not good:
         return out
     na, nb = (np.array([len(x[k]) for k in good], np.int64) for x in (all_a, all_b))
-    a_ids, b_ids = (np.fromiter(chain.from_iterable(x[k] for k in good), np.int64, int(m.sum())) for x, m in ((all_a, na), (all_b, nb)))
+    a_ids, b_ids = (np.concatenate([x[k] for k in good]).astype(np.int64) for x in (all_a, all_b))
     a_end, b_end = np.cumsum(a.size[a_ids]), np.cumsum(b.size[b_ids])  # offsets in the joined texts; each text ends both lists
     stop_a, stop_b = np.cumsum(na), np.cumsum(nb)
     a_from = lanes(stop_a - na, na, lane_tokens)
