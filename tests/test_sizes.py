@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,38 @@ def test_clusters_are_the_same_at_every_size(spark, k):
     assert small == large
     if k == 12:  # labels follow the order of ids
         assert [r["cluster"] for r in cluster.agglomerative_cosine(df, k, single_task=0).orderBy("pid").collect()] == list(range(12))
+
+
+@pytest.mark.parametrize("single", [1000, 0])
+def test_one_merge_tree_is_cut_at_every_k(spark, monkeypatch, single):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(23, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pid long, z array<double>")
+    tree = cluster.merge_tree(df, single_task=single)
+    got = {}
+    for row in tree.cut([1, 2, 5, 22, 23]).collect():
+        got.setdefault(row["k"], {})[row["pid"]] = row["cluster"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[i] for i in range(23)]
+    while groups:
+        if len(groups) in got:
+            groups.sort(key=min)
+            assert got[len(groups)] == {i: c for c, g in enumerate(groups) for i in g}, len(groups)
+        if len(groups) == 1:
+            break
+        far = lambda a, b: np.mean([1 - u[i] @ u[j] for i in a for j in b])
+        a, b = min(((a, b) for k, a in enumerate(groups) for b in groups[:k]), key=lambda p: far(*p))
+        groups = [g for g in groups if g is not a and g is not b] + [a + b]
+    built = []
+    monkeypatch.setattr(cluster, "merge_tree", lambda *args, **kw: built.append(1) or tree)
+    k, labels, scores = cluster.select_k(df, "agglomerative_cosine", 2, 6)
+    assert len(built) == 1 and [s[0] for s in scores] == [2, 3, 4, 5, 6] and labels.count() == 23
+
+
+def test_only_touched_clusters_look_again(spark, monkeypatch):
+    a = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate([0.0, 0.1, 0.3, 0.7, 1.5])]
+    df = spark.createDataFrame(a, "pid long, z array<double>")
+    looked, search = [], cluster._neighbours_of
+    monkeypatch.setattr(cluster, "_neighbours_of", lambda some, state: looked.append((some.count(), state.count())) or search(some, state))
+    cluster.merge_tree(df, single_task=0)
+    assert looked and all(n <= m for n, m in looked) and any(n < m for n, m in looked)

@@ -618,6 +618,29 @@ def accuracy_and_f1(pred: DataFrame, scope: Sequence[str], truth: str = "family"
     return per.groupBy(*scope).agg((F.sum("tp") / F.sum("t")).alias("loo_accuracy"), F.avg(f1).alias("loo_macro_f1"))
 
 
+def silhouette_values(points: DataFrame, scope: Sequence[str], max_values: int | None = None) -> DataFrame:
+    """``points`` with ``_v``, the cosine silhouette of each; 0 for the member of a one-point family and without another family."""
+
+    def score(x, own, n, total):
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        s = u @ total.T
+        mean = (n[None, :] - s) / n[None, :]
+        a = np.full(len(x), np.nan)
+        mine = np.nonzero(own >= 0)[0]
+        f = own[mine]
+        a[mine] = (n[f] - 1 - (s[mine, f] - (u[mine] * u[mine]).sum(axis=1))) / np.maximum(n[f] - 1, 1)
+        mean[mine, f] = np.inf
+        b = mean.min(axis=1)
+        alone = np.full(len(x), -1)
+        alone[mine] = np.where(n[f] == 1, f, -1)
+        return a, np.where(np.isfinite(b), b, np.nan), alone
+
+    limit = MAX_FAMILY_VALUES if max_values is None else max_values
+    per = _with_families(points, scope, True, limit, score, {"_a": F.max("_a"), "_b": F.min("_b"), "_f": F.max("_f")})
+    value = (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b", F.lit(1e-300))
+    return per.select(*points.columns, F.when(F.col("_b").isNull() | F.col("_f").isNotNull(), 0.0).otherwise(value).alias("_v"))
+
+
 def silhouette(points: DataFrame, scope: Sequence[str], metric: str, stats: DataFrame | None = None,
                block_rows: int | None = None, max_values: int | None = None) -> DataFrame:
     """Exact mean silhouette; NULL with fewer than two families or with a singleton family.
@@ -629,23 +652,7 @@ def silhouette(points: DataFrame, scope: Sequence[str], metric: str, stats: Data
     sizes = points.groupBy(*scope, "family").agg(F.count(F.lit(1)).alias("c"))
     guard = sizes.groupBy(*scope).agg((F.count(F.lit(1)) >= 2).alias("_many"), (F.min("c") >= 2).alias("_full"))
     if metric == "cosine":
-
-        def score(x, own, n, total):
-            u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            s = u @ total.T
-            mean = (n[None, :] - s) / n[None, :]
-            a = np.full(len(x), np.nan)
-            mine = np.nonzero(own >= 0)[0]
-            f = own[mine]
-            a[mine] = (n[f] - 1 - (s[mine, f] - (u[mine] * u[mine]).sum(axis=1))) / np.maximum(n[f] - 1, 1)
-            mean[mine, f] = np.inf
-            b = mean.min(axis=1)
-            return a, np.where(np.isfinite(b), b, np.nan), np.full(len(x), -1)
-
-        limit = MAX_FAMILY_VALUES if max_values is None else max_values
-        per = _with_families(points, scope, True, limit, score, {"_a": F.max("_a"), "_b": F.min("_b")})
-        value = F.when(F.col("_b").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b", F.lit(1e-300)))
-        got = per.groupBy(*scope).agg(F.avg(value).alias("silhouette"))
+        got = silhouette_values(points, scope, max_values).groupBy(*scope).agg(F.avg("_v").alias("silhouette"))
     else:
         stats = stats if stats is not None else tile_stats(points, scope, metric, {"fam"}, block_rows=block_rows)
         means = stats.where("kind = 'fam'").groupBy(*scope, "pid", "fam").agg((F.sum("s1") / F.sum("n")).alias("m"))
