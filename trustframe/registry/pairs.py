@@ -244,8 +244,8 @@ fe AS (SELECT nb.scope, vec_id, p, 0::BIGINT AS k, i::BIGINT AS x, n, bits // 2
     ELSE ((x >> low) << low) + xor(x & ((1::BIGINT << low) - 1), {mix} & ((1::BIGINT << low) - 1)) END, n, low
   FROM (SELECT fe.scope, vec_id, fe.p, fe.k % 10 AS k, x, fe.n, low, bits, (CASE WHEN fe.k % 2 = 0 THEN x & ((1::BIGINT << low) - 1) ELSE x >> low END + ky) & 4294967295 AS y
     FROM fe JOIN n USING (scope) JOIN ky ON ky.p = fe.p AND ky.k = fe.k % 10 WHERE fe.k < 10 OR fe.x >= fe.n)),
-lb AS (SELECT p, vec_id, (SELECT count(*) FROM sz WHERE sz.scope = fe.scope AND hi <= x) AS lab FROM fe WHERE k = 10 AND x < n),
-w AS (SELECT scope, x.p AS p, avg(d) FILTER (x.lab <> y.lab) - avg(d) FILTER (x.lab = y.lab) AS margin FROM ap JOIN lb x ON x.vec_id = a_id JOIN lb y ON y.vec_id = b_id AND y.p = x.p GROUP BY scope, x.p),
+lb AS (SELECT scope, p, vec_id, (SELECT count(*) FROM sz WHERE sz.scope = fe.scope AND hi <= x) AS lab FROM fe WHERE k = 10 AND x < n),
+w AS (SELECT ap.scope AS scope, x.p AS p, avg(d) FILTER (x.lab <> y.lab) - avg(d) FILTER (x.lab = y.lab) AS margin FROM ap JOIN lb x ON x.vec_id = a_id AND x.scope = ap.scope JOIN lb y ON y.vec_id = b_id AND y.p = x.p AND y.scope = ap.scope GROUP BY ap.scope, x.p),
 o AS (SELECT scope, avg(d) FILTER (NOT same) - avg(d) FILTER (same) AS margin FROM ap GROUP BY scope)
 SELECT {"scope, " if scoped else ""}count(*) AS valid, count(*) FILTER (w.margin >= o.margin) AS count_ge, round((count(*) FILTER (w.margin >= o.margin) + 1)::DOUBLE / (count(*) + 1), 6) AS pvalue
 FROM w JOIN o USING (scope) GROUP BY scope"""
@@ -268,7 +268,48 @@ tp AS (SELECT nb.*, (SELECT list(k) FROM (SELECT unnest(range(0, 64)) AS k, unne
 p AS (SELECT a.family = b.family AS same, list_distance(a.z, b.z) AS d, len(list_intersect(a.top, b.top)) AS c FROM ij JOIN tp a ON a.i = ij.i JOIN tp b ON b.i = ij.j)
 SELECT same, count(*) AS n, round(avg(d), 6) AS mean_distance, round(avg(c / (16.0::DOUBLE - c)), 6) AS mean_overlap FROM p GROUP BY same"""
 
+def _knn_sql(rk):
+    return f"""WITH {_NN}, k AS (SELECT unnest([1, 3, 5]) AS k),
+s AS (SELECT scope, k, pid, avg((family = ofam)::INT) AS share FROM nn JOIN k ON {rk} <= k GROUP BY ALL)
+SELECT scope, k, round(avg(share), 6) AS purity_mean, round(median(share), 6) AS purity_median FROM s GROUP BY scope, k"""
+
+
+def _misfit_sql(rk):
+    return f"WITH {_NN} SELECT scope, round(avg((family <> ofam)::INT), 6) AS misfit_rate FROM nn WHERE {rk} = 1 GROUP BY scope"
+
+
+_TOPK_SQL = f"""WITH {_TOPK}
+SELECT scope, round(avg(common / (16.0::DOUBLE - common)) FILTER (same), 6) AS jaccard_within_mean, round(avg(common / (16.0::DOUBLE - common)) FILTER (NOT same), 6) AS jaccard_between_mean,
+       round(avg(common / (16.0::DOUBLE - common)) FILTER (same) - avg(common / (16.0::DOUBLE - common)) FILTER (NOT same), 6) AS jaccard_gap FROM pr GROUP BY scope"""
+# Points of the tall table: pooled and by scope, raw and of unit length; the scope's name states both.
+_VARIANTS = EMB.replace("emb AS", "emb0 AS") + """,
+emb AS (SELECT vec_id, family, severity, corruption, v || '|' || s AS scope, CASE v WHEN 'raw' THEN z ELSE list_transform(z, lambda x: x / greatest(sqrt(list_sum(list_transform(z, lambda y: y * y))), 1e-12)) END AS z
+  FROM (SELECT *, unnest(['raw', 'l2_normalized']) AS v FROM (SELECT *, unnest(['pooled', 'modality:' || scope]) AS s FROM emb0)))"""
+
+
+def _tall_sql():
+    """All metrics as rows, from the SQL of each."""
+    parts = []
+    for metric, d, rk, loo in (("l2", "d_l2", "rk", "d2"), ("cosine", "d_cos", "rkc", "1 - xc / (sqrt(xx) * sqrt(cc))")):
+        dist = "list_distance(a.z, b.z)" if metric == "l2" else "list_cosine_distance(a.z, b.z)"
+        sep = _sep_sql(d).replace("SELECT scope, count(*) FILTER (same) AS pair_count_within", "SELECT scope, count(*) AS pair_count_used, count(*) FILTER (same) AS pair_count_within")
+        wide = [
+            (f"WITH {EMB} SELECT scope, count(*) AS n_points FROM emb GROUP BY scope", ["n_points"]),
+            (sep, ["pair_count_used", "pair_count_within", "pair_count_between", "within_mean_distance", "between_mean_distance", "separation_margin"]),
+            (_cohen_sql(d), ["cohens_d"]), (_auroc_sql(d), ["auroc"]), (_ap_sql(d), ["average_precision"]), (_sil_sql(d), ["silhouette"]),
+            (_loo_sql(loo), ["loo_accuracy", "loo_macro_f1"]), (_TOPK_SQL, ["jaccard_within_mean", "jaccard_between_mean", "jaccard_gap"]),
+            (_misfit_sql(rk), ["misfit_rate"]), (_perm_sql(dist, True).replace("pvalue\nFROM", "permutation_pvalue\nFROM"), ["permutation_pvalue"]),
+        ]
+        rows = [(sql, [(f"'{c}'", c) for c in cols]) for sql, cols in wide]
+        rows.append((_knn_sql(rk), [(f"'knn_purity_{c}@' || k", f"purity_{c}") for c in ("mean", "median")]))
+        for sql, cols in rows:
+            cells = ", ".join(f"{{'m': {name}, 'v': {c}::DOUBLE}}" for name, c in cols)
+            parts.append(f"SELECT split_part(scope, '|', 1) AS delta_variant, split_part(scope, '|', 2) AS scope, '{metric}' AS distance, u.m AS metric, u.v AS value FROM (SELECT scope, unnest([{cells}]) AS u FROM ({sql.replace(EMB, _VARIANTS)}))")
+    return "SELECT 'fixture' AS encoder, delta_variant, scope, distance, metric, round(value, 6) AS value FROM (" + "\nUNION ALL ".join(parts) + ")"
+
+
 ORACLE = {
+    "scoped_metrics": _tall_sql(),
     "pair_separation": _sep_sql("d_l2"),
     "pair_separation_cosine": _sep_sql("d_cos"),
     "cohens_d": _cohen_sql("d_l2"),
@@ -276,11 +317,9 @@ ORACLE = {
     "pair_auroc": _auroc_sql("d_l2"),
     "pair_auroc_cosine": _auroc_sql("d_cos"),
     "pair_ap": _ap_sql("d_l2"),
-    "knn_purity": f"""WITH {_NN}, k AS (SELECT unnest([1, 3, 5]) AS k),
-s AS (SELECT scope, k, pid, avg((family = ofam)::INT) AS share FROM nn JOIN k ON rk <= k GROUP BY ALL)
-SELECT scope, k, round(avg(share), 6) AS purity_mean, round(median(share), 6) AS purity_median FROM s GROUP BY scope, k""",
+    "knn_purity": _knn_sql("rk"),
     "knn_neighbours": f"WITH {_NN} SELECT scope, pid, CAST(rkc AS INTEGER) AS rank, oid AS neighbour, round(d_cos, 6) AS distance FROM nn WHERE rkc <= 3",
-    "misfit_rate": f"WITH {_NN} SELECT scope, round(avg((family <> ofam)::INT), 6) AS misfit_rate FROM nn WHERE rk = 1 GROUP BY scope",
+    "misfit_rate": _misfit_sql("rk"),
     "misfit_per_family": f"WITH {_NN} SELECT scope, family::VARCHAR AS family, round(avg((family <> ofam)::INT), 6) AS misfit_rate FROM nn WHERE rk = 1 GROUP BY 1, 2",
     "misfit_examples": f"""WITH {_NN}, m AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY pid) AS q FROM nn WHERE rk = 1 AND family <> ofam)
 SELECT scope, pid, family::VARCHAR AS family, oid AS neighbour, ofam::VARCHAR AS neighbour_family, round(d_l2, 6) AS distance FROM m WHERE q <= 25""",
@@ -289,9 +328,7 @@ SELECT scope, pid, family::VARCHAR AS family, oid AS neighbour, ofam::VARCHAR AS
     "loo_predictions": f"""WITH {_LOO_SUMS}
 SELECT scope, vec_id AS pid, fam::VARCHAR AS pred, round(sqrt(d2), 6) AS pred_distance
 FROM (SELECT *, row_number() OVER (PARTITION BY scope, vec_id ORDER BY d2, fam) AS rn FROM cd) WHERE rn = 1""",
-    "topk_overlap": f"""WITH {_TOPK}
-SELECT scope, round(avg(common / (16.0::DOUBLE - common)) FILTER (same), 6) AS jaccard_within_mean, round(avg(common / (16.0::DOUBLE - common)) FILTER (NOT same), 6) AS jaccard_between_mean,
-       round(avg(common / (16.0::DOUBLE - common)) FILTER (same) - avg(common / (16.0::DOUBLE - common)) FILTER (NOT same), 6) AS jaccard_gap FROM pr GROUP BY scope""",
+    "topk_overlap": _TOPK_SQL,
     "silhouette_l2": _sil_sql("d_l2"),
     "silhouette_cosine": _sil_sql("d_cos"),
     "permutation_pvalue": _perm_sql("list_distance(a.z, b.z)"),

@@ -233,6 +233,12 @@ FROM long JOIN mu USING (family, dim) GROUP BY vec_id""",
     "linear_project": f"""WITH {LONG}, o AS (SELECT unnest(range(0, 4)) AS i)
 SELECT vec_id, CAST(i AS INTEGER) AS dim, round(sum(v * sin(i * 7.0::DOUBLE + dim * 3.0::DOUBLE)) + i / 10.0::DOUBLE, 6) AS value
 FROM long CROSS JOIN o GROUP BY vec_id, i""",
+    # erf by its series, 60 terms
+    "gelu_project": f"""WITH {LONG}, h AS (SELECT unnest(range(0, 8)) AS j),
+a AS (SELECT vec_id, j, sum(v * sin(j * 7.0::DOUBLE + dim * 3.0::DOUBLE)) AS x FROM long CROSS JOIN h GROUP BY vec_id, j),
+g AS (SELECT vec_id, j, x * 0.5 * (1 + 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: (1 - 2 * (n % 2)) * pow(x / sqrt(2.0::DOUBLE), 2 * n + 1) / (gamma(n + 1.0::DOUBLE) * (2 * n + 1))))) AS y FROM a),
+o AS (SELECT unnest(range(0, 3)) AS i)
+SELECT vec_id, CAST(i AS INTEGER) AS dim, round(sum(y * sin(i * 7.0::DOUBLE + j * 3.0::DOUBLE)) + 1, 6) AS value FROM g CROSS JOIN o GROUP BY vec_id, i""",
     "embedding_stats": f"""WITH {LONG}, n AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM long GROUP BY vec_id)
 SELECT (SELECT count(*) FROM emb) AS rows, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max,
        round((SELECT avg(norm) FROM n), 6) AS norm_mean, round((SELECT stddev_pop(norm) FROM n), 6) AS norm_std FROM long""",
