@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 
@@ -33,9 +34,15 @@ def partition_id() -> int:
 
 
 def forget() -> None:
-    """Free the word ids that an earlier token stage left in this Python worker, and Arrow's unused memory."""
+    """Free the word ids that an earlier token stage left in this Python worker, and give unused memory back.
+
+    Workers are reused and idle ones stay alive; what they freed would otherwise still count.
+    """
     sys.modules.pop("_word_id_memo", None)
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def make_folder(uri: str) -> None:
