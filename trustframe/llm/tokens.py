@@ -29,7 +29,7 @@ from .shared import attempt_name, forget, make_folder, partition_id, place, read
 
 SEGMENT_IDS = 4_000_000
 PART_BYTES = 6_000_000
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_600_000
 END_ID = 1
 TOGETHER = 64
 # ASCII signs that the split rule keeps apart from letters; the apostrophe starts contractions and is not one.
@@ -47,6 +47,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, kind: str, suffix: str | None, most: int = CACHE_WORDS):
         self.tokenizer, self.kind, self.suffix, self.most = tokenizer, kind, suffix, most
+        self.letter_end: dict[str, bool] = {}
         if suffix:
             vocab = tokenizer.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -95,9 +96,14 @@ class WordIds(dict):
         return out
 
     def _ends_in_letter(self, base: str) -> bool:
-        """Letters only, and still ending in one in normal form: signs behind a mark would belong to its run."""
-        normal = self.tokenizer.normalizer
-        return base.isalpha() and (normal.normalize_str(base) if normal else base)[-1:].isalpha()
+        """Letters only, and the last one still ends in a letter in normal form: signs behind a mark would belong to its run."""
+        if not base.isalpha():
+            return False
+        last = base[-1]
+        if last not in self.letter_end:
+            normal = self.tokenizer.normalizer
+            self.letter_end[last] = (normal.normalize_str(last) if normal else last)[-1:].isalpha()
+        return self.letter_end[last]
 
     def _apart(self, words: set[bytes]) -> dict[bytes, bytes]:
         letters, other, split = set(), [], []
