@@ -93,19 +93,25 @@ def select_keypoints(points: DataFrame, frame: str, target: int, descending: boo
     return fixed_slots(ranked, [frame], target).drop("n")
 
 
-def resample_points(points: DataFrame, frame: str, max_points: int, min_points: int, seed: int, row: str = "point_idx", step: str | None = None) -> DataFrame:
-    """Bring each frame to ``max_points`` rows in ``slot``.
+def resample_points(points: DataFrame, frame: str, max_points: int, min_points: int, seed: int, row: str = "point_idx", step: str | None = None, sizes: str | None = None) -> DataFrame:
+    """Bring each frame to ``max_points`` rows in ``slot``; ``sizes`` names a column that already holds the frame's size.
 
     Large frames keep a hashed choice without replacement.  Small ones first grow to
     ``min_points`` by hashed draws, and the rest is padded by hashed draws from that.
     ``step`` (frame number t) seeds the draws per frame with 104729 (t + 1).
     """
     seed_col = F.lit(seed) if step is None else F.lit(104729) * (F.col(step) + 1)  # fixed value: seed stride
-    p = with_group_stats(points, [frame], {"_n": F.count(F.lit(1))}, [row])
+    p = points.withColumnRenamed(sizes, "_n") if sizes else with_group_stats(points, [frame], {"_n": F.count(F.lit(1))}, [row])
     h = F.md5(F.concat_ws("|", seed_col, F.col(frame), F.col(row)))
     big = p.where(F.col("_n") >= max_points).withColumn("_h", h)
-    big = rank_in_group(big, [frame], [F.col("_h"), F.col(row)], "slot")
-    big = big.where(F.col("slot") < max_points).drop("_h", "_n")
+    if max_points <= 1000:
+        # The rank filter is applied inside map tasks, so a hot frame never shuffles whole.
+        w = W.partitionBy(frame).orderBy("_h", row)
+        big = big.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_points)
+        big = big.withColumn("slot", (F.col("_r") - 1).cast("long")).drop("_r")
+    else:
+        big = rank_in_group(big, [frame], [F.col("_h"), F.col(row)], "slot").where(F.col("slot") < max_points)
+    big = big.drop("_h", "_n")
 
     def draw(tag, slot, n):
         u = F.md5(F.concat_ws("|", F.lit(tag), seed_col, F.col(frame), slot))

@@ -55,7 +55,7 @@ def keypoints_radius(spark, d):
 
 def resample_points(spark, d):
     """600 points per frame (at least 620 are drawn for frames below that)."""
-    out = P.resample_points(points(spark, d), "frame_id", 600, 590, 11)
+    out = P.resample_points(points(spark, d, total="n"), "frame_id", 600, 590, 11, sizes="n")
     return out.select("frame_id", "slot", "point_idx")
 
 
@@ -128,16 +128,16 @@ def regrid(spark, d):
 
 def knn_group(spark, d):
     """Five nearest points of four evenly spaced centres per frame."""
-    p = points(spark, d)
-    c = P.fixed_count(p, "frame_id", 4).select("frame_id", F.col("slot").alias("centre_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    return P.knn_group(p, c, 5).select("frame_id", "centre_id", "rank", "point_idx", r6("rx"), r6("ry"), r6("distance"))
+    p = points(spark, d, total="n")
+    c = P.fixed_count(p, "frame_id", 4, sizes="n").select("frame_id", F.col("slot").alias("centre_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+    return P.knn_group(p.drop("n"), c, 5).select("frame_id", "centre_id", "rank", "point_idx", r6("rx"), r6("ry"), r6("distance"))
 
 
 def knn_group_features(spark, d):
     """The largest and the mean feature of each group, as a grouped layer pools them."""
-    p = points(spark, d).withColumn("f", F.col("x") + 2 * F.col("y"))
-    c = P.fixed_count(p, "frame_id", 4).select("frame_id", F.col("slot").alias("centre_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    return P.knn_group(p, c, 5).groupBy("frame_id", "centre_id").agg(r6(F.max("f"), "f_max"), r6(F.avg("f"), "f_mean"), r6(F.max("rx"), "rx_max"))
+    p = points(spark, d, total="n").withColumn("f", F.col("x") + 2 * F.col("y"))
+    c = P.fixed_count(p, "frame_id", 4, sizes="n").select("frame_id", F.col("slot").alias("centre_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+    return P.knn_group(p.drop("n"), c, 5).groupBy("frame_id", "centre_id").agg(r6(F.max("f"), "f_max"), r6(F.avg("f"), "f_mean"), r6(F.max("rx"), "rx_max"))
 
 
 def fps_per_frame(spark, d):
