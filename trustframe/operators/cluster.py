@@ -34,21 +34,24 @@ def kmeans(df: DataFrame, k: int, z: str = "z", seed: int = 42, restarts: int =
     return best.transform(data).drop("_v")
 
 
-def linkage_cosine(units: np.ndarray) -> list[tuple[int, int, float]]:
-    """Average-linkage merges (a, b, height) of unit vectors; merged pairs get ids n, n+1, ...
+def linkage_cosine(units: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Average-linkage merges (a, b, height) of unit vectors, or of sums of ``sizes`` of them; merged pairs get ids n, n+1, ...
 
-    The mean cosine distance of two clusters is 1 - S_a.S_b / (n_a n_b).
+    The mean cosine distance of two clusters is 1 - S_a.S_b / (n_a n_b).  Each cluster remembers its nearest,
+    the first on ties, so a merge looks only at the rows whose nearest it took away.
     """
     n = len(units)
-    s, c = units.astype(float).copy(), np.ones(n)
+    s, c = units.astype(float).copy(), np.ones(n) if sizes is None else sizes.astype(float).copy()
     ids = list(range(n))
     merges = []
-    d = 1.0 - s @ s.T
+    d = 1.0 - (s @ s.T) / np.outer(c, c)
     np.fill_diagonal(d, np.inf)
     alive = np.ones(n, bool)
+    near = d.argmin(axis=1)
+    low = d[np.arange(n), near]
     for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
+        i = int(low.argmin())
+        i, j = min(i, int(near[i])), max(i, int(near[i]))
         merges.append((ids[i], ids[j], float(d[i, j])))
         s[i], c[i], ids[i] = s[i] + s[j], c[i] + c[j], n + step
         alive[j] = False
@@ -57,6 +60,14 @@ def linkage_cosine(units: np.ndarray) -> list[tuple[int, int, float]]:
         row[~alive] = np.inf
         row[i] = np.inf
         d[i, :] = d[:, i] = row
+        low[j] = np.inf
+        stale = np.flatnonzero(alive & ((near == i) | (near == j)))
+        near[stale] = d[stale].argmin(axis=1)
+        low[stale] = d[stale, near[stale]]
+        near[i], low[i] = row.argmin(), row.min()
+        closer = np.flatnonzero(alive & ((row < low) | (row == low) & (i < near)))
+        closer = closer[closer != i]
+        near[closer], low[closer] = i, row[closer]
     return merges
 
 
@@ -130,24 +141,20 @@ def merge_tree(df: DataFrame, row_id: str = "pid", z: str = "z", single_task: in
     A counted small set merges in one task.  A larger one merges all reciprocal nearest
     neighbours per round (average linkage is reducible, so the merge tree is the same)
     with clusters kept as (size, vector sum) rows; after a round only clusters that merged
-    or whose neighbour did look for a new neighbour.
+    or whose neighbour did look for a new neighbour.  The last rounds merge few clusters each,
+    so what is left merges in one task once it is small.
     """
     members = materialize(rank_in_group(df.select(row_id, z), [], [F.col(row_id)], "node"))
     n = members.count()
-    if n > (SINGLE_TASK_ITEMS if single_task is None else single_task):
-        return MergeTree(members.select(row_id, "node"), _merge_rounds(members, z), n, row_id, False)
+    limit = SINGLE_TASK_ITEMS if single_task is None else single_task
+    if n > limit:
+        return MergeTree(members.select(row_id, "node"), _merge_rounds(members, z, n, limit), n, row_id, False)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         x = np.stack([np.asarray(v, float) for v in pdf["z"]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        first = list(range(len(x)))  # of merged pairs too: their first member
-        rows = []
-        for at, (a, b, h) in enumerate(linkage_cosine(x)):
-            low, high = sorted((first[a], first[b]))
-            first.append(low)
-            rows.append((low, high, h, at))
-        return pd.DataFrame(rows, columns=["pid", "near", "h", "at"])
+        return _edges_of(np.arange(len(x)), linkage_cosine(x))
 
     edges = members.select("node", F.col(z).alias("z"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, EDGES)
     return MergeTree(members.select(row_id, "node"), materialize(edges), n, row_id, True)
@@ -156,6 +163,17 @@ def merge_tree(df: DataFrame, row_id: str = "pid", z: str = "z", single_task: in
 EDGES = "pid long, near long, h double, at long"
 
 
+def _edges_of(pid: np.ndarray, merges: list[tuple[int, int, float]]) -> pd.DataFrame:
+    """Merges as edges between first members; ``pid`` holds the first member of each item, in order."""
+    first = list(range(len(pid)))  # of merged pairs too
+    rows = []
+    for at, (a, b, h) in enumerate(merges):
+        low, high = sorted((first[a], first[b]))
+        first.append(low)
+        rows.append((pid[low], pid[high], h, at))
+    return pd.DataFrame(rows, columns=["pid", "near", "h", "at"])
+
+
 def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z", single_task: int | None = None) -> DataFrame:
     """Average-linkage cosine clustering into ``k`` clusters: ``row_id, cluster``; see ``merge_tree``."""
     tree = merge_tree(df, row_id, z, single_task)
@@ -164,18 +182,26 @@ def agglomerative_cosine(df: DataFrame, k: int, row_id: str = "pid", z: str = "z
     return tree.cut([k]).drop("k")
 
 
-def _merge_rounds(items: DataFrame, z: str) -> DataFrame:
-    """Merges (pid, near, h, at = 0) by reciprocal-nearest-neighbour rounds over ``node`` and ``z``.
+def _merge_rounds(items: DataFrame, z: str, n: int, single_task: int) -> DataFrame:
+    """Merges (pid, near, h, at = 0) by reciprocal-nearest-neighbour rounds over the ``n`` rows of ``node`` and ``z``.
 
-    Each round stores its tables in the checkpoint folder.
+    Each round stores its tables in the checkpoint folder.  At most ``single_task`` clusters that are left
+    merge in one task; edges are put in order by height, so it does not matter where they were found.
     """
+
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pid")
+        merges = linkage_cosine(np.stack([np.asarray(v, float) for v in pdf["z"]]), pdf["c"].to_numpy())
+        return _edges_of(pdf["pid"].to_numpy(), merges).assign(at=0)
+
     state = materialize(items.select(F.col("node").alias("pid"), l2_normalize(z).alias("z"), F.lit(1.0).alias("c")))
     nn = materialize(_cluster_neighbours(state))
     edges = state.sparkSession.createDataFrame([], EDGES)
     while True:
         other = nn.select(F.col("pid").alias("near"), F.col("near").alias("back"))
         mutual = materialize(nn.join(other, "near").where("back = pid and pid < near").select("pid", "near", "h"))
-        if mutual.isEmpty():
+        found = mutual.count()
+        if not found:
             return edges
         edges = materialize(edges.unionByName(mutual.withColumn("at", F.lit(0).cast("long"))))
         target = mutual.select(F.col("near").alias("pid"), F.col("pid").alias("into"))
@@ -183,6 +209,9 @@ def _merge_rounds(items: DataFrame, z: str) -> DataFrame:
         pairs = moved.groupBy("pid").agg(F.collect_list(F.struct("z", "c")).alias("m"))  # at most two rows each
         add = F.aggregate(F.slice("m.z", 2, 1), F.element_at("m.z", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
         state = materialize(pairs.select("pid", add.alias("z"), F.aggregate("m.c", F.lit(0.0), lambda a, b: a + b).alias("c")))
+        n -= found
+        if 1 < n <= single_task:
+            return materialize(edges.unionByName(state.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(rest, EDGES)))
         touched = mutual.select(F.explode(F.array("pid", "near")).alias("t"))
         kept = nn.join(touched.withColumnRenamed("t", "pid"), "pid", "left_anti").join(touched.withColumnRenamed("t", "near"), "near", "left_anti")
         kept = materialize(kept.select("pid", "near", "h"))
