@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType
 
 from ..functions.vectors import all_finite, is_finite
 from ..plans.lookup import SALTS, salted_join, spread, with_group_stats
@@ -318,8 +320,12 @@ def knn_group(points: DataFrame, centres: DataFrame, k: int, frame: str = "frame
     types = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *centres.select("centre_id").schema.fields]}
     out = [frame, "centre_id", row, *[f"r{a}" for a in XYZ], "distance", *extra]
     ddl = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in out)
+    kinds = {f.name: f.dataType for f in [*points.schema.fields, *centres.select("centre_id").schema.fields]}
+    arrow_types = [to_arrow_type(kinds.get(c, DoubleType())) for c in out]
 
     def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_arrays([pa.array([], f) for f in arrow_types], names=out)
         p, c = (np.stack([t.column(f"{side}{x}").to_numpy().astype(float) for x in XYZ], axis=1) for t, side in ((a, ""), (b, "c")))
         d = np.sqrt(sum((p[None, :, i] - c[:, None, i]) ** 2 for i in range(3)))
         near = np.where(np.isnan(d), np.inf, d)
