@@ -26,3 +26,10 @@ def test_resampling_with_known_sizes(spark):
     rows = lambda d: sorted(map(tuple, d.select("frame_id", "slot", "point_idx").collect()))
     own, known = points.resample_points(p, "frame_id", 60, 50, 3), points.resample_points(sized, "frame_id", 60, 50, 3, sizes="n")
     assert rows(own) == rows(known) and len(rows(own)) == 7 * 60
+
+
+def test_slots_of_small_frames_are_not_broadcast(spark):
+    p = spark.range(4000).select((F.col("id") % 200).alias("frame_id"), F.floor(F.col("id") / 200).alias("point_idx"))
+    got = points.resample_points(p, "frame_id", 600, 590, 3)
+    assert "BroadcastHashJoin" not in final_plan(got)
+    assert got.count() == 200 * 600

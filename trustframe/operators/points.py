@@ -129,7 +129,8 @@ def resample_points(points: DataFrame, frame: str, max_points: int, min_points:
     slots = slots.withColumn("_b", F.when(F.col("slot") < base, F.col("slot")).otherwise(draw("pad", F.col("slot"), base)))
     slots = slots.withColumn("_src", F.when(tiny, draw("grow", F.col("_b"), F.col("_n"))).otherwise(F.col("_b")))
     numbered = small.drop("_n").withColumnRenamed(row, "_src")
-    grown = slots.select(frame, "slot", "_src").join(numbered, [frame, "_src"]).withColumnRenamed("_src", row)
+    # The planner takes the slots for as small as their heads; broadcast, the driver would hold max_points rows per frame.
+    grown = slots.select(frame, "slot", "_src").hint("merge").join(numbered, [frame, "_src"]).withColumnRenamed("_src", row)
     return big.unionByName(grown.select(*big.columns))
 
 
