@@ -69,7 +69,8 @@ def force_distributed() -> None:
     lookup.BROADCAST_ROWS = 0
     family.INLINE_VALUES = 0
     points.FRAME_TASK_POINTS = 100
-    cluster.SINGLE_TASK_ITEMS = 5
+    cluster.SINGLE_TASK_ITEMS = cluster.ROUND_ITEMS = 5
+    cluster.CUT_ITEMS = 0
 
 
 def connect(sf):

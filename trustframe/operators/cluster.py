@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,15 @@ from ..session import materialize
 from .fit import mean_vector
 from .pairs import silhouette_values
 
-# Largest set of items whose merge loop runs inside one task.
+# Largest set of items whose merge loop runs inside one task with all its pairs in memory.
 SINGLE_TASK_ITEMS = 4096
+# Largest set that one task merges by rounds, holding the clusters' vectors only, and largest merge tree that one task cuts.
+ROUND_ITEMS = 49_152
+CUT_ITEMS = 1_000_000
+# Rows and columns of a step of a search for neighbours: small enough to stay in a core's cache.
+STEP_ROWS, STEP_COLS = 256, 1024
+# Clusters in a block of a distributed search: each further block copies every cluster once more.
+BLOCK_ITEMS = 8192
 
 
 def kmeans(df: DataFrame, k: int, z: str = "z", seed: int = 42, restarts: int = 10) -> DataFrame:
@@ -71,6 +79,69 @@ def linkage_cosine(units: np.ndarray, sizes: np.ndarray | None = None) -> list[t
     return merges
 
 
+def nearest_of(some: np.ndarray, own: np.ndarray, ids: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each mean vector of ``some`` with id ``own`` the place of the nearest of ``means`` with another id, and its distance.
+
+    The distance of two clusters is 1 less the product of their means.  ``ids`` must ascend: on ties the first is taken.
+    Without any other cluster, or none at a known distance, the distance is infinite.
+    """
+    place, best = np.zeros(len(some), np.int64), np.full(len(some), -np.inf)
+    turned = np.ascontiguousarray(means.T)
+    for lo in range(0, len(some), STEP_ROWS):
+        r = slice(lo, lo + STEP_ROWS)
+        a, mine = some[r], own[r]
+        for at in range(0, len(ids), STEP_COLS):
+            c = slice(at, at + STEP_COLS)
+            near = a @ turned[:, c]
+            here = ids[c]
+            self_at = np.minimum(np.searchsorted(here, mine), len(here) - 1)
+            hit = np.flatnonzero(here[self_at] == mine)
+            near[hit, self_at[hit]] = -np.inf
+            j = near.argmax(axis=1)
+            v = near[np.arange(len(j)), j]
+            if np.isnan(v).any():
+                near[np.isnan(near)] = -np.inf
+                j = near.argmax(axis=1)
+                v = near[np.arange(len(j)), j]
+            closer = v > best[r]
+            place[r] = np.where(closer, j + at, place[r])
+            best[r] = np.where(closer, v, best[r])
+    return place, 1.0 - best
+
+
+def linkage_rounds(sums: np.ndarray, sizes: np.ndarray, near: np.ndarray | None = None, h: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """The merges of ``linkage_cosine`` as (first member, first member, height), found by rounds and in no order.
+
+    All reciprocal nearest neighbours merge in a round; then only clusters that merged or whose neighbour did look
+    for a new one.  Memory holds the clusters' vectors and one step of products, never all pairs.
+    ``near`` gives the neighbours that are known at distance ``h``, -1 where none is.
+    """
+    s, c = sums.astype(float).copy(), sizes.astype(float).copy()
+    live = np.arange(len(s))
+    near, h = (np.full(len(s), -1), np.full(len(s), np.inf)) if near is None else (near.copy(), h.copy())
+    todo, merges = np.flatnonzero(near < 0), []
+    while len(live) > 1:
+        means = s[live] / c[live, None]
+        place, h[todo] = nearest_of(means[np.searchsorted(live, todo)], todo, live, means)
+        near[todo] = live[place]
+        low = live[np.isfinite(h[live])]
+        a = low[(near[near[low]] == low) & (low < near[low])]
+        if not len(a) and len(low):  # the last bits of equal distances may differ from both sides
+            a = low[[h[low].argmin()]]
+        if not len(a):
+            break
+        first, second = np.minimum(a, near[a]), np.maximum(a, near[a])
+        merges += zip(first.tolist(), second.tolist(), h[a].tolist())
+        s[first] += s[second]
+        c[first] += c[second]
+        gone, touched = np.zeros(len(s), bool), np.zeros(len(s), bool)
+        gone[second] = True
+        touched[first] = touched[second] = True
+        live = live[~gone[live]]
+        todo = live[touched[live] | touched[near[live]]]
+    return merges
+
+
 def cut_merges(n: int, merges: Sequence[tuple[int, int]], k: int) -> np.ndarray:
     """Cluster labels 0..k-1 (by first member) after the first n - k merges, given as pairs of members."""
     parent = list(range(n))
@@ -141,14 +212,15 @@ def merge_tree(df: DataFrame, row_id: str = "pid", z: str = "z", single_task: in
     A counted small set merges in one task.  A larger one merges all reciprocal nearest
     neighbours per round (average linkage is reducible, so the merge tree is the same)
     with clusters kept as (size, vector sum) rows; after a round only clusters that merged
-    or whose neighbour did look for a new neighbour.  The last rounds merge few clusters each,
-    so what is left merges in one task once it is small.
+    or whose neighbour did look for a new neighbour.  Once ``ROUND_ITEMS`` (or ``single_task``)
+    are left, one task merges them by the same rounds without any further job.
     """
     members = materialize(rank_in_group(df.select(row_id, z), [], [F.col(row_id)], "node"))
     n = members.count()
     limit = SINGLE_TASK_ITEMS if single_task is None else single_task
     if n > limit:
-        return MergeTree(members.select(row_id, "node"), _merge_rounds(members, z, n, limit), n, row_id, False)
+        rest = max(limit, ROUND_ITEMS) if single_task is None else limit
+        return MergeTree(members.select(row_id, "node"), _merge_rounds(members, z, n, rest), n, row_id, single_task is None and n <= CUT_ITEMS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
@@ -191,46 +263,58 @@ def _merge_rounds(items: DataFrame, z: str, n: int, single_task: int) -> DataFra
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid")
-        merges = linkage_cosine(np.stack([np.asarray(v, float) for v in pdf["z"]]), pdf["c"].to_numpy())
-        return _edges_of(pdf["pid"].to_numpy(), merges).assign(at=0)
-
-    state = materialize(items.select(F.col("node").alias("pid"), l2_normalize(z).alias("z"), F.lit(1.0).alias("c")))
+        pid, sums, sizes = pdf["pid"].to_numpy(), np.stack([np.asarray(v, float) for v in pdf["z"]]), pdf["c"].to_numpy()
+        if len(pid) <= SINGLE_TASK_ITEMS:
+            return _edges_of(pid, linkage_cosine(sums, sizes)).assign(at=0)
+        known = pdf["near"].notna().to_numpy()
+        near = np.where(known, np.searchsorted(pid, pdf["near"].fillna(-1).to_numpy()), -1)
+        merges = linkage_rounds(sums, sizes, near, np.where(known, pdf["h"].to_numpy(), np.inf))
+        low, high, h = (np.array([m[i] for m in merges], kind) for i, kind in enumerate((np.int64, np.int64, float)))
+        return pd.DataFrame({"pid": pid[low], "near": pid[high], "h": h, "at": 0})
+
+    def handed_over(edges: list[DataFrame], state: DataFrame) -> DataFrame:
+        found = state.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(rest, EDGES)
+        return materialize(reduce(DataFrame.unionByName, [*edges, found]))
+
+    state = items.select(F.col("node").alias("pid"), l2_normalize(z).alias("z"), F.lit(1.0).alias("c"))
+    if n <= single_task:
+        return handed_over([], state.select("*", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("h")))
+    state = materialize(state)
     nn = materialize(_cluster_neighbours(state))
-    edges = state.sparkSession.createDataFrame([], EDGES)
+    edges: list[DataFrame] = []
     while True:
         other = nn.select(F.col("pid").alias("near"), F.col("near").alias("back"))
         mutual = materialize(nn.join(other, "near").where("back = pid and pid < near").select("pid", "near", "h"))
         found = mutual.count()
+        if not found:  # the last bits of equal distances may differ from both sides
+            mutual = materialize(nn.orderBy("h", "pid").limit(1).select(F.least("pid", "near").alias("pid"), F.greatest("pid", "near").alias("near"), "h"))
+            found = mutual.count()
         if not found:
-            return edges
-        edges = materialize(edges.unionByName(mutual.withColumn("at", F.lit(0).cast("long"))))
+            return materialize(reduce(DataFrame.unionByName, edges)) if edges else state.sparkSession.createDataFrame([], EDGES)
+        edges.append(mutual.withColumn("at", F.lit(0).cast("long")))
         target = mutual.select(F.col("near").alias("pid"), F.col("pid").alias("into"))
         moved = state.join(target, "pid", "left").withColumn("pid", F.coalesce("into", "pid")).drop("into")
         pairs = moved.groupBy("pid").agg(F.collect_list(F.struct("z", "c")).alias("m"))  # at most two rows each
         add = F.aggregate(F.slice("m.z", 2, 1), F.element_at("m.z", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
         state = materialize(pairs.select("pid", add.alias("z"), F.aggregate("m.c", F.lit(0.0), lambda a, b: a + b).alias("c")))
         n -= found
-        if 1 < n <= single_task:
-            return materialize(edges.unionByName(state.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(rest, EDGES)))
         touched = mutual.select(F.explode(F.array("pid", "near")).alias("t"))
         kept = nn.join(touched.withColumnRenamed("t", "pid"), "pid", "left_anti").join(touched.withColumnRenamed("t", "near"), "near", "left_anti")
         kept = materialize(kept.select("pid", "near", "h"))
+        if 1 < n <= single_task:
+            return handed_over(edges, state.join(kept, "pid", "left"))
         dirty = state.join(kept.select("pid"), "pid", "left_anti")
         nn = materialize(kept.unionByName(_neighbours_of(dirty, state)))
 
 
-def _nearest(ids: np.ndarray, dist: np.ndarray, oid: np.ndarray) -> pa.Table:
-    """The nearest other cluster of each, smaller id first on ties."""
-    dist = np.where(ids[:, None] == oid[None, :], np.inf, dist)
-    order = np.argsort(oid, kind="stable")
-    j = order[dist[:, order].argmin(axis=1)]
-    h = dist[np.arange(len(ids)), j]
+def _nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+    """The nearest of the clusters ``b`` for each of ``a``, smaller id first on ties."""
+    b = b.sort_by("pid")
+    ids, own = b.column("pid").to_numpy(), a.column("pid").to_numpy()
+    means = lambda t: matrix(t.column("z")) / t.column("c").to_numpy()[:, None]
+    place, h = nearest_of(means(a), own, ids, means(b))
     ok = np.isfinite(h)
-    return pa.table({"pid": ids[ok], "near": oid[j][ok], "h": h[ok]})
-
-
-def _linkage(a: pa.Table, b: pa.Table) -> np.ndarray:
-    return 1.0 - (matrix(a.column("z")) @ matrix(b.column("z")).T) / np.outer(a.column("c").to_numpy(), b.column("c").to_numpy())
+    return pa.table({"pid": own[ok], "near": ids[place[ok]], "h": h[ok]})
 
 
 def _closest(parts: DataFrame) -> DataFrame:
@@ -244,20 +328,19 @@ def _neighbours_of(some: DataFrame, state: DataFrame) -> DataFrame:
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"pid": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "h": pa.array([], pa.float64())})
-        return _nearest(a.column("pid").to_numpy(), _linkage(a, b), b.column("pid").to_numpy())
+        return _nearest(a, b)
 
-    return _closest(cross_tiles(some.toDF(*some.columns), state, "pid", "pid", kernel, "pid long, near long, h double"))
+    some = materialize(some)
+    return _closest(cross_tiles(some.toDF(*some.columns), state, "pid", "pid", kernel, "pid long, near long, h double", BLOCK_ITEMS))
 
 
 def _cluster_neighbours(state: DataFrame) -> DataFrame:
     """Nearest other cluster of every cluster: ``pid, near, h`` (smaller id first on ties)."""
 
     def kernel(_: tuple, a: pa.Table, b: pa.Table | None) -> pa.Table:
-        o = a if b is None else b
-        ia, ib, d = a.column("pid").to_numpy(), o.column("pid").to_numpy(), _linkage(a, o)
-        return pa.concat_tables([_nearest(ia, d, ib)] + ([] if b is None else [_nearest(ib, d.T, ia)]))
+        return _nearest(a, a) if b is None else pa.concat_tables([_nearest(a, b), _nearest(b, a)])
 
-    return _closest(self_tiles(state.withColumn("one", F.lit(0)), ["one"], "pid", kernel, "pid long, near long, h double"))
+    return _closest(self_tiles(state.withColumn("one", F.lit(0)), ["one"], "pid", kernel, "pid long, near long, h double", BLOCK_ITEMS))
 
 
 def select_k(items: DataFrame, method: str, k_min: int, k_max: int, row_id: str = "pid", z: str = "z", seed: int = 42) -> tuple[int, DataFrame, list[tuple[int, float | None]]]:
