@@ -42,3 +42,46 @@ def test_label_sums_by_product_equal_those_by_comparison(spark, monkeypatch):
         monkeypatch.setattr(pairs, "DENSE_LABELS", limit, raising=False)
         got.append(sorted(map(tuple, pairs.permutation_pvalue(df, "l2", 15, 3, scope=["scope"]).collect())))
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_steps_give_each_pair_once(metric):
+    x = np.random.default_rng(2).normal(size=(70, 5))
+    x[3] = x[40]
+    for a, b in ((x, x), (x[:33], x[33:])):
+        got, seen = np.full((len(a), len(b)), np.nan), np.zeros((len(a), len(b)), int)
+        for r, c, d, used in pairs.pairwise_steps(a, b, metric, 8):
+            used = np.ones(d.shape, bool) if used is None else used
+            seen[r, c] += used
+            got[r, c] = np.where(used, np.sqrt(d) if metric == "l2" else d, got[r, c])
+        want = np.triu(np.ones(seen.shape, int), 1) if a is b else np.ones(seen.shape, int)
+        assert (seen == want).all()
+        assert np.allclose(got[want == 1], pairs.distances(a, b, metric)[want == 1], atol=1e-12)
+
+
+def test_short_steps_take_four_bytes():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 30, 5000)) + (1 << 60)
+    keys[10:13] = keys[10]
+    u, c = np.unique(keys, return_counts=True)
+    data, m = pairs.pack(keys, 1 << 60)
+    got, counts = pairs.unpack(data, m, 1 << 60)
+    assert len(data) == 4 * len(keys) and (got == u).all() and (counts == c).all()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_more_points_have_larger_passes_and_finer_first_bins(spark, monkeypatch, small):
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 32)
+    for name, value in (("PASS_PAIRS", 400), ("RANGE_PAIRS", 4), ("PASS_POINTS", 10), ("HELD_PAIRS", 100), ("SORT_KEYS", 3)):
+        monkeypatch.setattr(pairs, name, value, raising=False)
+    if small:
+        monkeypatch.setattr(pairs, "WINDOW_BINS", 64)
+    df, rows = cloud(spark, 150, dims=6)
+    passes, stats = [], pairs.tile_stats
+    monkeypatch.setattr(pairs, "tile_stats", lambda *a, **k: passes.append((k.get("shift"), k.get("ranges"))) or stats(*a, **k))
+    ranks = pairs.rank_counts(df, ["scope"], "cosine")
+    auroc = {r["scope"]: r["auroc"] for r in pairs.pair_auroc(ranks, ["scope"]).collect()}
+    ap = {r["scope"]: r["average_precision"] for r in pairs.average_precision(ranks, ["scope"]).collect()}
+    want = brute(rows, "cosine")
+    assert all(abs(auroc[s] - want[s][0]) < 1e-12 and abs(ap[s] - want[s][1]) < 1e-12 for s in want)
+    assert passes[0] == (41, None)
+    assert len([p for p in passes if p[1]]) <= 8  # 6,150 pairs, 400 x 150 / 10 in a pass at each level
